@@ -206,11 +206,11 @@ def queries() -> dict[str, Query]:
         "filter_level": _matching(level="warn"),
         "filter_time_range": _matching(since="2024-01-10T00:00:00Z", until="2024-01-20T12:30:00.5Z"),
         "filter_message_search": _matching(document_logs, q="PAR"),
-        "filter_message_substring": _matching(document_logs, q="50%", search_mode="substring"),
+        "filter_message_substring": _matching(q="BY USER_4 AT 50% {", search_mode="substring"),
         "filter_message_accents": _matching(document_logs, q="É"),
         "filter_message_wildcard": _matching(q="USER_1_ at 50\\% {\"k\": 4"),
         "filter_attribute": _matching(attributes=(("k", "42"),)),
-        "filter_attribute_multi": _matching(document_logs, attributes=(("lang", "fr"), ("n_chars", "416"))),
+        "filter_attribute_multi": _matching(document_logs, attributes=(("lang", "en"), ("n_chars", "416"))),
         "filter_attribute_language": _matching(document_logs, attributes=(("lang", "fr"),)),
         "filter_combined": _matching(**_COMBINED),
         "page_default": _page({}),
@@ -354,12 +354,12 @@ def oracle_sql() -> dict[str, str]:
         "filter_time_range": _shown_sql(
             events, "t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-20 12:30:00.5'"),
         "filter_message_search": _shown_sql(documents, "message ILIKE '%PAR%'"),
-        "filter_message_substring": _shown_sql(documents, "message ILIKE '%50\\%%' ESCAPE '\\'"),
+        "filter_message_substring": _shown_sql(events, "contains(lower(message), 'by user_4 at 50% {')"),
         "filter_message_accents": _shown_sql(documents, "message ILIKE '%É%'"),
         "filter_message_wildcard": _shown_sql(
             events, "message ILIKE '%USER_1_ at 50\\% {\"k\": 4%' ESCAPE '\\'"),
         "filter_attribute": _shown_sql(events, "k = '42'"),
-        "filter_attribute_multi": _shown_sql(documents, "lang = 'fr' AND n = '416'"),
+        "filter_attribute_multi": _shown_sql(documents, "lang = 'en' AND n = '416'"),
         "filter_attribute_language": _shown_sql(documents, "lang = 'fr'"),
         "filter_combined": _shown_sql(events, _COMBINED_SQL),
         "page_default": _page_sql(events, "TRUE", 100),

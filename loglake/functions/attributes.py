@@ -2,39 +2,67 @@
 
 Two columns come out of one object: ``attributes``, a map of texts that filters
 compare with, and ``attributes_json``, the typed form for output.
+
+Most objects are *plain*: no member needs anything but the built-in casts,
+which stay in generated code.  The others (exponents, very long numbers, and
+members that are not scalars at all) go through higher-order functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .variants import as_fields, is_scalar, kind, quoted, scalar_json, scalar_text
+from .variants import as_members, kind, quoted, scalar_text
+
+
+def is_plain(schema: str, json: str) -> str:
+    """True when the built-in casts give the exact texts of a flat object.
+
+    Looks at the object's schema and JSON text as a whole.  A key or text that
+    only looks like one of these signs costs time, not correctness.
+    """
+    members = f"substr({schema}, {len('OBJECT<') + 1})"
+    return (
+        f"{schema} LIKE 'OBJECT<%' AND NOT {members} RLIKE 'DOUBLE|VOID|ARRAY<|OBJECT<'"
+        f" AND NOT {json} RLIKE '[0-9.]{{16}}'"
+    )
 
 
-def is_flat(fields: Column) -> Column:
+def plain_text_map(attributes: str) -> str:
+    return f"try_variant_get({attributes}, '$', 'map<string,string>')"
+
+
+def is_flat(members: str) -> str:
     """True when every member is a string, number or boolean."""
-    return F.forall(F.map_values(fields), lambda value: is_scalar(kind(value)))
+    return f"forall(map_values({members}), v -> NOT {kind('v')} RLIKE '^(VOID|OBJECT<|ARRAY<)')"
 
 
-def text_map(fields: Column) -> Column:
-    return F.transform_values(fields, lambda _, value: scalar_text(value))
+def text_map(members: str) -> str:
+    return f"transform_values({members}, (key, v) -> {scalar_text('v')})"
 
 
-def json_text(fields: Column) -> Column:
-    members = F.transform(
-        F.map_entries(fields),
-        lambda entry: F.concat(quoted(entry["key"]), F.lit(":"), scalar_json(entry["value"])),
-    )
-    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+def json_text(members: str, texts: str) -> str:
+    """The object as JSON, with numbers as in its text map."""
+    value = f"""CASE WHEN {kind('e.value')} = 'STRING' THEN to_json(e.value)
+        ELSE coalesce(try_element_at({texts}, e.key), 'null') END"""
+    listed = f"transform(map_entries({members}), e -> concat({quoted('e.key')}, ':', {value}))"
+    return f"concat('{{', array_join({listed}, ','), '}}')"
 
 
-def attribute_columns(json: Column) -> tuple[Column, Column]:
-    """Both columns for JSON text already known to be a flat object."""
-    fields = as_fields(F.try_parse_json(json))
-    return text_map(fields).alias("attributes"), json_text(fields).alias("attributes_json")
+def with_attributes(rows: DataFrame, attributes: Column) -> DataFrame:
+    """Add both columns for a VARIANT already known to be a flat object."""
+    plain = is_plain("_schema", "_json")
+    return (
+        rows.withColumn("_object", attributes)
+        .selectExpr("*", f"{kind('_object')} AS _schema", "to_json(_object) AS _json")
+        .selectExpr("*", f"{plain} AS _plain", f"CASE WHEN NOT ({plain}) THEN {as_members('_object')} END AS _members")
+        .selectExpr("*", f"CASE WHEN _plain THEN {plain_text_map('_object')} ELSE {text_map('_members')} END AS attributes")
+        .selectExpr("*", f"CASE WHEN _plain THEN _json ELSE {json_text('_members', 'attributes')} END AS attributes_json")
+        .drop("_object", "_schema", "_json", "_plain", "_members")
+    )
 
 
 def attribute_equals(attributes: Column, key: str, value: str) -> Column:
-    """Exact text equality; 3 and "3" are equal, 3.0 is written ``3``."""
+    """Exact text equality: the number 3 and the string "3" are both ``3``."""
     return F.coalesce(F.try_element_at(attributes, F.lit(key)) == F.lit(value), F.lit(False))

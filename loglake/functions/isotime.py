@@ -18,7 +18,7 @@ _DAY = r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
 _SHAPE = rf"{_DAY}T{_HOUR}:{_SIXTY}:{_SIXTY}(\.\d{{1,9}})?(Z|[+-]{_HOUR}:?{_SIXTY})"
 # \z, because $ would also match before a final line break.
 _ANCHORED = rf"\A{_SHAPE}\z"
-_ZONE = r"([+-])(\d{2}):?(\d{2})\z"
+_ZONE = r"[+-]\d{2}:?\d{2}\z"
 
 _PARTS = re.compile(
     r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(?:Z|([+-])(\d\d):?(\d\d))",
@@ -32,11 +32,12 @@ _DAYS_IN_400_YEARS = 146_097
 def iso_timestamp(text: Column) -> Column:
     """The instant ``text`` names, or NULL when it is not acceptable."""
     utc = text.try_cast("timestamp")
-    sign, hours, minutes = (F.regexp_extract(text, _ZONE, n) for n in (1, 2, 3))
-    seconds = hours.cast("int") * 3600 + minutes.cast("int") * 60
     local = F.regexp_replace(text, _ZONE, "Z").try_cast("timestamp")
-    offset = F.when(sign == "-", -seconds).otherwise(seconds).cast("long") * 1_000_000
-    shifted = F.timestamp_micros(F.unix_micros(local) - offset)
+    # +0530 as a number; both parts keep its sign
+    zone = F.replace(F.regexp_extract(text, _ZONE, 0), F.lit(":"), F.lit("")).cast("int")
+    minutes = zone % 100
+    offset = (zone - minutes) * 36 + minutes * 60
+    shifted = F.timestamp_add("SECOND", -offset, local)
     return F.when(
         text.rlike(_ANCHORED), F.when(text.endswith("Z"), utc).otherwise(shifted)
     )

@@ -1,4 +1,4 @@
-"""Text forms of JSON numbers.
+"""Text forms of JSON numbers, as SQL expressions.
 
 JSON numbers are IEEE doubles.  Two text forms are needed: plain digits (what
 an attribute filter compares with) and the shortest script form, which turns
@@ -7,88 +7,48 @@ to an exponent from 1e21 up and below 1e-6.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` inside ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def let(value: Column, build: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``build``."""
-    return F.element_at(F.transform(F.array(value), build), 1)
+def _with_digits(magnitude: str, body: str) -> str:
+    """``body`` may use p.digits and p.point: the number is 0.digits x 10^point.
 
-
-def _shortest(magnitude: Column) -> Column:
-    """The fewest significant digits that read back as the same double."""
-    forms = [F.format_string(f"%.{digits - 1}e", magnitude) for digits in (15, 16, 17)]
-    return (
-        F.when(forms[0].cast("double") == magnitude, forms[0])
-        .when(forms[1].cast("double") == magnitude, forms[1])
-        .otherwise(forms[2])
-    )
-
-
-def _with_digits(number: Column, build: Callable[[Column, Column], Column]) -> Column:
-    """Call ``build(digits, point)`` where the number is 0.digits x 10^point."""
-    def split(text: Column) -> Column:
-        mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", "")
-        return F.struct(
-            F.regexp_replace(mantissa, r"0+\z", "").alias("digits"),
-            (F.substring_index(text, "e", -1).cast("int") + 1).alias("point"),
-        )
-
-    return let(
-        _shortest(F.abs(number)),
-        lambda text: let(split(text), lambda parts: build(parts["digits"], parts["point"])),
-    )
+    The digits are the fewest that read back as the same double.
+    """
+    forms = ", ".join(f"format_string('%.{n}e', {magnitude})" for n in (14, 15, 16))
+    shortest = f"element_at(filter(array({forms}), f -> try_cast(f AS double) = {magnitude}), 1)"
+    parts = """named_struct(
+        'digits', regexp_replace(replace(substring_index(t, 'e', 1), '.', ''), '0+$', ''),
+        'point', int(substring_index(t, 'e', -1)) + 1)"""
+    return let("t", shortest, let("p", parts, body))
 
 
-def _positional(digits: Column, point: Column) -> Column:
-    return (
-        F.when(point >= F.length(digits), F.rpad(digits, point, "0"))
-        .when(
-            point > 0,
-            F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)),
-        )
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-    )
+_POSITIONAL = """CASE
+    WHEN p.point >= length(p.digits) THEN rpad(p.digits, p.point, '0')
+    WHEN p.point > 0 THEN concat(left(p.digits, p.point), '.', substr(p.digits, p.point + 1))
+    ELSE concat('0.', repeat('0', -p.point), p.digits) END"""
+_EXPONENT = """concat(
+    left(p.digits, 1), if(length(p.digits) > 1, '.', ''), substr(p.digits, 2),
+    if(p.point >= 1, 'e+', 'e-'), string(abs(p.point - 1)))"""
 
 
-def _exponent(digits: Column, point: Column) -> Column:
-    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2))))
-    return F.concat(
-        F.substr(digits, F.lit(1), F.lit(1)),
-        F.coalesce(fraction, F.lit("")),
-        F.when(point >= 1, F.lit("e+")).otherwise(F.lit("e-")),
-        F.abs(point - 1).cast("string"),
-    )
-
-
-def _signed(number: Column, text: Column) -> Column:
-    return F.when(number < 0, F.concat(F.lit("-"), text)).otherwise(text)
-
-
-def _infinite(number: Column) -> Column:
-    return F.abs(number) == F.lit(float("inf"))
-
-
-def plain_number_text(number: Column) -> Column:
+def plain_number_text(number: str) -> str:
     """Digits without exponent; NULL for a number too large for a double."""
-    return (
-        F.when(_infinite(number), F.lit(None).cast("string"))
-        .when(number == 0, F.lit("0"))
-        .otherwise(_signed(number, _with_digits(number, _positional)))
-    )
+    digits = _with_digits("abs(n)", _POSITIONAL)
+    return let("n", number, f"""CASE
+        WHEN n = 0 THEN '0'
+        WHEN abs(n) < double('Infinity') THEN concat(if(n < 0, '-', ''), {digits}) END""")
 
 
-def script_number_text(number: Column) -> Column:
+def script_number_text(number: str) -> str:
     """Shortest script form, e.g. ``1e+21``, ``1e-7``, ``1.5``."""
-    def build(digits: Column, point: Column) -> Column:
-        positional = (point <= 21) & (point > -6)
-        return F.when(positional, _positional(digits, point)).otherwise(_exponent(digits, point))
-
-    return (
-        F.when(_infinite(number), _signed(number, F.lit("Infinity")))
-        .when(number == 0, F.lit("0"))
-        .otherwise(_signed(number, _with_digits(number, build)))
+    digits = _with_digits(
+        "abs(n)", f"CASE WHEN p.point BETWEEN -5 AND 21 THEN {_POSITIONAL} ELSE {_EXPONENT} END"
+    )
+    magnitude = f"CASE WHEN abs(n) < double('Infinity') THEN {digits} ELSE 'Infinity' END"
+    return let(
+        "n", number, f"CASE WHEN n = 0 THEN '0' ELSE concat(if(n < 0, '-', ''), {magnitude}) END"
     )

@@ -1,111 +1,68 @@
-"""Type tests and text forms of parsed JSON values (VARIANT columns)."""
+"""Type tests and text forms of parsed JSON values, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .numbers import let, plain_number_text, script_number_text
 
-_MAX_EXACT_INTEGER = 2 ** 53
 # Pieces of compact JSON text: a string, a bracket or separator, a bare word.
-_JSON_PIECE = r'("(?:[^"\\]++|\\.)*+"|[\[\]{},:]|[^\[\]{},:"]+)'
+_JSON_PIECE = r"""r'("(?:[^"\\]++|\\.)*+"|[\[\]{},:]|[^\[\]{},:"]+)'"""
+_MAX_EXACT_INTEGER = 2 ** 53
 
 
-def kind(value: Column) -> Column:
+def kind(value: str) -> str:
     """STRING, BOOLEAN, BIGINT, DECIMAL(p,s), DOUBLE, VOID, OBJECT<..>, ARRAY<..>."""
-    return F.schema_of_variant(value)
+    return f"schema_of_variant({value})"
 
 
-def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def as_text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def as_fields(value: Column) -> Column:
+def as_members(value: str) -> str:
     """An object's members; NULL for anything that is not an object."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
-
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
-def is_text(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
 
+def quoted(text: str) -> str:
+    """A text as a JSON string literal."""
+    return f"trim(LEADING '[' FROM left(to_json(array({text})), length(to_json(array({text}))) - 1))"
 
-def is_scalar(value_kind: Column) -> Column:
-    """True for the kinds string, number and boolean."""
-    return ~(
-        (value_kind == "VOID") | value_kind.startswith("OBJECT<") | value_kind.startswith("ARRAY<")
-    )
 
-
-def _short_integer(value: Column, value_kind: Column) -> Column:
-    number = F.try_variant_get(value, "$", "bigint")
-    return (value_kind == "BIGINT") & number.between(-_MAX_EXACT_INTEGER, _MAX_EXACT_INTEGER)
+def scalar_text(value: str) -> str:
+    """The text an attribute filter compares with."""
+    integer = f"try_variant_get({value}, '$', 'bigint')"
+    short = f"k = 'BIGINT' AND {integer} BETWEEN {-_MAX_EXACT_INTEGER} AND {_MAX_EXACT_INTEGER}"
+    number = plain_number_text(f"try_variant_get({value}, '$', 'double')")
+    return let("k", kind(value), f"""CASE
+        WHEN k IN ('STRING', 'BOOLEAN') OR ({short}) THEN {as_text(value)} ELSE {number} END""")
 
 
-def scalar_text(value: Column) -> Column:
-    """The text an attribute filter compares with."""
-    number = F.try_variant_get(value, "$", "double")
-    return let(
-        kind(value),
-        lambda k: F.when(
-            k.isin("STRING", "BOOLEAN") | _short_integer(value, k), as_text(value)
-        ).otherwise(plain_number_text(number)),
-    )
-
-
-def scalar_json(value: Column) -> Column:
-    """The JSON form of a string, number or boolean."""
-    number = F.try_variant_get(value, "$", "double")
-    overflow = F.abs(number) == F.lit(float("inf"))
-    return let(
-        kind(value),
-        lambda k: F.when(
-            k.isin("STRING", "BOOLEAN") | _short_integer(value, k), F.to_json(value)
-        )
-        .when(overflow, F.lit("null"))
-        .otherwise(script_number_text(number)),
-    )
-
-
-def quoted(text: Column) -> Column:
-    """``text`` as a JSON string literal."""
-    listed = F.to_json(F.array(text))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
-
-
-def _joined_elements(value: Column) -> Column:
+def _joined_elements(value: str) -> str:
     """An array as comma-joined element texts.
 
     Nested arrays join into the same list, null is empty and an object is
     ``[object Object]``, so one pass over the JSON pieces is enough at any depth.
     """
-    def step(state: Column, piece: Column) -> Column:
-        depth = state["depth"]
-        deeper = F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
-        text = (
-            F.when((depth == 0) & (piece == "{"), F.lit("[object Object]"))
-            .when((depth > 0) | piece.isin("[", "]", "}", "null"), F.lit(""))
-            .when(piece.startswith('"'), as_text(F.try_parse_json(piece)))
-            .when(piece.isin(",", "true", "false"), piece)
-            .otherwise(script_number_text(piece.try_cast("double")))
-        )
-        return F.struct(
-            F.concat(state["text"], text).alias("text"), (depth + deeper).alias("depth")
-        )
-
-    pieces = F.regexp_extract_all(F.to_json(value), F.lit(_JSON_PIECE), F.lit(1))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"))
-    return F.aggregate(pieces, start, step, lambda state: state["text"])
-
-
-def script_text(value: Column) -> Column:
+    element = f"""CASE
+        WHEN s.depth = 0 AND piece = '{{' THEN '[object Object]'
+        WHEN s.depth > 0 OR piece IN ('[', ']', '}}', 'null') THEN ''
+        WHEN piece LIKE '"%' THEN {as_text('try_parse_json(piece)')}
+        WHEN piece IN (',', 'true', 'false') THEN piece
+        ELSE {script_number_text('try_cast(piece AS double)')} END"""
+    deeper = "CASE piece WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END"
+    return f"""aggregate(
+        regexp_extract_all(to_json({value}), {_JSON_PIECE}, 1),
+        named_struct('text', '', 'depth', 0),
+        (s, piece) -> named_struct('text', concat(s.text, {element}), 'depth', s.depth + {deeper}),
+        s -> s.text)"""
+
+
+def script_text(value: str) -> str:
     """Any JSON value as shown in a rejection reason."""
-    k = kind(value)
-    return (
-        F.when(value.isNull(), F.lit("undefined"))
-        .when(k == "VOID", F.lit("null"))
-        .when(k.isin("STRING", "BOOLEAN"), as_text(value))
-        .when(k.startswith("OBJECT<"), F.lit("[object Object]"))
-        .when(k.startswith("ARRAY<"), _joined_elements(value))
-        .otherwise(script_number_text(F.try_variant_get(value, "$", "double")))
-    )
+    return let("k", kind(value), f"""CASE
+        WHEN k IS NULL THEN 'undefined'
+        WHEN k = 'VOID' THEN 'null'
+        WHEN k IN ('STRING', 'BOOLEAN') THEN {as_text(value)}
+        WHEN k LIKE 'OBJECT<%' THEN '[object Object]'
+        WHEN k LIKE 'ARRAY<%' THEN {_joined_elements(value)}
+        ELSE {script_number_text(f"try_variant_get({value}, '$', 'double')")} END""")

@@ -1,7 +1,6 @@
 """Record validation: one pass that tells accepted from rejected records.
 
-The first failing rule names the reason.  Everything is a Column expression;
-an item is parsed once and its fields are looked up in one map.
+The first failing rule names the reason.  Everything is a Column expression.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.attributes import is_flat, json_text, text_map
+from ..functions.attributes import is_flat, is_plain, json_text, plain_text_map, text_map
 from ..functions.isotime import iso_timestamp, micros_literal, micros_of
-from ..functions.variants import as_fields, as_text, is_text, script_text
+from ..functions.variants import as_members, as_text, kind, script_text
 from ..schema import LEVELS, LOG_COLUMNS
 from ..sources.envelopes import explode_items
 
@@ -27,8 +26,8 @@ BAD_ATTRIBUTES = "attributes must be a flat object with string, number, or boole
 MAX_FUTURE_SKEW_MS = 300_000
 
 
-def _non_empty_text(value: Column) -> Column:
-    return F.when(is_text(value) & (F.length(as_text(value)) > 0), as_text(value))
+_OTHER_LEVEL = "level of another type"
+_FIELDS = "struct<timestamp:variant,level:variant,service:variant,message:variant,attributes:variant>"
 
 
 def _arrival(now: dt.datetime | Column | None) -> Column:
@@ -37,53 +36,101 @@ def _arrival(now: dt.datetime | Column | None) -> Column:
     return now if isinstance(now, Column) else micros_literal(micros_of(now))
 
 
+def _text(field: str) -> str:
+    return f"CASE WHEN {kind(f'_item.{field}')} = 'STRING' THEN {as_text(f'_item.{field}')} END"
+
+
 def validate_items(items: DataFrame, now: dt.datetime | Column | None = None) -> DataFrame:
     """Add ``reason`` (NULL = accepted) and the typed record to exploded items.
 
     ``now`` is the arrival time that bounds future timestamps: one instant, a
     column, or by default the request's ``received_at``.
     """
-    received = _arrival(now)
-    looked_up = items.withColumn("_fields", as_fields(F.col("item"))).withColumns({
-        f"_{name}": F.try_element_at("_fields", F.lit(name))
-        for name in ("timestamp", "level", "service", "message", "attributes")
-    })
-    parsed = looked_up.withColumns({
-        "timestamp": F.when(is_text(F.col("_timestamp")), iso_timestamp(as_text(F.col("_timestamp")))),
-        "level": F.when(is_text(F.col("_level")), as_text(F.col("_level"))),
-        "service": _non_empty_text(F.col("_service")),
-        "message": _non_empty_text(F.col("_message")),
-        "_members": F.when(
-            F.col("_attributes").isNull(), F.expr("cast(map() as map<string,variant>)")
-        ).otherwise(as_fields(F.col("_attributes"))),
-    })
-    ahead = F.unix_millis("timestamp") - F.unix_millis(received)
-    known_level = F.coalesce(F.col("level").isin(*LEVELS), F.lit(False))
-    reason = (
-        F.when(F.col("index").isNull(), F.lit(INVALID_BODY))
-        .when(F.col("_fields").isNull(), F.lit(NOT_AN_OBJECT))
-        .when(F.col("timestamp").isNull() | (ahead > MAX_FUTURE_SKEW_MS), F.lit(BAD_TIMESTAMP))
-        .when(~known_level, F.concat(F.lit("invalid level: '"), script_text(F.col("_level")), F.lit("'")))
-        .when(F.col("service").isNull(), F.lit(BAD_SERVICE))
-        .when(F.col("message").isNull(), F.lit(BAD_MESSAGE))
-        .when(~F.coalesce(is_flat(F.col("_members")), F.lit(False)), F.lit(BAD_ATTRIBUTES))
+    arrived = items.withColumn("_arrived", F.unix_millis(_arrival(now)))
+    return _finish(_judge(arrived))
+
+
+def _judge(items: DataFrame) -> DataFrame:
+    """Judge all ordinary items in generated code.
+
+    Only text leaves this part, never the parsed value, which carries its whole
+    body's key dictionary.
+    """
+    texts = items.selectExpr(
+        "request_id", "index", "item", "_arrived",
+        f"try_variant_get(item, '$', '{_FIELDS}') AS _item",
+    ).selectExpr(
+        "*",
+        f"{_text('timestamp')} AS _timestamp",
+        f"{_text('level')} AS level",
+        f"nullif({_text('service')}, '') AS service",
+        f"nullif({_text('message')}, '') AS message",
+        f"{kind('_item.level')} AS _level_kind",
+        f"{kind('_item.attributes')} AS _schema",
+        "to_json(_item.attributes) AS _json",
     )
-    judged = parsed.withColumn("reason", reason)
-    accepted = F.col("reason").isNull()
-    return judged.select(
-        "request_id",
-        "index",
-        "reason",
-        "timestamp",
-        "level",
-        "service",
-        "message",
-        F.when(accepted, text_map(F.col("_members"))).alias("attributes"),
-        F.when(accepted, json_text(F.col("_members"))).alias("attributes_json"),
-        F.when(~accepted, F.to_json("item")).alias("raw"),
+    levels = ", ".join(f"'{level}'" for level in LEVELS)
+    shown_level = f"""CASE
+        WHEN _level_kind IS NULL THEN 'undefined'
+        WHEN _level_kind = 'VOID' THEN 'null'
+        WHEN _level_kind IN ('STRING', 'BOOLEAN') THEN {as_text('_item.level')}
+        WHEN _level_kind LIKE 'OBJECT<%' THEN '[object Object]' END"""
+    reason = f"""CASE
+        WHEN index IS NULL THEN '{INVALID_BODY}'
+        WHEN _item IS NULL THEN '{NOT_AN_OBJECT}'
+        WHEN timestamp IS NULL OR unix_millis(timestamp) - _arrived > {MAX_FUTURE_SKEW_MS}
+            THEN '{BAD_TIMESTAMP}'
+        WHEN NOT coalesce(level IN ({levels}), false)
+            THEN coalesce({_level_reason(shown_level)}, '{_OTHER_LEVEL}')
+        WHEN service IS NULL THEN '{BAD_SERVICE}'
+        WHEN message IS NULL THEN '{BAD_MESSAGE}'
+        WHEN _schema NOT LIKE 'OBJECT<%' THEN '{BAD_ATTRIBUTES}' END"""
+    return texts.withColumn("timestamp", iso_timestamp(F.col("_timestamp"))).selectExpr(
+        "*",
+        f"{reason} AS _reason",
+        f"_schema IS NULL OR ({is_plain('_schema', '_json')}) AS _plain",
+    ).selectExpr(
+        "request_id", "index", "_reason", "timestamp", "level", "service", "message", "_plain",
+        f"""CASE WHEN _schema IS NULL THEN cast(map() AS map<string,string>)
+            WHEN _plain THEN {plain_text_map('_item.attributes')} END AS _map""",
+        "coalesce(_json, '{}') AS _json",
+        f"CASE WHEN _reason = '{_OTHER_LEVEL}' THEN to_json(_item.level) END AS _level_json",
+        "CASE WHEN _reason IS NOT NULL OR NOT _plain THEN to_json(item) END AS raw",
     )
 
 
+def _finish(judged: DataFrame) -> DataFrame:
+    """Look again at the few items that need higher-order functions.
+
+    These are attributes that are not plain and levels that are a number or an
+    array; for all other rows the columns added here stay NULL.
+    """
+    row = f"""named_struct(
+        'request_id', request_id, 'index', index,
+        'reason', CASE
+            WHEN _reason = '{_OTHER_LEVEL}' THEN {_level_reason(script_text('_level'))}
+            WHEN _reason IS NOT NULL OR _plain THEN _reason
+            WHEN NOT {is_flat('_members')} THEN '{BAD_ATTRIBUTES}' END,
+        'timestamp', timestamp, 'level', level, 'service', service, 'message', message,
+        'attributes', attributes,
+        'attributes_json', CASE WHEN _plain THEN _json ELSE {json_text('_members', 'attributes')} END,
+        'raw', raw)"""
+    # A filter on the reason is not moved below a generator, so it reads the
+    # finished reason instead of repeating all of the above for every row.
+    return judged.selectExpr(
+        "*",
+        "try_parse_json(_level_json) AS _level",
+        f"""CASE WHEN _reason IS NULL AND NOT _plain
+            THEN {as_members('try_parse_json(_json)')} END AS _members""",
+    ).selectExpr(
+        "*", f"CASE WHEN _plain THEN _map ELSE {text_map('_members')} END AS attributes"
+    ).selectExpr(f"inline(array({row}))")
+
+
+def _level_reason(text: str) -> str:
+    return f"concat('invalid level: ', chr(39), {text}, chr(39))"
+
+
 def validate(envelopes: DataFrame, now: dt.datetime | Column | None = None) -> DataFrame:
     """Judge every item of every request; an unusable body is one row without index."""
     return validate_items(explode_items(envelopes), now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ENVELOPE
@@ -35,21 +35,21 @@ def _from_files(files: DataFrame) -> DataFrame:
     )
 
 
-def request_items(body: Column) -> Column:
-    """The body's ``logs`` array, or NULL when the request must be refused.
+def explode_items(envelopes: DataFrame) -> DataFrame:
+    """One row per item with its position; an unusable body keeps one row without both.
 
     The parser stops after the first JSON value.  Text behind it would show up
     as a second array element or a syntax error in one of the two wrappings.
     """
+    body = F.col("body")
     listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    closed = F.json_object_keys(F.concat(F.lit('{"w":'), body, F.lit("}"))) == F.array(F.lit("w"))
-    items = F.try_variant_get(listed, "$[0].logs", "array<variant>")
-    return F.when(alone & closed & (F.size(items) > 0), items)
-
-
-def explode_items(envelopes: DataFrame) -> DataFrame:
-    """One row per item with its position; an unusable body keeps one row without both."""
-    return envelopes.withColumn("_logs", request_items(F.col("body"))).select(
-        "request_id", "received_at", F.posexplode_outer("_logs").alias("index", "item")
+    keys = F.json_object_keys(F.concat(F.lit('{"w":'), body, F.lit("}")))
+    second = F.try_variant_get("_listed", "$[1]", "variant")
+    items = F.try_variant_get("_listed", "$[0].logs", "array<variant>")
+    usable = F.col("_second").isNull() & (keys == F.array(F.lit("w"))) & (F.size("_items") > 0)
+    return (
+        envelopes.withColumn("_listed", listed)
+        .withColumns({"_items": items, "_second": second})
+        .withColumn("_logs", F.when(usable, F.col("_items")))
+        .select("request_id", "received_at", F.posexplode_outer("_logs").alias("index", "item"))
     )

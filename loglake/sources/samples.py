@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.attributes import attribute_columns
+from ..functions.attributes import with_attributes
 from ..functions.isotime import iso_micros_text
-from ..functions.variants import quoted
 from ..schema import LOG_COLUMNS
 
 # ``ts`` holds UTC instants without a zone; read as TIMESTAMP it keeps its
@@ -16,24 +15,28 @@ _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, props s
 _ITEMS_PER_REQUEST = 100
 
 
+def _quoted(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def event_logs(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as records with ids."""
     events = spark.read.schema(_EVENTS).parquet(f"{folder}/events.parquet")
-    attributes, attributes_json = attribute_columns(F.col("props"))
     kind = F.col("event_type")
     level = (
         F.when(kind == "error", "error").when(kind == "purchase", "warn")
         .when(kind == "view", "debug").otherwise("info")
     )
     user = F.col("user_id")
-    return events.select(
+    return with_attributes(events, F.try_parse_json("props")).select(
         (F.col("event_id") + 1).alias("id"),
         F.col("ts").alias("timestamp"),
         level.alias("level"),
         F.concat(F.lit("svc-"), (user % 8).cast("string")).alias("service"),
         F.concat(kind, F.lit(" by user_"), user.cast("string"), F.lit(" at 50% "), "props").alias("message"),
-        attributes,
-        attributes_json,
+        "attributes",
+        "attributes_json",
     )
 
 
@@ -52,7 +55,7 @@ def document_logs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("message"),
         F.create_map(F.lit("lang"), F.col("lang"), F.lit("n_chars"), count).alias("attributes"),
         F.concat(
-            F.lit('{"lang":'), quoted(F.col("lang")), F.lit(',"n_chars":'), count, F.lit("}")
+            F.lit('{"lang":'), _quoted(F.col("lang")), F.lit(',"n_chars":'), count, F.lit("}")
         ).alias("attributes_json"),
     )
 
@@ -68,7 +71,7 @@ def event_requests(spark: SparkSession, folder: str) -> DataFrame:
         "service": F.when(case == 17, "").otherwise(F.col("service")),
         "message": F.when(case == 31, "").otherwise(F.col("message")),
     }
-    member = {name: F.concat(F.lit(f'"{name}":'), quoted(value)) for name, value in text.items()}
+    member = {name: F.concat(F.lit(f'"{name}":'), _quoted(value)) for name, value in text.items()}
     member["level"] = F.when(case != 13, member["level"])
     member["message"] = F.when(case == 19, '"message":5').otherwise(member["message"])
     member["attributes"] = F.when(case == 23, '"attributes":{"nested":{}}').when(

@@ -36,7 +36,7 @@ from ..session import delete_path, hadoop_path, materialize
 _EPOCH = dt.date(1970, 1, 1)
 _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
-_ROWS_PER_SMALL_TASK = 100_000
+_ROWS_PER_SMALL_TASK = 10_000
 _KEPT_STATES = 5
 
 
@@ -271,16 +271,15 @@ class LogTable:
         files = max(math.ceil(rows / _ROWS_PER_FILE), spread)
         (
             numbered.repartitionByRange(files, *order).sortWithinPartitions(*order)
-            .write.mode("append").partitionBy("log_date", "batch_id")
-            .option("parquet.bloom.filter.enabled#service", "true")
-            .parquet(self.logs_path)
+            .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.logs_path)
         )
 
     def _write_rollup(self, placed: DataFrame) -> None:
-        order = ["log_date", "batch_id", "start_1m", "service"]
+        """Rebalanced by date: small dates share a task, a large one is split."""
         (
             build_rollup(placed, "log_date", "batch_id")
-            .repartitionByRange(*order).sortWithinPartitions(*order)
+            .hint("rebalance", "log_date")
+            .sortWithinPartitions("log_date", "batch_id", "start_1m", "service")
             .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.rollup_path)
         )
 
