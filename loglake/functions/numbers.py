@@ -16,7 +16,8 @@ def let(name: str, value: str, body: str) -> str:
 def _with_digits(magnitude: str, body: str) -> str:
     """``body`` may use p.digits and p.point: the number is 0.digits x 10^point.
 
-    The digits are the fewest that read back as the same double.
+    The digits are the fewest that read back as the same double (numbers
+    closer to zero than any normal double may show one digit more).
     """
     forms = ", ".join(f"format_string('%.{n}e', {magnitude})" for n in (14, 15, 16))
     shortest = f"element_at(filter(array({forms}), f -> try_cast(f AS double) = {magnitude}), 1)"

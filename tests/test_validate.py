@@ -1,0 +1,188 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from loglake import accepted_logs, rejects, summarize, validate
+
+NOW = dt.datetime(2026, 8, 12, 12, 0, tzinfo=dt.timezone.utc)
+GOOD = {
+    "timestamp": "2026-08-12T12:00:00.000Z", "level": "info", "service": "test",
+    "message": "hello", "attributes": {},
+}
+OBJECT = "log must be an object"
+TIMESTAMP = "timestamp must be a valid ISO datetime"
+SERVICE = "service must be a non-empty string"
+MESSAGE = "message must be a non-empty string"
+ATTRIBUTES = "attributes must be a flat object with string, number, or boolean values"
+BODY = "Invalid request body"
+
+
+class Raw(str):
+    """JSON text put into an item as it is."""
+
+
+def item(**changes):
+    fields = {**GOOD, **changes}
+    members = (
+        f"{json.dumps(k)}:{v if isinstance(v, Raw) else json.dumps(v)}"
+        for k, v in fields.items() if v is not Ellipsis
+    )
+    return Raw("{" + ",".join(members) + "}")
+
+
+def judge(spark, *bodies):
+    rows = [(str(n), body, NOW) for n, body in enumerate(bodies)]
+    return validate(spark.createDataFrame(rows, "request_id string, body string, received_at timestamp"))
+
+
+def request(*items):
+    return '{"logs":[' + ",".join(str(i) for i in items) + "]}"
+
+
+def reasons(spark, items):
+    judged = judge(spark, request(*items)).orderBy("index").select("index", "reason").collect()
+    assert [row["index"] for row in judged] == list(range(len(items)))
+    return [row["reason"] for row in judged]
+
+
+def level(text):
+    return f"invalid level: '{text}'"
+
+
+CASES = [
+    (item(), None),
+    ("5", OBJECT), ("null", OBJECT), ("[]", OBJECT), ('"{}"', OBJECT), ("true", OBJECT), ("1.5e3", OBJECT),
+    ("{}", TIMESTAMP),
+    (item(timestamp=...), TIMESTAMP), (item(timestamp="not-a-date"), TIMESTAMP),
+    (item(timestamp=5), TIMESTAMP), (item(timestamp=None), TIMESTAMP),
+    (item(timestamp="2026-08-12T12:05:00.000Z"), None),
+    (item(timestamp="2026-08-12T12:05:00.000999Z"), None),
+    (item(timestamp="2026-08-12T12:05:00.001Z"), TIMESTAMP),
+    (item(timestamp="2026-08-12T14:05:00+02:00"), None),
+    (item(timestamp="2026-08-12T12:05:00-00:01"), TIMESTAMP),
+    (item(timestamp="2020-01-01T00:00:00.000Z"), None), (item(timestamp="0000-01-01T00:00:00Z"), None),
+    *[(item(level=name), None) for name in ("debug", "info", "warn", "error")],
+    (item(level="critical"), level("critical")), (item(level="INFO"), level("INFO")),
+    (item(level=""), level("")), (item(level="it's"), level("it's")), (item(level=...), level("undefined")),
+    (item(level=None), level("null")), (item(level=True), level("true")), (item(level=5), level("5")),
+    (item(level=Raw("1.50")), level("1.5")), (item(level=Raw("1e21")), level("1e+21")),
+    (item(level=Raw("-1e-7")), level("-1e-7")), (item(level=Raw("9007199254740993")), level("9007199254740992")),
+    (item(level=Raw("1e400")), level("Infinity")),
+    (item(level={"a": [1]}), level("[object Object]")),
+    (item(level=[]), level("")), (item(level=["info"]), level("info")),
+    (item(level=Raw('[1,"a,\\"b",null,[2,[3,null]],{"x":[4,"}"]},true,1e21]')),
+     level('1,a,"b,,2,3,,[object Object],true,1e+21')),
+    (item(level=[[], []]), level(",")),
+    (item(level="level of another type"), level("level of another type")),
+    (item(service=""), SERVICE), (item(service=5), SERVICE), (item(service=...), SERVICE),
+    (item(service=None), SERVICE), (item(service=" "), None), (item(service=["a"]), SERVICE),
+    (item(message=""), MESSAGE), (item(message=5), MESSAGE), (item(message=...), MESSAGE),
+    (item(message="0"), None),
+    (item(attributes=...), None), (item(attributes=[]), ATTRIBUTES), (item(attributes=None), ATTRIBUTES),
+    (item(attributes="x"), ATTRIBUTES), (item(attributes=5), ATTRIBUTES),
+    (item(attributes={"nested": {}}), ATTRIBUTES), (item(attributes={"a": None}), ATTRIBUTES),
+    (item(attributes={"a": [1]}), ATTRIBUTES), (item(attributes={"a": 1, "b": {"c": 1}}), ATTRIBUTES),
+    (item(attributes={"region": "eu-west", "retries": 2, "success": True}), None),
+    (item(attributes={"OBJECT<": "ARRAY<", "DOUBLE": 1.5}), None),
+    (item(attributes=Raw('{"a":1e21,"b":12345678901234567890}')), None),
+    # the first failing rule decides
+    (item(level="critical", message=""), level("critical")),
+    (item(timestamp="x", level="critical"), TIMESTAMP),
+    (item(service="", message="", attributes=[]), SERVICE),
+    (item(message="", attributes=[]), MESSAGE),
+]
+
+
+def test_reasons(spark):
+    got = reasons(spark, [text for text, _ in CASES])
+    assert list(zip([c[0] for c in CASES], got)) == CASES
+
+
+def test_mixed_request_keeps_positions(spark):
+    judged = judge(spark, request(item(), item(level="critical"), item(message="third"), item(message="")))
+    kept = accepted_logs(judged).orderBy("index").collect()
+    assert [(r["index"], r["message"]) for r in kept] == [(0, "hello"), (2, "third")]
+    refused = rejects(judged).orderBy("index").collect()
+    assert [(r["index"], r["reason"]) for r in refused] == [(1, level("critical")), (3, MESSAGE)]
+    assert json.loads(refused[0]["raw"]) == {**GOOD, "level": "critical"}
+    summary = summarize(judged).first()
+    assert summary["accepted"] == 2 and summary["ok"] and summary["error"] is None
+    assert [tuple(r) for r in summary["rejected"]] == [(1, level("critical")), (3, MESSAGE)]
+
+
+def test_all_invalid_is_a_failure(spark):
+    summary = summarize(judge(spark, request("{}", item(service="")))).first()
+    assert summary["accepted"] == 0 and not summary["ok"] and len(summary["rejected"]) == 2
+
+
+def test_unknown_fields_are_dropped(spark):
+    kept = accepted_logs(judge(spark, request(item(extra=1, id=7)))).first()
+    assert set(kept.asDict()) == {
+        "request_id", "index", "timestamp", "level", "service", "message", "attributes", "attributes_json"
+    }
+
+
+def test_repeated_fields_keep_the_last(spark):
+    text = '{"timestamp":"2026-08-12T12:00:00Z","level":"bad","level":"info","service":"s","message":"m"}'
+    assert reasons(spark, [text]) == [None]
+
+
+def test_attributes_of_accepted_items(spark):
+    kept = accepted_logs(judge(spark, request(
+        item(attributes={"region": "eu-west", "retries": 2, "success": True}),
+        item(attributes=...),
+        item(attributes=Raw('{"big":1e21,"exact":9007199254740993}')),
+    ))).orderBy("index").collect()
+    assert kept[0]["attributes"] == {"region": "eu-west", "retries": "2", "success": "true"}
+    assert json.loads(kept[0]["attributes_json"]) == {"region": "eu-west", "retries": 2, "success": True}
+    assert (kept[1]["attributes"], kept[1]["attributes_json"]) == ({}, "{}")
+    assert kept[2]["attributes"] == {"big": "1" + "0" * 21, "exact": "9007199254740992"}
+    assert json.loads(kept[2]["attributes_json"]) == {"big": 10 ** 21, "exact": 9007199254740992}
+
+
+def test_microseconds_and_text_survive(spark):
+    kept = accepted_logs(judge(spark, request(
+        item(timestamp="2000-01-01T00:00:00.123456Z", message="ünïcode \U0001f600\n\"q\"")
+    ))).select(F.unix_micros("timestamp").alias("t"), "message").first()
+    assert kept["t"] == 946_684_800_123_456
+    assert kept["message"] == "ünïcode \U0001f600\n\"q\""
+
+
+ONE = request(item())
+
+
+@pytest.mark.parametrize("body", [
+    "", " ", "{}", "[]", "null", "5", '"text"', '{"logs":"wrong"}', '{"logs":null}', '{"logs":[]}', '{"logs":{}}',
+    '{"logs":', '{"LOGS":[{}]}', "[" + ONE + "]", ONE + " junk", ONE + "}", ONE + "]", ONE + ',{"a":1}',
+    ONE + "] []", ONE + "}} x", ONE + ',"x":1', ONE + ONE, "{'logs':[{}]}", '{"logs":[NaN]}', '{"logs":[{}],}',
+    '{"logs":[01]}', '{"logs":[{}]} // note', '{logs:[{}]}', None,
+])
+def test_unusable_bodies(spark, body):
+    judged = judge(spark, body)
+    row = judged.first()
+    assert judged.count() == 1 and row["index"] is None and row["reason"] == BODY
+    summary = summarize(judged).first()
+    assert (summary["accepted"], summary["rejected"], summary["error"]) == (0, [], BODY)
+
+
+@pytest.mark.parametrize("body", [ONE, "  " + ONE + " \n", '{"logs":[],"logs":[' + item() + "]}",
+                                  '{"a":{"logs":1},"logs":[' + item() + '],"z":[1]}'])
+def test_usable_bodies(spark, body):
+    assert [r["reason"] for r in judge(spark, body).collect()] == [None]
+
+
+def test_now_can_be_given(spark):
+    rows = spark.createDataFrame([("r", ONE)], "request_id string, body string").withColumn(
+        "received_at", F.lit(None).cast("timestamp"))
+    early = NOW - dt.timedelta(minutes=6)
+    assert validate(rows, early).first()["reason"] == TIMESTAMP
+    assert validate(rows, NOW).first()["reason"] is None
+
+
+def test_no_python_in_the_plan_and_body_parsed_once(spark):
+    judged = judge(spark, ONE)
+    plan = accepted_logs(judged)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert plan.count("parseJson(concat([,") == 1
