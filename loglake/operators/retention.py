@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.isotime import micros_literal, micros_of
@@ -19,6 +19,8 @@ from .rollup import MINUTE, build_rollup
 
 _DAY_MICROS = 86_400_000_000
 _MAX_ID = 2 ** 63 - 1
+# Up to this many rows one task may keep; more are ordered by range partitions.
+_ONE_TASK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -51,49 +53,56 @@ def survivors(
     cutoff = cutoff_micros(now, options)
     position = Position(cutoff - 1)
     if bounded:
-        position = nth_oldest(expired(logs, cutoff), options.max_rows) or position
+        old = expired(logs, cutoff)
+        _, nth = nth_oldest(old, options.max_rows, build_rollup(old))
+        position = nth or position
     return logs.filter(~position.covers())
 
 
-def nth_oldest(logs: DataFrame, n: int, minutes: DataFrame | None = None) -> Position | None:
-    """The position of the n-th oldest row, or None when there are fewer.
+def nth_oldest(logs: DataFrame, n: int, minutes: DataFrame) -> tuple[int, Position | None]:
+    """The number of rows, and the position of the n-th oldest if there are that many.
 
-    Minute counts (``start_1m, count``; a rollup, if there is one) lead to the
-    day, then to the minute.  Only that minute's rows are ordered, by range
-    partitions, so a minute that holds most of the table is still spread out.
+    ``minutes`` holds the counts of ``logs`` per minute (``start_1m, count``).
+    They lead to the day, then to the minute.  Only that minute's rows are put
+    in order, and a minute that holds most of the table is ordered by range
+    partitions, not in one task.
     """
-    if minutes is None:
-        minutes = build_rollup(logs)
-    day = F.floor(F.unix_micros("start_1m") / _DAY_MICROS)
-    per_day = minutes.groupBy(day.alias("slice")).agg(F.sum("count").alias("count"))
-    found = _slice_with(per_day, n)
-    if found is None:
-        return None
-    chosen_day, before_day = found
-    start = F.floor(F.unix_micros("start_1m") / MINUTE)
-    per_minute = (
-        minutes.filter(day == chosen_day)
-        .groupBy(start.alias("slice")).agg(F.sum("count").alias("count"))
-    )
-    minute, before_minute = _slice_with(per_minute, n - before_day)
-    in_minute = logs.filter(
-        (F.col("timestamp") >= micros_literal(minute * MINUTE))
-        & (F.col("timestamp") < micros_literal((minute + 1) * MINUTE))
-    ).select("timestamp", "id")
-    ranked = number_rows(in_minute, "_rank", [F.asc("timestamp"), F.asc("id")])
-    row = (
-        ranked.filter(F.col("_rank") == n - before_day - before_minute)
-        .select(F.unix_micros("timestamp").alias("micros"), "id").first()
-    )
-    return Position(row["micros"], row["id"])
-
-
-def _slice_with(counts: DataFrame, n: int) -> tuple[int, int] | None:
-    """The slice the n-th row falls in and the rows before it.
-
-    The table has one row per calendar day or per minute of one day.
-    """
-    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = counts.withColumn("total", F.sum("count").over(running))
-    row = totals.filter(F.col("total") >= n).orderBy("slice").first()
-    return None if row is None else (row["slice"], row["total"] - row["count"])
+    day = _slice_of("start_1m", _DAY_MICROS)
+    days = _counts(minutes, day)
+    total = sum(count for _, count in days)
+    if total < n:
+        return total, None
+    chosen_day, left = _find(days, n)
+    minute = _slice_of("start_1m", MINUTE)
+    in_day = _counts(minutes.filter(day == chosen_day), minute)
+    chosen_minute, left = _find(in_day, left)
+    rows = logs.filter(
+        (F.col("timestamp") >= micros_literal(chosen_minute * MINUTE))
+        & (F.col("timestamp") < micros_literal((chosen_minute + 1) * MINUTE))
+    ).select(F.unix_micros("timestamp").alias("micros"), "id")
+    order = [F.asc("micros"), F.asc("id")]
+    if left <= _ONE_TASK_ROWS:
+        row = rows.orderBy(*order).limit(left).orderBy(F.desc("micros"), F.desc("id")).first()
+    else:
+        row = number_rows(rows, "_rank", order).filter(F.col("_rank") == left).first()
+    return total, Position(row["micros"], row["id"])
+
+
+def _slice_of(column: str, width: int) -> Column:
+    micros = F.unix_micros(column)
+    return ((micros - F.pmod(micros, F.lit(width))) / width).cast("long")
+
+
+def _counts(minutes: DataFrame, slices: Column) -> list[tuple[int, int]]:
+    """Rows per day of the calendar, or per minute of one day: a short list."""
+    counted = minutes.groupBy(slices.alias("slice")).agg(F.sum("count").alias("count"))
+    return sorted(tuple(row) for row in counted.collect())
+
+
+def _find(counts: list[tuple[int, int]], n: int) -> tuple[int, int]:
+    """The slice the n-th row falls in and its number within the slice."""
+    for place, count in counts:
+        if n <= count:
+            return place, n
+        n -= count
+    raise ValueError("fewer rows than asked for")

@@ -16,11 +16,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.isotime import micros_literal
 from ..operators.aggregate import aggregate_logs
@@ -38,6 +40,7 @@ _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
 _ROWS_PER_SMALL_TASK = 10_000
 _KEPT_STATES = 5
+_MAX_LONG = 2 ** 63 - 1
 
 
 @dataclass(frozen=True)
@@ -122,8 +125,13 @@ class LogTable:
                 F.to_date("timestamp").alias("log_date"),
                 F.lit(batch).cast("long").alias("batch_id"),
             )
-            self._write_logs(number_slots(placed, "id", state.next_id - 1, size["tasks"]), rows)
-            self._write_rollup(placed)
+            numbered = number_slots(placed, "id", state.next_id - 1, size["tasks"])
+            with ThreadPoolExecutor(1) as beside:  # the two writes share the cluster
+                rollup = beside.submit(
+                    inheritable_thread_target(self.spark)(self._write_rollup), placed
+                )
+                self._write_logs(numbered, rows)
+                rollup.result()
         writers = dict(state.writers)
         if writer is not None:
             writers[writer] = epoch
@@ -160,16 +168,14 @@ class LogTable:
         cutoff = cutoff_micros(now, options)
         state = self.state()
         whole = cutoff - cutoff % MINUTE
-        minutes = self._exact_rollup(None, whole, state).select("start_1m", "count")
-        tail = self.scan(whole, cutoff, state)
-        found = (minutes.agg(F.sum("count")).first()[0] or 0) + tail.count()
-        if not found:
+        minutes = self._exact_rollup(None, whole, state).select("start_1m", "count").unionByName(
+            build_rollup(self.scan(whole, cutoff, state)).select("start_1m", "count")
+        )
+        bound = options.max_rows if bounded else _MAX_LONG
+        total, position = nth_oldest(self.scan(None, cutoff, state), bound, minutes)
+        if not total:
             return 0
-        position, deleted = Position(cutoff - 1), found
-        if bounded and found > options.max_rows:
-            counts = minutes.unionByName(build_rollup(tail).select("start_1m", "count"))
-            position = nth_oldest(self.scan(None, cutoff, state), options.max_rows, counts)
-            deleted = options.max_rows
+        deleted, position = min(total, bound), position or Position(cutoff - 1)
         removal = Removal(position.micros, position.id, state.next_batch - 1)
         kept = tuple(r for r in state.removals if not r.within(removal))
         self._publish(replace(state, removals=(*kept, removal)))
