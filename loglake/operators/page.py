@@ -85,7 +85,8 @@ def all_pages(logs: DataFrame, limit: int) -> DataFrame:
 
     The whole walk is one range-partitioned sort, not one job per page.
     """
-    ordered = number_rows(logs, "_row", [F.desc("timestamp"), F.desc("id")])
+    keys = logs.select("timestamp", "id")
+    ordered = number_rows(keys, "_row", [F.desc("timestamp"), F.desc("id")])
     zero_based = F.col("_row") - 1
     return ordered.select(
         F.floor(zero_based / limit).alias("page"),

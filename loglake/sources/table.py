@@ -65,11 +65,27 @@ class TableState:
     first_batch: int = 1
     next_batch: int = 1
     removals: tuple[Removal, ...] = ()
+    # Days rewritten by compact: batches before this number are replaced.
+    compacted: dict[str, int] = field(default_factory=dict)
     # Last batch number taken from each streaming writer.
     writers: dict[str, int] = field(default_factory=dict)
 
     def visible_batches(self) -> Column:
-        return F.col("batch_id").between(self.first_batch, self.next_batch - 1)
+        """The directories to read, told by the partition columns alone."""
+        visible = F.col("batch_id").between(self.first_batch, self.next_batch - 1)
+        for day, batch in self.compacted.items():
+            visible &= (F.col("log_date") != dt.date.fromisoformat(day)) | (F.col("batch_id") >= batch)
+        for removal in self.removals:
+            later = F.col("log_date") >= day_literal(utc_day(removal.micros))
+            visible &= later | (F.col("batch_id") > removal.batch)
+        return visible
+
+    def needs(self, day: int, batch: int) -> bool:
+        """Whether any visible record can be in this directory."""
+        date = (_EPOCH + dt.timedelta(days=day)).isoformat()
+        replaced = batch < self.compacted.get(date, 0)
+        removed = any(batch <= r.batch and day < utc_day(r.micros) for r in self.removals)
+        return batch >= self.first_batch and not replaced and not removed
 
 
 class LogTable:
@@ -126,12 +142,7 @@ class LogTable:
                 F.lit(batch).cast("long").alias("batch_id"),
             )
             numbered = number_slots(placed, "id", state.next_id - 1, size["tasks"])
-            with ThreadPoolExecutor(1) as beside:  # the two writes share the cluster
-                rollup = beside.submit(
-                    inheritable_thread_target(self.spark)(self._write_rollup), placed
-                )
-                self._write_logs(numbered, rows)
-                rollup.result()
+            self._write_both(numbered, placed, rows)
         writers = dict(state.writers)
         if writer is not None:
             writers[writer] = epoch
@@ -152,19 +163,19 @@ class LogTable:
     def truncate(self) -> None:
         """Empty the table and start ids at 1 again."""
         state = self.state()
-        emptied = replace(state, next_id=1, first_batch=state.next_batch, removals=())
-        self._publish(emptied)
-        for path in (self.logs_path, self.rollup_path):
-            delete_path(self.spark, path)
+        self._publish(replace(
+            state, next_id=1, first_batch=state.next_batch, removals=(), compacted={}))
+        self.vacuum()
 
     def retain(
         self, now: dt.datetime, options: RetentionOptions = RetentionOptions(), bounded: bool = True
     ) -> int:
         """Delete expired records, oldest first; returns how many.
 
-        The run publishes a position up to which records are gone, then deletes
-        the date directories that lie wholly before it.  Nothing is rewritten.
+        The run publishes a position up to which records are gone; nothing is
+        rewritten.  Files of days wholly before it go with the next ``vacuum``.
         """
+        self.vacuum()
         cutoff = cutoff_micros(now, options)
         state = self.state()
         whole = cutoff - cutoff % MINUTE
@@ -179,9 +190,42 @@ class LogTable:
         removal = Removal(position.micros, position.id, state.next_batch - 1)
         kept = tuple(r for r in state.removals if not r.within(removal))
         self._publish(replace(state, removals=(*kept, removal)))
-        self._drop_removed_days()
         return deleted
 
+    def compact(self, day: dt.date) -> int:
+        """Rewrite one day's batches as a single one; returns its records.
+
+        Many small stream batches become evenly sized files sorted by time, and
+        records that retention removed from the day are left out.
+        """
+        self.vacuum()
+        state = self.state()
+        start = (day - _EPOCH).days * _DAY_MICROS
+        batch = state.next_batch
+        rows = self.scan(start, start + _DAY_MICROS, state).withColumn(
+            "batch_id", F.lit(batch).cast("long"))
+        count = rows.count()
+        self._remove_unpublished(state)
+        if count:
+            self._write_both(rows, rows, count)
+        self._publish(replace(
+            state, next_batch=batch + 1, compacted={**state.compacted, day.isoformat(): batch}))
+        return count
+
+    def vacuum(self) -> None:
+        """Delete directories the current state no longer shows.
+
+        Retention and compaction call this before they publish, not after, so
+        files outlive the readers that were running when they were replaced.
+        """
+        state = self.state()
+        for path in (self.logs_path, self.rollup_path):
+            for day in self._days(path):
+                if not state.needs(day, 0):
+                    self._drop_batches(path, day, state)
+        if state.compacted:
+            self._publish(replace(state, compacted={}))
+
     # Reading
 
     def scan(
@@ -264,6 +308,13 @@ class LogTable:
 
     # Files
 
+    def _write_both(self, numbered: DataFrame, placed: DataFrame, rows: int) -> None:
+        """Write records and rollup side by side, sharing the cluster."""
+        with ThreadPoolExecutor(1) as beside:
+            rollup = beside.submit(inheritable_thread_target(self.spark)(self._write_rollup), placed)
+            self._write_logs(numbered, rows)
+            rollup.result()
+
     def _write_logs(self, numbered: DataFrame, rows: int) -> None:
         """Files of even size, sorted by time inside each date.
 
@@ -351,25 +402,18 @@ class LogTable:
     def _day_path(self, path: str, day: int) -> str:
         return f"{path}/log_date={_EPOCH + dt.timedelta(days=day)}"
 
-    def _drop_removed_days(self) -> None:
-        """Delete the batch directories of days that retention removed whole."""
-        for removal in self.state().removals:
-            for path in (self.logs_path, self.rollup_path):
-                for day in self._days(path):
-                    if day < utc_day(removal.micros):
-                        self._drop_batches(self._day_path(path, day), lambda b: b <= removal.batch)
-
     def _remove_unpublished(self, state: TableState) -> None:
         """Delete what a failed append left under a number not yet published."""
         fs, pattern = hadoop_path(self.spark, f"{self.root}/*/log_date=*/batch_id={state.next_batch}")
         for status in fs.globStatus(pattern) or []:
             fs.delete(status.getPath(), True)
 
-    def _drop_batches(self, day_path: str, gone) -> None:
-        batches = [name for name in self._names(day_path) if name.startswith("batch_id=")]
-        doomed = [name for name in batches if gone(int(name[9:]))]
-        if len(doomed) == len(batches):
-            delete_path(self.spark, day_path)
+    def _drop_batches(self, path: str, day: int, state: TableState) -> None:
+        folder = self._day_path(path, day)
+        batches = [int(name[9:]) for name in self._names(folder) if name.startswith("batch_id=")]
+        unneeded = [batch for batch in batches if not state.needs(day, batch)]
+        if len(unneeded) == len(batches):
+            delete_path(self.spark, folder)
             return
-        for name in doomed:
-            delete_path(self.spark, f"{day_path}/{name}")
+        for batch in unneeded:
+            delete_path(self.spark, f"{folder}/batch_id={batch}")
