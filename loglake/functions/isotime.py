@@ -59,19 +59,33 @@ def parse_iso_micros(text: str) -> int | None:
         return None
     year, month, day, hour, minute, second, fraction, sign, zh, zm = _PARTS.fullmatch(text).groups()
     try:
-        if int(year) == 0:  # Python has no year 0; the calendar repeats every 400 years
-            days = dt.date(400, int(month), int(day)).toordinal() - _DAYS_IN_400_YEARS
-        else:
-            days = dt.date(int(year), int(month), int(day)).toordinal()
+        days = day_number(f"{year}-{month}-{day}")
     except ValueError:
         return None
-    seconds = ((days - _EPOCH_DAY) * 24 + int(hour)) * 3600 + int(minute) * 60 + int(second)
+    seconds = (days * 24 + int(hour)) * 3600 + int(minute) * 60 + int(second)
     if sign:
         offset = int(zh) * 3600 + int(zm) * 60
         seconds += offset if sign == "-" else -offset
     return seconds * 1_000_000 + int((fraction or "").ljust(6, "0")[:6])
 
 
+def day_number(text: str) -> int:
+    """Days since 1970-01-01 of a date; unlike Python's, years may be 0 or less."""
+    year, month, day = text.rsplit("-", 2)
+    cycles = max(0, -((int(year) - 1) // 400))  # the calendar repeats every 400 years
+    date = dt.date(int(year) + 400 * cycles, int(month), int(day))
+    return date.toordinal() - _DAYS_IN_400_YEARS * cycles - _EPOCH_DAY
+
+
+def day_text(day: int) -> str:
+    """The date of a day number, as Spark writes it."""
+    ordinal = day + _EPOCH_DAY
+    cycles = max(0, -((ordinal - 1) // _DAYS_IN_400_YEARS))
+    date = dt.date.fromordinal(ordinal + _DAYS_IN_400_YEARS * cycles)
+    year = date.year - 400 * cycles
+    return f"{'-' if year < 0 else ''}{abs(year):04d}-{date:%m-%d}"
+
+
 def micros_literal(micros: int) -> Column:
     """An instant literal; Catalyst folds it, so it reaches the Parquet filter."""
     return F.timestamp_micros(F.lit(micros).cast("long"))

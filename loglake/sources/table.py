@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ..functions.isotime import micros_literal
+from ..functions.isotime import day_number, day_text, micros_literal
 from ..operators.aggregate import aggregate_logs
 from ..operators.numbering import SLOT, number_slots, slot_offsets, slotted
 from ..operators.page import LogsPage, fetch_recent_page
@@ -35,7 +35,6 @@ from ..plans.specs import AggregateQuery, LogsQuery, RetentionOptions
 from ..schema import LOG_COLUMNS, ROLLUP, STORED
 from ..session import delete_path, hadoop_path, materialize
 
-_EPOCH = dt.date(1970, 1, 1)
 _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
 _ROWS_PER_SMALL_TASK = 10_000
@@ -74,7 +73,8 @@ class TableState:
         """The directories to read, told by the partition columns alone."""
         visible = F.col("batch_id").between(self.first_batch, self.next_batch - 1)
         for day, batch in self.compacted.items():
-            visible &= (F.col("log_date") != dt.date.fromisoformat(day)) | (F.col("batch_id") >= batch)
+            other_day = F.col("log_date") != day_literal(day_number(day))
+            visible &= other_day | (F.col("batch_id") >= batch)
         for removal in self.removals:
             later = F.col("log_date") >= day_literal(utc_day(removal.micros))
             visible &= later | (F.col("batch_id") > removal.batch)
@@ -82,8 +82,7 @@ class TableState:
 
     def needs(self, day: int, batch: int) -> bool:
         """Whether any visible record can be in this directory."""
-        date = (_EPOCH + dt.timedelta(days=day)).isoformat()
-        replaced = batch < self.compacted.get(date, 0)
+        replaced = batch < self.compacted.get(day_text(day), 0)
         removed = any(batch <= r.batch and day < utc_day(r.micros) for r in self.removals)
         return batch >= self.first_batch and not replaced and not removed
 
@@ -200,7 +199,7 @@ class LogTable:
         """
         self.vacuum()
         state = self.state()
-        start = (day - _EPOCH).days * _DAY_MICROS
+        start = day_number(day.isoformat()) * _DAY_MICROS
         batch = state.next_batch
         rows = self.scan(start, start + _DAY_MICROS, state).withColumn(
             "batch_id", F.lit(batch).cast("long"))
@@ -239,7 +238,8 @@ class LogTable:
         rows = self._read(self.logs_path, STORED, since, until, state)
         for bound in self._range(since, until, "timestamp"):
             rows = rows.filter(bound)
-        return reduce(lambda df, removal: df.filter(~removal.hides()), state.removals, rows)
+        touching = (r for r in state.removals if since is None or since <= r.micros)
+        return reduce(lambda df, removal: df.filter(~removal.hides()), touching, rows)
 
     def page(self, query: LogsQuery) -> LogsPage:
         """One page, newest first, reading no more of the past than it must."""
@@ -366,9 +366,11 @@ class LogTable:
         split_minutes: dict[int, int] = {}
         for removal in state.removals:
             edge = removal.micros - removal.micros % MINUTE
+            if since is not None and since > edge:
+                continue
             gone = (F.col("start_1m") <= micros_literal(edge)) & (F.col("batch_id") <= removal.batch)
             rows = rows.filter(~gone)
-            if (since is None or edge >= since) and (until is None or edge < until):
+            if until is None or edge < until:
                 split_minutes[edge] = max(removal.batch, split_minutes.get(edge, 0))
         for edge, batch in split_minutes.items():
             rest = self.scan(edge, edge + MINUTE, state).filter(F.col("batch_id") <= batch)
@@ -397,10 +399,10 @@ class LogTable:
 
     def _days(self, path: str) -> list[int]:
         names = (name for name in self._names(path) if name.startswith("log_date="))
-        return sorted((dt.date.fromisoformat(name[9:]) - _EPOCH).days for name in names)
+        return sorted(day_number(name[9:]) for name in names)
 
     def _day_path(self, path: str, day: int) -> str:
-        return f"{path}/log_date={_EPOCH + dt.timedelta(days=day)}"
+        return f"{path}/log_date={day_text(day)}"
 
     def _remove_unpublished(self, state: TableState) -> None:
         """Delete what a failed append left under a number not yet published."""

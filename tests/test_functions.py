@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.attributes import attribute_equals, with_attributes
 from loglake.functions.buckets import BUCKET_MICROS, bucket_start
-from loglake.functions.isotime import iso_timestamp, micros_of, parse_iso_micros
+from loglake.functions.isotime import day_number, day_text, iso_timestamp, micros_of, parse_iso_micros
 from loglake.functions.numbers import plain_number_text, script_number_text
 from loglake.functions.patterns import message_matches, search_pattern
 
@@ -66,6 +66,14 @@ def test_timestamp_grammar_on_the_driver():
     assert {text: parse_iso_micros(text) for text in TIMES} == TIMES
 
 
+def test_day_numbers(spark):
+    days = [-800_000, -719_529, -719_528, -719_162, -1, 0, 19_787, 2_932_896]
+    rows = spark.createDataFrame([(d,) for d in days], "d int")
+    texts = dict(rows.selectExpr("d", "cast(date_from_unix_date(d) as string)").collect())
+    assert {d: day_text(d) for d in days} == texts
+    assert [day_number(texts[d]) for d in days] == days
+
+
 def test_timestamp_grammar_as_a_column(spark):
     rows = spark.createDataFrame([(t,) for t in TIMES], "t string")
     got = rows.select("t", F.unix_micros(iso_timestamp(F.col("t")))).collect()

@@ -70,6 +70,18 @@ def test_rows_come_back_unchanged(table, make_logs):
     assert str(row["log_date"]) == "2000-01-01"
 
 
+def test_records_from_before_year_one(table, make_logs):
+    old = make_logs([(1, "2024-03-01T00:00:00Z"), (2, "2024-03-01T00:00:00Z")]).withColumn(
+        "timestamp", F.timestamp_micros(F.when(F.col("id") == 1, -62_167_305_540_000_000).otherwise(0)))
+    table.append(old)
+    query = L.AggregateQuery.parse({**WIDE, "since": "0000-01-01T00:00:00+23:59", "bucket": "1d"})
+    assert table.aggregate(query).agg(F.sum("count")).first()[0] == 2
+    assert [log["message"] for log in table.page(L.LogsQuery()).logs] == ["message 2", "message 1"]
+    assert table.retain(NOW, L.RetentionOptions(batch_size=1, max_batches_per_run=1)) == 1
+    table.vacuum()
+    assert list(stored(table).values()) == ["message 2"]
+
+
 def test_replayed_epoch_adds_nothing(table, make_logs):
     logs = make_logs(some_rows(3, 30))
     assert table.append(logs, writer="s", epoch=0) == 30
