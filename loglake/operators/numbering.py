@@ -54,7 +54,7 @@ def number_slots(stored: DataFrame, name: str, base: int = 0, tasks: int | None
     """
     offsets = slot_offsets(stored).select("_task", "_offset")
     if tasks is None:
-        tasks = stored.select(F.shiftright(SLOT, _POSITION_BITS)).distinct().count()
+        tasks = len(stored.inputFiles())  # every task that had rows wrote a file
     if tasks <= _MAX_BROADCAST_TASKS:
         offsets = F.broadcast(offsets)
     position = F.col(SLOT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))

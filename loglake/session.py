@@ -73,6 +73,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(resolved, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files under a path."""
+    fs, resolved = hadoop_path(spark, path)
+    return fs.getContentSummary(resolved).getLength() if fs.exists(resolved) else 0
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to shared storage and read it back.
 

@@ -33,10 +33,11 @@ from ..operators.rollup import MINUTE, aggregate_rollup, build_rollup, rollup_an
 from ..plans.predicates import day_literal, utc_day
 from ..plans.specs import AggregateQuery, LogsQuery, RetentionOptions
 from ..schema import LOG_COLUMNS, ROLLUP, STORED
-from ..session import delete_path, hadoop_path, materialize
+from ..session import delete_path, hadoop_path, materialize, stored_bytes
 
 _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
+_BYTES_PER_FILE = 512 * 1024 * 1024
 _ROWS_PER_SMALL_TASK = 10_000
 _KEPT_STATES = 5
 _MAX_LONG = 2 ** 63 - 1
@@ -117,14 +118,14 @@ class LogTable:
             return 0
         staged, path = materialize(slotted(logs.select(*LOG_COLUMNS), order_by), "append")
         try:
-            return self.append_slotted(staged, writer=writer, epoch=epoch)
+            return self.append_slotted(staged, path, writer=writer, epoch=epoch)
         finally:
             delete_path(self.spark, path)
 
     def append_slotted(
-        self, staged: DataFrame, *, writer: str | None = None, epoch: int | None = None
+        self, staged: DataFrame, path: str, *, writer: str | None = None, epoch: int | None = None
     ) -> int:
-        """As ``append``, for rows already materialised with their slots."""
+        """As ``append``, for rows already materialised with their slots at ``path``."""
         state = self.state()
         if self.has_epoch(writer, epoch, state):
             return 0
@@ -141,7 +142,7 @@ class LogTable:
                 F.lit(batch).cast("long").alias("batch_id"),
             )
             numbered = number_slots(placed, "id", state.next_id - 1, size["tasks"])
-            self._write_both(numbered, placed, rows)
+            self._write_both(numbered, placed, rows, stored_bytes(self.spark, path))
         writers = dict(state.writers)
         if writer is not None:
             writers[writer] = epoch
@@ -206,7 +207,8 @@ class LogTable:
         count = rows.count()
         self._remove_unpublished(state)
         if count:
-            self._write_both(rows, rows, count)
+            size = stored_bytes(self.spark, self._day_path(self.logs_path, day_number(day.isoformat())))
+            self._write_both(rows, rows, count, size)
         self._publish(replace(
             state, next_batch=batch + 1, compacted={**state.compacted, day.isoformat(): batch}))
         return count
@@ -308,14 +310,14 @@ class LogTable:
 
     # Files
 
-    def _write_both(self, numbered: DataFrame, placed: DataFrame, rows: int) -> None:
+    def _write_both(self, numbered: DataFrame, placed: DataFrame, rows: int, size: int) -> None:
         """Write records and rollup side by side, sharing the cluster."""
         with ThreadPoolExecutor(1) as beside:
             rollup = beside.submit(inheritable_thread_target(self.spark)(self._write_rollup), placed)
-            self._write_logs(numbered, rows)
+            self._write_logs(numbered, rows, size)
             rollup.result()
 
-    def _write_logs(self, numbered: DataFrame, rows: int) -> None:
+    def _write_logs(self, numbered: DataFrame, rows: int, size: int) -> None:
         """Files of even size, sorted by time inside each date.
 
         Splitting by (date, timestamp, id) spreads a hot day, or a hot instant,
@@ -325,7 +327,7 @@ class LogTable:
         spread = min(
             self.spark.sparkContext.defaultParallelism, math.ceil(rows / _ROWS_PER_SMALL_TASK)
         )
-        files = max(math.ceil(rows / _ROWS_PER_FILE), spread)
+        files = max(math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE), spread)
         (
             numbered.repartitionByRange(files, *order).sortWithinPartitions(*order)
             .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.logs_path)

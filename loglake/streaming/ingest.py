@@ -46,7 +46,7 @@ def ingest_batch(
             refused.write.mode("overwrite").parquet(f"{rejects_path}/{name}")
         count = refused.count()
         kept = judged.filter(F.col("reason").isNull()).select(SLOT, *LOG_COLUMNS)
-        return Ingested(table.append_slotted(kept, writer=writer, epoch=epoch), count)
+        return Ingested(table.append_slotted(kept, path, writer=writer, epoch=epoch), count)
     finally:
         delete_path(envelopes.sparkSession, path)
 
