@@ -49,5 +49,6 @@ REJECTS = T.StructType([
     T.StructField("index", T.IntegerType()),
     T.StructField("reason", _TEXT),
     T.StructField("raw", _TEXT),
-    T.StructField("batch_id", T.LongType()),
+    T.StructField("writer", _TEXT),
+    T.StructField("batch_id", _TEXT),
 ])

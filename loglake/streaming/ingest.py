@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.numbering import SLOT, slotted
 from ..operators.validate import rejects, validate
-from ..schema import LOG_COLUMNS
+from ..schema import LOG_COLUMNS, REJECTS
 from ..session import delete_path, materialize
 from ..sources.table import LogTable
 
@@ -42,8 +44,11 @@ def ingest_batch(
     try:
         refused = rejects(judged)
         if rejects_path is not None:
-            name = f"batch_id={epoch if epoch is not None else table.state().next_batch}"
-            refused.write.mode("overwrite").parquet(f"{rejects_path}/{name}")
+            # A replay overwrites its own folder and no other.
+            source = quote(writer or "batch", safe="")
+            number = uuid.uuid4().hex if writer is None else epoch
+            refused.write.mode("overwrite").parquet(
+                f"{rejects_path}/writer={source}/batch_id={number}")
         count = refused.count()
         kept = judged.filter(F.col("reason").isNull()).select(SLOT, *LOG_COLUMNS)
         return Ingested(table.append_slotted(kept, path, writer=writer, epoch=epoch), count)
@@ -51,12 +56,17 @@ def ingest_batch(
         delete_path(envelopes.sparkSession, path)
 
 
+def read_rejects(spark: SparkSession, rejects_path: str) -> DataFrame:
+    """All refused items kept so far, with the batch each came in."""
+    return spark.read.schema(REJECTS).parquet(rejects_path)
+
+
 def stream_ingest(
     envelopes: DataFrame,
     table: LogTable,
     checkpoint: str,
     *,
-    writer: str = "stream",
+    writer: str | None = None,
     now: dt.datetime | Column | None = None,
     rejects_path: str | None = None,
     **trigger,
@@ -65,10 +75,14 @@ def stream_ingest(
 
     There is no watermark, as late records of any age are kept.  A micro-batch
     that is replayed after a failure finds its number stored and adds nothing.
+    Numbers belong to the ``writer``, by default the query id, which lives and
+    dies with the checkpoint: a new checkpoint reads everything again.  Name a
+    writer only to replay the very same batches from another checkpoint.
     """
     def store(batch: DataFrame, epoch: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         ingest_batch(
-            batch, table, now=now, rejects_path=rejects_path, writer=writer, epoch=epoch
+            batch, table, now=now, rejects_path=rejects_path, writer=writer or query, epoch=epoch
         )
 
     return (

@@ -40,19 +40,19 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     batch = L.LogTable(spark, str(tmp_path / "batch"))
     result = L.ingest_batch(L.read_envelopes(spark, landing), batch, rejects_path=str(tmp_path / "refused"))
     assert (result.accepted, result.rejected) == (840, 160)
-    assert spark.read.parquet(str(tmp_path / "refused")).count() == 160
+    assert L.read_rejects(spark, str(tmp_path / "refused")).count() == 160
 
     streamed = L.LogTable(spark, str(tmp_path / "streamed"))
     rejects_path = str(tmp_path / "rejects")
     for _ in range(2):
-        run(spark, landing, streamed, str(tmp_path / "checkpoint"), rejects_path=rejects_path)
+        run(spark, landing, streamed, str(tmp_path / "checkpoint"), rejects_path=rejects_path, writer="w")
         assert bare(streamed) == bare(batch)
-        assert spark.read.parquet(rejects_path).count() == 160
+        assert L.read_rejects(spark, rejects_path).count() == 160
     first = snapshot(streamed)
     assert len({row[0] for row in first}) == 840
 
-    # A lost checkpoint replays the same batch numbers; they are already stored.
-    run(spark, landing, streamed, str(tmp_path / "new checkpoint"), rejects_path=rejects_path)
+    # The same writer replays the same batch numbers; they are already stored.
+    run(spark, landing, streamed, str(tmp_path / "other"), rejects_path=rejects_path, writer="w")
     assert snapshot(streamed) == first
 
 
@@ -77,6 +77,21 @@ def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
     assert sorted(row[1] for row in snapshot(table)) == ["one", "three", "two"]
 
 
+def test_two_streams_do_not_hide_each_other(spark, tmp_path):
+    table = L.LogTable(spark, str(tmp_path / "table"))
+    for name in ("a", "b"):
+        land(spark, str(tmp_path / name), [(name, body(name, ""), NOW)])
+        run(spark, str(tmp_path / name), table, str(tmp_path / f"checkpoint {name}"),
+            rejects_path=str(tmp_path / "rejects"))
+    assert [row[:2] for row in snapshot(table)] == [(1, "a"), (2, "b")]
+    refused = L.read_rejects(spark, str(tmp_path / "rejects")).collect()
+    assert [(r["request_id"], r["index"]) for r in sorted(refused)] == [("a", 1), ("b", 1)]
+    assert {r["writer"] for r in refused} == set(table.state().writers)
+    assert len(table.state().writers) == 2 and None not in table.state().writers
+    run(spark, str(tmp_path / "a"), table, str(tmp_path / "checkpoint a"))
+    assert len(snapshot(table)) == 2
+
+
 def test_new_requests_continue_ids_and_keep_order(spark, tmp_path):
     landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
     table = L.LogTable(spark, str(tmp_path / "table"))
