@@ -166,7 +166,7 @@ def _table_retention(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ingest_table(spark: SparkSession, folder: str) -> DataFrame:
     table = LogTable(configure(spark), scratch_path(spark, "table"))
-    ingest_batch(event_requests(spark, folder), table)
+    ingest_batch(read_envelopes(spark, _landed(spark, folder)), table)
     return _shown(table.scan())
 
 

@@ -22,15 +22,14 @@ _POSITION_BITS = 33
 _MAX_BROADCAST_TASKS = 1_000_000
 
 
-def slotted(df: DataFrame, order_by: Sequence[Column] = (), partitions: int | None = None) -> DataFrame:
+def slotted(df: DataFrame, order_by: Sequence[Column] = ()) -> DataFrame:
     """Add each row's slot; with ``order_by``, slots follow that global order.
 
     The range partitioning splits by value, so a hot value range is spread over
     many tasks; with a unique last key even equal values are.
     """
     if order_by:
-        count = [partitions] if partitions else []
-        df = df.repartitionByRange(*count, *order_by).sortWithinPartitions(*order_by)
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     return df.withColumn(SLOT, F.monotonically_increasing_id())
 
 

@@ -8,7 +8,8 @@
 
 A batch is written under its own number and becomes visible, whole, when the
 next state version appears.  A failed batch leaves invisible directories that
-the next append removes.  There is one writer at a time, any number of readers.
+the next append removes.  One append or compaction runs at a time; retention may
+run beside it, and so may any number of readers.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
@@ -40,6 +42,7 @@ _ROWS_PER_FILE = 5_000_000
 _BYTES_PER_FILE = 512 * 1024 * 1024
 _ROWS_PER_SMALL_TASK = 10_000
 _KEPT_STATES = 5
+_PUBLISH_ATTEMPTS = 5
 _MAX_LONG = 2 ** 63 - 1
 
 
@@ -88,6 +91,10 @@ class TableState:
         return batch >= self.first_batch and not replaced and not removed
 
 
+class PublishConflict(RuntimeError):
+    """The state changed between reading and publishing it."""
+
+
 class LogTable:
     """Append, scan, query, retain and truncate one stored table."""
 
@@ -143,16 +150,19 @@ class LogTable:
             )
             numbered = number_slots(placed, "id", state.next_id - 1, size["tasks"])
             self._write_both(numbered, placed, rows, stored_bytes(self.spark, path))
-        writers = dict(state.writers)
-        if writer is not None:
-            writers[writer] = epoch
-        if rows or writer is not None:
-            self._publish(replace(
-                state,
+
+        def appended(latest: TableState) -> TableState:
+            if (latest.next_batch, latest.next_id) != (batch, state.next_id):
+                raise RuntimeError(f"another writer stored batch {batch} of {self.root}")
+            return replace(
+                latest,
                 next_id=state.next_id + (size["width"] or 0),
                 next_batch=batch + (1 if rows else 0),
-                writers=writers,
-            ))
+                writers=latest.writers if writer is None else {**latest.writers, writer: epoch},
+            )
+
+        if rows or writer is not None:
+            self._update(appended)
         return rows
 
     def has_epoch(self, writer: str | None, epoch: int | None, state: TableState | None = None) -> bool:
@@ -188,8 +198,8 @@ class LogTable:
             return 0
         deleted, position = min(total, bound), position or Position(cutoff - 1)
         removal = Removal(position.micros, position.id, state.next_batch - 1)
-        kept = tuple(r for r in state.removals if not r.within(removal))
-        self._publish(replace(state, removals=(*kept, removal)))
+        self._update(lambda latest: replace(latest, removals=(
+            *(r for r in latest.removals if not r.within(removal)), removal)))
         return deleted
 
     def compact(self, day: dt.date) -> int:
@@ -292,6 +302,15 @@ class LogTable:
         names = self._names(self._state_path)
         return sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[0] != ".")
 
+    def _update(self, change: Callable[[TableState], TableState]) -> None:
+        """Publish a change on top of the latest state, whoever wrote that."""
+        for _ in range(_PUBLISH_ATTEMPTS - 1):
+            try:
+                return self._publish(change(self.state()))
+            except PublishConflict:
+                continue
+        self._publish(change(self.state()))
+
     def _publish(self, state: TableState) -> None:
         """Make ``state`` the current one; a rename is the moment it counts."""
         version = state.version + 1
@@ -304,7 +323,7 @@ class LogTable:
         finally:
             stream.close()
         if fs.exists(target) or not fs.rename(temporary, target):
-            raise RuntimeError(f"another writer published version {version} of {self.root}")
+            raise PublishConflict(f"another writer published version {version} of {self.root}")
         for old in self._versions()[:-_KEPT_STATES]:
             delete_path(self.spark, f"{self._state_path}/{old:012d}.json")
 

@@ -232,6 +232,33 @@ def test_second_writer_is_refused(table, make_logs):
         table._publish(state)
 
 
+def test_retention_beside_an_append(spark, table, make_logs, monkeypatch):
+    table.append(make_logs([(1, "2024-03-01T00:00:00Z"), (2, "2024-03-10T00:00:00Z")]))
+    write = table._write_both
+
+    def write_and_retain(*args):
+        write(*args)
+        other = L.LogTable(spark, table.root)
+        assert other.retain(NOW, L.RetentionOptions(days=15)) == 1
+
+    monkeypatch.setattr(table, "_write_both", write_and_retain)
+    table.append(make_logs([(3, "2024-03-01T00:00:00Z", {"message": "late"})]))
+    assert sorted(stored(table).values()) == ["late", "message 2"]
+
+
+def test_second_append_is_refused(spark, table, make_logs, monkeypatch):
+    write = table._write_both
+
+    def write_twice(*args):
+        write(*args)
+        monkeypatch.setattr(table, "_write_both", write)
+        L.LogTable(spark, table.root)._publish(table.state().__class__(next_id=9, next_batch=2))
+
+    monkeypatch.setattr(table, "_write_both", write_twice)
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
+
+
 def test_reader_prunes_days_and_pushes_time(table, make_logs):
     table.append(make_logs(some_rows(23, 60), 2))
     query = L.AggregateQuery.parse({
