@@ -46,6 +46,15 @@ from loglake.session import scratch_path
 from loglake.sources.envelopes import explode_items
 from loglake.sources.samples import document_logs, event_logs, event_requests, unnumbered
 
+try:
+    import corpus_pipeline
+    from loglake.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    # The corpus operators may be left out; anything else missing is an error.
+    if missing.name not in ("corpus_pipeline", "loglake.llm"):
+        raise
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _MONTH = {"since": "2024-01-01T00:00:00Z", "until": "2024-02-01T00:00:00Z"}
@@ -200,6 +209,10 @@ def _survivors(options: RetentionOptions, bounded: bool) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    return _log_queries() | ({} if corpus is None else {**corpus.queries(), "pipeline": corpus_pipeline.run})
+
+
+def _log_queries() -> dict[str, Query]:
     return {
         "logs_scan": lambda spark, folder: present(event_logs(configure(spark), folder)),
         "filter_service": _matching(service="svc-3"),
@@ -342,6 +355,10 @@ _OLDEST_300 = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY t, id) AS a
 
 
 def oracle_sql() -> dict[str, str]:
+    return _log_sql() | ({} if corpus is None else corpus.oracle_sql())
+
+
+def _log_sql() -> dict[str, str]:
     events, documents, items = _EVENT_LOGS, _DOCUMENT_LOGS, _ITEMS
     kept = "reason IS NULL"
     expiry = "TIMESTAMP '2024-01-16'"

@@ -10,7 +10,8 @@ import __spark_entry__ as entry_module
 
 from conftest import TESTDATA
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+# Corpus queries have tests of their own.
+QUERIES, SQL = entry_module._log_queries(), entry_module._log_sql()
 
 
 @pytest.fixture(scope="module")
