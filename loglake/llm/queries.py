@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, shards, sql
+from . import lines, minhash, mixing, shards, sql, substrings
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,11 +35,25 @@ def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    classes = minhash.near_duplicate_classes(_table(spark, folder, "documents"))
+    return classes.select(
+        F.col("id").alias("doc_id"), "class_id",
+        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op4_hilbert_shards": op4_hilbert_shards,
         "op7_pareto_mix": op7_pareto_mix,
+        "op8_super_kmer_dedup": op8_super_kmer_dedup,
+        "op9_probminhash": op9_probminhash,
     }
 
 
@@ -47,4 +61,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": sql.LINE_DEDUP,
         "op7_pareto_mix": sql.PARETO_MIX,
+        "op8_super_kmer_dedup": sql.SUBSTRING_DEDUP,
     }

@@ -70,3 +70,31 @@ PARETO_MIX = """
                AS taken
     FROM running
 """
+
+SUBSTRING_DEDUP = """
+    WITH texts AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, pos, md5(array_to_string(ws[pos + 1 : pos + 13], ' ')) AS w
+        FROM texts, unnest(generate_series(0, len(ws) - 13)) AS s(pos) WHERE len(ws) >= 13
+    ),
+    marked AS (
+        SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS earliest FROM windows)
+        WHERE doc_id > earliest
+    ),
+    words AS (
+        SELECT doc_id, i, ws[i + 1] AS word FROM texts, unnest(generate_series(0, len(ws) - 1)) AS s(i)
+        WHERE len(ws) > 0
+    ),
+    removed AS (
+        SELECT DISTINCT doc_id, pos + step AS i FROM marked, unnest(generate_series(0, 12)) AS s(step)
+    ),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS k
+        FROM words ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(k, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+"""
