@@ -1 +1,11 @@
-"""Operators for building training corpora; nothing else in the library imports them."""
+"""Operators for building training corpora; nothing else in the library imports them.
+
+Their Arrow functions travel to the executors by value, so a cluster needs no
+copy of this package on its Python path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
