@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, shards, sql, substrings
+from . import decontaminate, embeddings, language, lines, minhash, mixing, shards, sql, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sorted_projections(spark: SparkSession, folder: str) -> DataFrame:
+    linked = embeddings.near_duplicate_vectors(_table(spark, folder, "embeddings"))
+    return linked.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(_table(spark, folder, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", digest)
 
 
+def op3_token_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.context_table(tokens.length_histogram(_table(spark, folder, "documents")))
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     facts = documents.select(
@@ -29,6 +40,24 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def _remainder(divisor: int):
+    """crc32 of the document id's text, by which rows are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = language.train(documents.filter(_remainder(5) != 0))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    told = language.identify(documents.select("doc_id", "text"), model)
+    return told.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select(
+        "doc_id", held_out, "lang_pred", "score")
+
+
 def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select(
@@ -47,13 +76,27 @@ def op9_probminhash(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def op10_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    learned = _table(spark, folder, "labels").filter(_remainder(3) != 1)
+    model = toxicity.train(documents, learned)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    scored = documents.select("doc_id", held_out, toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def queries() -> dict:
     return {
+        "op1_sorted_projections": op1_sorted_projections,
         "op2_line_dedup": op2_line_dedup,
+        "op3_token_histogram": op3_token_histogram,
         "op4_hilbert_shards": op4_hilbert_shards,
+        "op5_qgram_decontamination": op5_qgram_decontamination,
+        "op6_language_id": op6_language_id,
         "op7_pareto_mix": op7_pareto_mix,
         "op8_super_kmer_dedup": op8_super_kmer_dedup,
         "op9_probminhash": op9_probminhash,
+        "op10_compression_toxicity": op10_compression_toxicity,
     }
 
 
