@@ -53,6 +53,11 @@ def iso_micros_text(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def utc_date(timestamp: Column) -> Column:
+    """The UTC date of an instant, in any session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(timestamp) / 86_400).cast("int"))
+
+
 def parse_iso_micros(text: str) -> int | None:
     """Microseconds since 1970 for query parameters, or None."""
     if not _FULL.fullmatch(text):

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column
 
+from ..plans.errors import InvalidQuery
+
 
 def search_pattern(term: str, mode: str = "pattern") -> str:
     """The LIKE pattern for a search term.
@@ -16,7 +18,7 @@ def search_pattern(term: str, mode: str = "pattern") -> str:
     if mode == "substring":
         return "%" + re.sub(r"([\\%_])", r"\\\1", term) + "%"
     if mode != "pattern":
-        raise ValueError("mode must be 'pattern' or 'substring'")
+        raise InvalidQuery("Invalid search mode")
     # An escape before an ordinary character just means that character; Spark
     # refuses it, so drop it.  A closing backslash takes the final % with it.
     return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "\\%_" else m[1], f"%{term}%", flags=re.S)

@@ -57,7 +57,7 @@ def _judge(items: DataFrame) -> DataFrame:
     body's key dictionary.
     """
     texts = items.selectExpr(
-        "request_id", "index", "item", "_arrived",
+        "request", "request_id", "index", "item", "_arrived",
         f"try_variant_get(item, '$', '{_FIELDS}') AS _item",
     ).selectExpr(
         "*",
@@ -90,7 +90,7 @@ def _judge(items: DataFrame) -> DataFrame:
         f"{reason} AS _reason",
         f"_schema IS NULL OR ({is_plain('_schema', '_json')}) AS _plain",
     ).selectExpr(
-        "request_id", "index", "_reason", "timestamp", "level", "service", "message", "_plain",
+        "request", "request_id", "index", "_reason", "timestamp", "level", "service", "message", "_plain",
         f"""CASE WHEN _schema IS NULL THEN cast(map() AS map<string,string>)
             WHEN _plain THEN {plain_text_map('_item.attributes')} END AS _map""",
         "coalesce(_json, '{}') AS _json",
@@ -106,7 +106,7 @@ def _finish(judged: DataFrame) -> DataFrame:
     array; for all other rows the columns added here stay NULL.
     """
     row = f"""named_struct(
-        'request_id', request_id, 'index', index,
+        'request', request, 'request_id', request_id, 'index', index,
         'reason', CASE
             WHEN _reason = '{_OTHER_LEVEL}' THEN {_level_reason(script_text('_level'))}
             WHEN _reason IS NOT NULL OR _plain THEN _reason
@@ -149,15 +149,16 @@ def rejects(judged: DataFrame) -> DataFrame:
 def summarize(judged: DataFrame) -> DataFrame:
     """Per request: accepted count, rejects in index order, and whether it succeeded.
 
-    One request is one input row, so all its items sit in one task and the
-    partial aggregate leaves a single row per request to shuffle.
+    One request is one input row, whatever its id; so all its items sit in one
+    task and the partial aggregate leaves a single row per request to shuffle.
     """
     refused = F.when(
         F.col("reason").isNotNull() & F.col("index").isNotNull(), F.struct("index", "reason")
     )
-    summary = judged.groupBy("request_id").agg(
+    summary = judged.groupBy("request").agg(
+        F.first("request_id").alias("request_id"),
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.array_sort(F.collect_list(refused)).alias("rejected"),
         F.max(F.when(F.col("index").isNull(), F.col("reason"))).alias("error"),
     )
-    return summary.withColumn("ok", F.col("accepted") > 0)
+    return summary.drop("request").withColumn("ok", F.col("accepted") > 0)

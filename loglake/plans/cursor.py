@@ -45,7 +45,7 @@ def decode_cursor(text: str) -> Cursor:
         and isinstance(timestamp, str)
         and parse_iso_micros(timestamp) is not None
         and isinstance(row_id, str)
-        and re.fullmatch(r"[1-9][0-9]*", row_id)
+        and re.fullmatch(r"[1-9][0-9]{0,18}", row_id)
         and int(row_id) <= _MAX_ID
     )
     if not acceptable:

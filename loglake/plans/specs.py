@@ -7,7 +7,7 @@ repeated parameters.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from ..functions.buckets import BUCKET_MICROS
@@ -21,7 +21,7 @@ MAX_LIMIT = 1000
 GROUP_COLUMNS = ("service", "level")
 
 _ATTRIBUTE_PREFIX = "attr."
-_FILTER_KEYS = ("service", "level", "since", "until", "q")
+SEARCH_MODES = ("pattern", "substring")
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,8 @@ class LogFilter:
     def __post_init__(self) -> None:
         if self.level is not None and self.level not in LEVELS:
             raise InvalidQuery("Invalid level")
+        if self.search_mode not in SEARCH_MODES:
+            raise InvalidQuery("Invalid search mode")
         for name in ("since", "until"):
             text = getattr(self, name)
             if text is not None and parse_iso_micros(text) is None:
@@ -71,7 +73,7 @@ class LogsQuery(LogFilter):
 
     @classmethod
     def parse(cls, params: Mapping[str, str | list[str]]) -> LogsQuery:
-        return cls(**_read(params, (*_FILTER_KEYS, "limit", "cursor")))
+        return cls(**_read(params, _PAGE))
 
 
 @dataclass(frozen=True)
@@ -93,20 +95,8 @@ class AggregateQuery(LogFilter):
 
     @classmethod
     def parse(cls, params: Mapping[str, str | list[str]]) -> AggregateQuery:
-        allowed = (*_FILTER_KEYS, "bucket", "group_by")
-        _require_mapping(params)
-        if any(not k.startswith(_ATTRIBUTE_PREFIX) and k not in allowed for k in params):
-            raise InvalidQuery("Invalid query parameter")
-        bucket = _single(params.get("bucket"), "Missing or invalid bucket parameter")
-        if bucket not in BUCKET_MICROS:
-            raise InvalidQuery("Invalid bucket parameter")
-        group_by = None
-        if "group_by" in params:
-            group_by = _single(params["group_by"], "Invalid group_by parameter")
-            if group_by not in GROUP_COLUMNS:
-                raise InvalidQuery("Invalid group_by parameter")
-        shared = {k: v for k, v in params.items() if k not in ("bucket", "group_by")}
-        return cls(bucket=bucket, group_by=group_by, **_read(shared, _FILTER_KEYS))
+        required = ("bucket", "group_by") if isinstance(params, Mapping) and "group_by" in params else ("bucket",)
+        return cls(**_read(params, _AGGREGATE, required, early=True))
 
 
 @dataclass(frozen=True)
@@ -127,51 +117,89 @@ class RetentionOptions:
         return self.batch_size * self.max_batches_per_run
 
 
-def _require_mapping(params) -> None:
-    if not isinstance(params, Mapping):
-        raise InvalidQuery("Invalid query parameters")
+@dataclass(frozen=True)
+class Parameter:
+    """How one parameter is read: what its text means, and the error when it is not one text."""
 
+    read: Callable[[str], object]
+    not_one_text: str
 
-def _texts(value, message: str) -> list[str]:
-    values = list(value) if isinstance(value, (list, tuple)) else [value]
-    if not values or not all(isinstance(entry, str) for entry in values):
-        raise InvalidQuery(message)
-    return values
 
+def _one_of(values, error: str) -> Callable[[str], str]:
+    def read(text: str) -> str:
+        if text not in values:
+            raise InvalidQuery(error)
+        return text
 
-def _single(value, message: str) -> str:
-    values = _texts(value, message)
-    if len(values) != 1:
-        raise InvalidQuery(message)
-    return values[0]
+    return read
 
 
-def _limit(text: str) -> int:
-    if not re.fullmatch(r"[0-9]+", text) or not 1 <= int(text[-20:]) <= MAX_LIMIT:
-        raise InvalidQuery("Invalid limit")
-    return int(text)
+def _instant(error: str) -> Callable[[str], str]:
+    def read(text: str) -> str:
+        if parse_iso_micros(text) is None:
+            raise InvalidQuery(error)
+        return text
 
+    return read
 
-def _read(params, allowed: tuple[str, ...]) -> dict:
-    """Checked constructor arguments; the first bad parameter is reported."""
-    _require_mapping(params)
-    found: dict = {}
-    attributes: list[tuple[str, str]] = []
-    for name, value in params.items():
-        if name.startswith(_ATTRIBUTE_PREFIX):
+
+def _limit(text: str) -> int:
+    digits = text.lstrip("0")
+    if not re.fullmatch(r"[0-9]+", text) or len(digits) > len(str(MAX_LIMIT)) or not 1 <= int(digits or 0) <= MAX_LIMIT:
+        raise InvalidQuery("Invalid limit")
+    return int(digits)
+
+
+# Parameter names and the errors clients see.
+_FILTERS = {
+    "service": Parameter(str, "Invalid service parameter"),
+    "level": Parameter(_one_of(LEVELS, "Invalid level"), "Invalid level parameter"),
+    "since": Parameter(_instant("Invalid since"), "Invalid since parameter"),
+    "until": Parameter(_instant("Invalid until"), "Invalid until parameter"),
+    "q": Parameter(str, "Invalid q parameter"),
+}
+_PAGE = {
+    **_FILTERS,
+    "limit": Parameter(_limit, "Invalid limit parameter"),
+    "cursor": Parameter(decode_cursor, "Invalid cursor parameter"),
+}
+_AGGREGATE = {
+    "bucket": Parameter(
+        _one_of(BUCKET_MICROS, "Invalid bucket parameter"), "Missing or invalid bucket parameter"),
+    "group_by": Parameter(_one_of(GROUP_COLUMNS, "Invalid group_by parameter"), "Invalid group_by parameter"),
+    **_FILTERS,
+}
+_UNKNOWN = "Invalid query parameter"
+_BAD_ATTRIBUTE = "Invalid attribute filter"
+
+
+def _texts(value: object, error: str, most: int | None = None) -> list[str]:
+    """A text, or a list of at least one and at most ``most`` texts."""
+    texts = list(value) if isinstance(value, (list, tuple)) else [value]
+    if not texts or len(texts) > (most or len(texts)) or any(not isinstance(text, str) for text in texts):
+        raise InvalidQuery(error)
+    return texts
+
+
+def _read(params: object, table: dict[str, Parameter], required: tuple[str, ...] = (), early: bool = False) -> dict:
+    """Constructor arguments by the table; the first bad parameter is reported.
+
+    ``required`` ones are read first, present or not; ``early`` reports unknown
+    names before any value is looked at.
+    """
+    if not isinstance(params, Mapping):
+        raise InvalidQuery("Invalid query parameters")
+    given = {name: params.get(name) for name in required} | dict(params)
+    attributes = {name: given.pop(name) for name in params if name.startswith(_ATTRIBUTE_PREFIX)}
+    if early and not given.keys() <= table.keys():
+        raise InvalidQuery(_UNKNOWN)
+    found: dict = {"attributes": ()}
+    for name in [*(n for n in table if n in required), *(n for n in params if n not in required)]:
+        if name in attributes:
             key = name[len(_ATTRIBUTE_PREFIX):]
-            if not key:
-                raise InvalidQuery("Invalid attribute filter")
-            attributes += [(key, text) for text in _texts(value, "Invalid attribute filter")]
+            texts = _texts(attributes[name] if key else None, _BAD_ATTRIBUTE)
+            found["attributes"] += tuple((key, text) for text in texts)
             continue
-        text = _single(value, f"Invalid {name} parameter")
-        if name not in allowed:
-            raise InvalidQuery("Invalid query parameter")
-        if name == "limit":
-            found[name] = _limit(text)
-        elif name == "cursor":
-            found[name] = decode_cursor(text)
-        else:
-            LogFilter(**{name: text})
-            found[name] = text
-    return {**found, "attributes": tuple(attributes)}
+        known = table.get(name, Parameter(_one_of((), _UNKNOWN), f"Invalid {name} parameter"))
+        found[name] = known.read(*_texts(given[name], known.not_one_text, most=1))
+    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,15 +38,25 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return configure(spark)
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Dates and texts of instants are UTC only in a session that ``configure`` has seen."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise RuntimeError(f"the session time zone is {zone}; call configure(spark) first")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Only a session that names none (a test on one machine) gets a local one.
+    Only a session on one machine that names none gets a local one; on a
+    cluster each executor would write to a disk the others cannot read.
     """
     global _local_base
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="loglake-")
         atexit.register(shutil.rmtree, _local_base, True)
@@ -60,10 +71,10 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_folder(spark)}/loglake-{label}-{uuid.uuid4().hex}"
     fs, resolved = hadoop_path(spark, path)
-    fs.mkdirs(resolved)
+    fs.mkdirs(resolved.getParent())
     fs.deleteOnExit(resolved)
     return path
 
@@ -71,6 +82,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, resolved = hadoop_path(spark, path)
     fs.delete(resolved, True)
+    fs.cancelDeleteOnExit(resolved)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -85,6 +97,6 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     Consumers then see the same rows whatever executor is lost, prune columns,
     and never repeat the work above this point.
     """
-    path = f"{scratch_path(df.sparkSession, label)}/rows"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -51,5 +51,7 @@ def explode_items(envelopes: DataFrame) -> DataFrame:
         envelopes.withColumn("_listed", listed)
         .withColumns({"_items": items, "_second": second})
         .withColumn("_logs", F.when(usable, F.col("_items")))
-        .select("request_id", "received_at", F.posexplode_outer("_logs").alias("index", "item"))
+        # Ids come from outside and may repeat; the row itself is the request.
+        .withColumn("request", F.monotonically_increasing_id())
+        .select("request", "request_id", "received_at", F.posexplode_outer("_logs").alias("index", "item"))
     )

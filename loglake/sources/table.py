@@ -6,10 +6,13 @@
     <root>/rollup/log_date=YYYY-MM-DD/batch_id=N/*.parquet   minute counts
     <root>/state/<version>.json                              what is visible
 
-A batch is written under its own number and becomes visible, whole, when the
-next state version appears.  A failed batch leaves invisible directories that
-the next append removes.  One append or compaction runs at a time; retention may
-run beside it, and so may any number of readers.
+An append first reserves a batch number and a range of ids, by a state version
+of its own; it then writes under that number, which nobody else uses, and
+becomes visible, whole, when the number is no longer pending.  Any number of
+appends, streams, retention runs and readers may work at once.  State versions
+are created exclusively: of two writers of one version one starts over from
+the other's.  A failed append leaves a gap in the ids and a number that stays
+pending; it deletes its own files where it can.
 """
 
 from __future__ import annotations
@@ -17,16 +20,21 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import os
+import random
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ..functions.isotime import day_number, day_text, micros_literal
+from ..functions.isotime import day_number, day_text, micros_literal, utc_date
 from ..operators.aggregate import aggregate_logs
 from ..operators.numbering import SLOT, number_slots, slot_offsets, slotted
 from ..operators.page import LogsPage, fetch_recent_page
@@ -35,30 +43,43 @@ from ..operators.rollup import MINUTE, aggregate_rollup, build_rollup, rollup_an
 from ..plans.predicates import day_literal, utc_day
 from ..plans.specs import AggregateQuery, LogsQuery, RetentionOptions
 from ..schema import LOG_COLUMNS, ROLLUP, STORED
-from ..session import delete_path, hadoop_path, materialize, stored_bytes
+from ..session import delete_path, hadoop_path, materialize, require_utc, stored_bytes
 
 _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
-_BYTES_PER_FILE = 512 * 1024 * 1024
-_ROWS_PER_SMALL_TASK = 10_000
+_BYTES_PER_FILE = 128 * 1024 * 1024
+# Distinct services a file's bloom filter is sized for.
+_SERVICES = 10_000
 _KEPT_STATES = 5
-_PUBLISH_ATTEMPTS = 5
+_PUBLISH_ATTEMPTS = 50
 _MAX_LONG = 2 ** 63 - 1
 
 
 @dataclass(frozen=True)
 class Removal:
-    """Rows at or before a position are gone, in batches up to ``batch``."""
+    """Rows at or before a position are gone, in the batches visible when it was published."""
 
     micros: int
     id: int
     batch: int
+    # Batches up to that one that were still pending.
+    spared: tuple[int, ...] = ()
+
+    def reaches(self, batch: int) -> bool:
+        return batch <= self.batch and batch not in self.spared
+
+    def reached(self) -> Column:
+        batch = F.col("batch_id")
+        reached = batch <= self.batch
+        return reached & ~batch.isin(*self.spared) if self.spared else reached
 
     def hides(self) -> Column:
-        return (F.col("batch_id") <= self.batch) & Position(self.micros, self.id).covers()
+        return self.reached() & Position(self.micros, self.id).covers()
 
     def within(self, other: Removal) -> bool:
-        return self.batch <= other.batch and (self.micros, self.id) <= (other.micros, other.id)
+        """Whether the other one hides all that this one does."""
+        earlier = self.batch <= other.batch and (self.micros, self.id) <= (other.micros, other.id)
+        return earlier and not any(self.reaches(batch) for batch in other.spared)
 
 
 @dataclass(frozen=True)
@@ -67,28 +88,41 @@ class TableState:
     next_id: int = 1
     first_batch: int = 1
     next_batch: int = 1
+    # Reserved numbers below next_batch that are not visible (yet).
+    pending: tuple[int, ...] = ()
     removals: tuple[Removal, ...] = ()
-    # Days rewritten by compact: batches before this number are replaced.
-    compacted: dict[str, int] = field(default_factory=dict)
-    # Last batch number taken from each streaming writer.
-    writers: dict[str, int] = field(default_factory=dict)
+    # Batches before this number have left the disk.
+    swept: int = 1
+    # Of each streaming writer: last batch number taken, id of the query it came from.
+    writers: dict[str, tuple[int, str | None]] = field(default_factory=dict)
 
     def visible_batches(self) -> Column:
         """The directories to read, told by the partition columns alone."""
         visible = F.col("batch_id").between(self.first_batch, self.next_batch - 1)
-        for day, batch in self.compacted.items():
-            other_day = F.col("log_date") != day_literal(day_number(day))
-            visible &= other_day | (F.col("batch_id") >= batch)
+        if self.pending:
+            visible &= ~F.col("batch_id").isin(*self.pending)
         for removal in self.removals:
             later = F.col("log_date") >= day_literal(utc_day(removal.micros))
-            visible &= later | (F.col("batch_id") > removal.batch)
+            visible &= later | ~removal.reached()
         return visible
 
     def needs(self, day: int, batch: int) -> bool:
-        """Whether any visible record can be in this directory."""
-        replaced = batch < self.compacted.get(day_text(day), 0)
-        removed = any(batch <= r.batch and day < utc_day(r.micros) for r in self.removals)
-        return batch >= self.first_batch and not replaced and not removed
+        """Whether any record in this directory is or may become visible."""
+        removed = any(r.reaches(batch) and day < utc_day(r.micros) for r in self.removals)
+        return batch >= self.first_batch and not removed
+
+    def taken(self, writer: str | None, epoch: int | None, query: str | None = None) -> bool:
+        """Whether a streaming writer's batch is stored already.
+
+        Numbers mean something only inside one stream checkpoint, so a writer's
+        name cannot move on to another one.
+        """
+        if writer is None or writer not in self.writers:
+            return False
+        last, owner = self.writers[writer]
+        if query != owner:
+            raise RuntimeError(f"writer {writer!r} belongs to another stream checkpoint")
+        return last >= epoch
 
 
 class PublishConflict(RuntimeError):
@@ -99,6 +133,7 @@ class LogTable:
     """Append, scan, query, retain and truncate one stored table."""
 
     def __init__(self, spark: SparkSession, root: str):
+        require_utc(spark)
         self.spark = spark
         self.root = root.rstrip("/")
         self.logs_path = f"{self.root}/logs"
@@ -114,68 +149,74 @@ class LogTable:
         order_by: tuple[Column, ...] = (),
         writer: str | None = None,
         epoch: int | None = None,
+        query: str | None = None,
     ) -> int:
         """Store validated records and give them ids; returns how many.
 
         Ids follow the input order inside each task, so records of one request
         keep their order; ``order_by`` makes ids follow a global order instead.
-        A (writer, epoch) pair already stored is skipped, ids unchanged.
+        A (writer, epoch) pair already stored is skipped, ids unchanged;
+        ``query`` names the stream the epochs count in.
         """
-        if self.has_epoch(writer, epoch):
+        if self.state().taken(writer, epoch, query):
             return 0
         staged, path = materialize(slotted(logs.select(*LOG_COLUMNS), order_by), "append")
         try:
-            return self.append_slotted(staged, path, writer=writer, epoch=epoch)
+            return self.append_slotted(staged, path, writer=writer, epoch=epoch, query=query)
         finally:
             delete_path(self.spark, path)
 
     def append_slotted(
-        self, staged: DataFrame, path: str, *, writer: str | None = None, epoch: int | None = None
+        self, staged: DataFrame, path: str, *,
+        writer: str | None = None, epoch: int | None = None, query: str | None = None,
     ) -> int:
         """As ``append``, for rows already materialised with their slots at ``path``."""
-        state = self.state()
-        if self.has_epoch(writer, epoch, state):
-            return 0
-        self._remove_unpublished(state)
         size = slot_offsets(staged).agg(
             F.sum("_rows").alias("rows"), F.sum("_width").alias("width"), F.count("*").alias("tasks")
         ).first()
-        batch, rows = state.next_batch, size["rows"] or 0
+        rows = size["rows"] or 0
+        if not rows and writer is None:
+            return 0
+        reserved: TableState | None = None
         if rows:
-            placed = staged.select(
-                SLOT,
-                *LOG_COLUMNS,
-                F.to_date("timestamp").alias("log_date"),
-                F.lit(batch).cast("long").alias("batch_id"),
-            )
-            numbered = number_slots(placed, "id", state.next_id - 1, size["tasks"])
-            self._write_both(numbered, placed, rows, stored_bytes(self.spark, path))
-
-        def appended(latest: TableState) -> TableState:
-            if (latest.next_batch, latest.next_id) != (batch, state.next_id):
-                raise RuntimeError(f"another writer stored batch {batch} of {self.root}")
+            reserved = self._update(lambda latest: replace(
+                latest, next_id=latest.next_id + size["width"], next_batch=latest.next_batch + 1,
+                pending=(*latest.pending, latest.next_batch)))
+        batch = reserved.next_batch - 1 if reserved else None
+
+        def appended(latest: TableState) -> TableState | None:
+            if latest.taken(writer, epoch, query):
+                return None
+            if batch is not None and batch < latest.first_batch:
+                raise RuntimeError(f"{self.root} was truncated during the append")
             return replace(
                 latest,
-                next_id=state.next_id + (size["width"] or 0),
-                next_batch=batch + (1 if rows else 0),
-                writers=latest.writers if writer is None else {**latest.writers, writer: epoch},
+                pending=tuple(number for number in latest.pending if number != batch),
+                writers=latest.writers if writer is None else {**latest.writers, writer: (epoch, query)},
             )
 
-        if rows or writer is not None:
-            self._update(appended)
+        try:
+            if rows:
+                placed = staged.select(
+                    SLOT, *LOG_COLUMNS, utc_date(F.col("timestamp")).alias("log_date"),
+                    F.lit(batch).cast("long").alias("batch_id"))
+                numbered = number_slots(placed, "id", reserved.next_id - size["width"] - 1, size["tasks"])
+                self._write_both(numbered, placed, rows, stored_bytes(self.spark, path))
+            published = self._update(appended)
+        except BaseException:
+            # The version that shows the batch may have been written all the same.
+            if batch in self.state().pending:
+                self._drop_batch(batch)
+            raise
+        if published is None:
+            self._drop_batch(batch)
+            return 0
         return rows
 
-    def has_epoch(self, writer: str | None, epoch: int | None, state: TableState | None = None) -> bool:
-        if writer is None:
-            return False
-        return (state or self.state()).writers.get(writer, -1) >= epoch
-
     def truncate(self) -> None:
-        """Empty the table and start ids at 1 again."""
-        state = self.state()
-        self._publish(replace(
-            state, next_id=1, first_batch=state.next_batch, removals=(), compacted={}))
-        self.vacuum()
+        """Empty the table and start ids at 1 again; appends under way fail."""
+        self._update(lambda latest: replace(
+            latest, next_id=1, first_batch=latest.next_batch, removals=(), pending=()))
 
     def retain(
         self, now: dt.datetime, options: RetentionOptions = RetentionOptions(), bounded: bool = True
@@ -197,45 +238,27 @@ class LogTable:
         if not total:
             return 0
         deleted, position = min(total, bound), position or Position(cutoff - 1)
-        removal = Removal(position.micros, position.id, state.next_batch - 1)
+        removal = Removal(position.micros, position.id, state.next_batch - 1, state.pending)
         self._update(lambda latest: replace(latest, removals=(
             *(r for r in latest.removals if not r.within(removal)), removal)))
         return deleted
 
-    def compact(self, day: dt.date) -> int:
-        """Rewrite one day's batches as a single one; returns its records.
-
-        Many small stream batches become evenly sized files sorted by time, and
-        records that retention removed from the day are left out.
-        """
-        self.vacuum()
-        state = self.state()
-        start = day_number(day.isoformat()) * _DAY_MICROS
-        batch = state.next_batch
-        rows = self.scan(start, start + _DAY_MICROS, state).withColumn(
-            "batch_id", F.lit(batch).cast("long"))
-        count = rows.count()
-        self._remove_unpublished(state)
-        if count:
-            size = stored_bytes(self.spark, self._day_path(self.logs_path, day_number(day.isoformat())))
-            self._write_both(rows, rows, count, size)
-        self._publish(replace(
-            state, next_batch=batch + 1, compacted={**state.compacted, day.isoformat(): batch}))
-        return count
-
     def vacuum(self) -> None:
-        """Delete directories the current state no longer shows.
+        """Delete directories that no state will show again.
 
-        Retention and compaction call this before they publish, not after, so
-        files outlive the readers that were running when they were replaced.
+        ``retain`` calls this before it publishes, not after, so files outlive
+        the readers that were running when their rows went.  Only days that a
+        truncation or a removal reaches are listed.
         """
         state = self.state()
+        emptied = state.first_batch > state.swept
+        reached = max((utc_day(r.micros) for r in state.removals), default=None)
         for path in (self.logs_path, self.rollup_path):
             for day in self._days(path):
-                if not state.needs(day, 0):
-                    self._drop_batches(path, day, state)
-        if state.compacted:
-            self._publish(replace(state, compacted={}))
+                if emptied or (reached is not None and day < reached):
+                    self._drop_unneeded(path, day, state)
+        if emptied:
+            self._update(lambda latest: replace(latest, swept=max(latest.swept, state.first_batch)))
 
     # Reading
 
@@ -295,37 +318,62 @@ class LogTable:
         finally:
             stream.close()
         fields = json.loads(text)
-        fields["removals"] = tuple(Removal(**entry) for entry in fields["removals"])
+        fields["removals"] = tuple(
+            Removal(**{**entry, "spared": tuple(entry["spared"])}) for entry in fields["removals"])
+        fields["pending"] = tuple(fields["pending"])
+        fields["writers"] = {name: tuple(entry) for name, entry in fields["writers"].items()}
         return TableState(**fields)
 
     def _versions(self) -> list[int]:
         names = self._names(self._state_path)
         return sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[0] != ".")
 
-    def _update(self, change: Callable[[TableState], TableState]) -> None:
-        """Publish a change on top of the latest state, whoever wrote that."""
-        for _ in range(_PUBLISH_ATTEMPTS - 1):
+    def _update(self, change: Callable[[TableState], TableState | None]) -> TableState | None:
+        """Publish a change on top of the latest state, whoever wrote that; None changes nothing."""
+        for attempt in range(_PUBLISH_ATTEMPTS):
+            changed = change(self.state())
+            if changed is None:
+                return None
             try:
-                return self._publish(change(self.state()))
+                return self._publish(changed)
             except PublishConflict:
-                continue
-        self._publish(change(self.state()))
-
-    def _publish(self, state: TableState) -> None:
-        """Make ``state`` the current one; a rename is the moment it counts."""
-        version = state.version + 1
-        final = f"{self._state_path}/{version:012d}.json"
-        fs, temporary = hadoop_path(self.spark, f"{self._state_path}/.{version:012d}.tmp")
-        target = hadoop_path(self.spark, final)[1]
-        stream = fs.create(temporary, True)
+                time.sleep(random.uniform(0, 0.05 * (attempt + 1)))
+        raise PublishConflict(f"{self.root} changes too often")
+
+    def _publish(self, state: TableState) -> TableState:
+        """Make ``state`` the next version, unless somebody else made it meanwhile."""
+        state = replace(state, version=state.version + 1)
+        fs, target = hadoop_path(self.spark, f"{self._state_path}/{state.version:012d}.json")
+        _, temporary = hadoop_path(self.spark, f"{self._state_path}/.{uuid.uuid4().hex}.tmp")
+        stream = fs.create(temporary, False)
         try:
-            stream.write(json.dumps(asdict(replace(state, version=version))).encode())
+            stream.write(json.dumps(asdict(state)).encode())
         finally:
             stream.close()
-        if fs.exists(target) or not fs.rename(temporary, target):
-            raise PublishConflict(f"another writer published version {version} of {self.root}")
+        try:
+            self._move_exclusively(fs, temporary, target)
+        except (FileExistsError, Py4JJavaError) as refused:
+            if not fs.exists(target):
+                raise
+            raise PublishConflict(f"another writer published version {state.version} of {self.root}") from refused
+        finally:
+            fs.delete(temporary, False)
         for old in self._versions()[:-_KEPT_STATES]:
             delete_path(self.spark, f"{self._state_path}/{old:012d}.json")
+        return state
+
+    def _move_exclusively(self, fs, source, target) -> None:
+        """Give the file its final name; fails, and changes nothing, if that is taken."""
+        if fs.getScheme() == "file":
+            # A local rename replaces; a hard link does not.
+            os.link(source.toUri().getPath(), target.toUri().getPath())
+            return
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        qualified = fs.makeQualified(target)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            qualified.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
+        ).rename(fs.makeQualified(source), qualified, options)
 
     # Files
 
@@ -343,13 +391,13 @@ class LogTable:
         over as many tasks as it has rows for.
         """
         order = ["log_date", "batch_id", "timestamp", "id"]
-        spread = min(
-            self.spark.sparkContext.defaultParallelism, math.ceil(rows / _ROWS_PER_SMALL_TASK)
-        )
-        files = max(math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE), spread)
+        files = max(math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE))
         (
             numbered.repartitionByRange(files, *order).sortWithinPartitions(*order)
-            .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.logs_path)
+            .write.mode("append")
+            .option("parquet.bloom.filter.enabled#service", "true")
+            .option("parquet.bloom.filter.expected.ndv#service", str(_SERVICES))
+            .partitionBy("log_date", "batch_id").parquet(self.logs_path)
         )
 
     def _write_rollup(self, placed: DataFrame) -> None:
@@ -384,17 +432,16 @@ class LogTable:
         rows = self._read(self.rollup_path, ROLLUP, since, until, state)
         for bound in self._range(since, until, "start_1m"):
             rows = rows.filter(bound)
-        split_minutes: dict[int, int] = {}
+        split_minutes: dict[int, Column] = {}
         for removal in state.removals:
             edge = removal.micros - removal.micros % MINUTE
             if since is not None and since > edge:
                 continue
-            gone = (F.col("start_1m") <= micros_literal(edge)) & (F.col("batch_id") <= removal.batch)
-            rows = rows.filter(~gone)
+            rows = rows.filter(~((F.col("start_1m") <= micros_literal(edge)) & removal.reached()))
             if until is None or edge < until:
-                split_minutes[edge] = max(removal.batch, split_minutes.get(edge, 0))
-        for edge, batch in split_minutes.items():
-            rest = self.scan(edge, edge + MINUTE, state).filter(F.col("batch_id") <= batch)
+                split_minutes[edge] = split_minutes.get(edge, F.lit(False)) | removal.reached()
+        for edge, reached in split_minutes.items():
+            rest = self.scan(edge, edge + MINUTE, state).filter(reached)
             rows = rows.unionByName(build_rollup(rest, "log_date", "batch_id"))
         return rows
 
@@ -425,18 +472,21 @@ class LogTable:
     def _day_path(self, path: str, day: int) -> str:
         return f"{path}/log_date={day_text(day)}"
 
-    def _remove_unpublished(self, state: TableState) -> None:
-        """Delete what a failed append left under a number not yet published."""
-        fs, pattern = hadoop_path(self.spark, f"{self.root}/*/log_date=*/batch_id={state.next_batch}")
+    def _drop_batch(self, batch: int | None) -> None:
+        """Delete the files of an append that will not become visible."""
+        if batch is None:
+            return
+        fs, pattern = hadoop_path(self.spark, f"{self.root}/*/log_date=*/batch_id={batch}")
         for status in fs.globStatus(pattern) or []:
             fs.delete(status.getPath(), True)
 
-    def _drop_batches(self, path: str, day: int, state: TableState) -> None:
+    def _drop_unneeded(self, path: str, day: int, state: TableState) -> None:
         folder = self._day_path(path, day)
         batches = [int(name[9:]) for name in self._names(folder) if name.startswith("batch_id=")]
         unneeded = [batch for batch in batches if not state.needs(day, batch)]
-        if len(unneeded) == len(batches):
-            delete_path(self.spark, folder)
-            return
         for batch in unneeded:
             delete_path(self.spark, f"{folder}/batch_id={batch}")
+        fs, resolved = hadoop_path(self.spark, folder)
+        if not fs.listStatus(resolved):
+            # Not recursive: a batch that an append puts here meanwhile stays.
+            fs.delete(resolved, False)

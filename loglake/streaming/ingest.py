@@ -32,13 +32,14 @@ def ingest_batch(
     rejects_path: str | None = None,
     writer: str | None = None,
     epoch: int | None = None,
+    query: str | None = None,
 ) -> Ingested:
     """Validate requests once and store what is accepted.
 
     The judged items are written to shared storage first: ids, records, rollup
     and rejects all read that, so bodies are parsed a single time.
     """
-    if table.has_epoch(writer, epoch):
+    if table.state().taken(writer, epoch, query):
         return Ingested(0, 0)
     judged, path = materialize(slotted(validate(envelopes, now)), "ingest")
     try:
@@ -51,7 +52,7 @@ def ingest_batch(
                 f"{rejects_path}/writer={source}/batch_id={number}")
         count = refused.count()
         kept = judged.filter(F.col("reason").isNull()).select(SLOT, *LOG_COLUMNS)
-        return Ingested(table.append_slotted(kept, path, writer=writer, epoch=epoch), count)
+        return Ingested(table.append_slotted(kept, path, writer=writer, epoch=epoch, query=query), count)
     finally:
         delete_path(envelopes.sparkSession, path)
 
@@ -76,13 +77,15 @@ def stream_ingest(
     There is no watermark, as late records of any age are kept.  A micro-batch
     that is replayed after a failure finds its number stored and adds nothing.
     Numbers belong to the ``writer``, by default the query id, which lives and
-    dies with the checkpoint: a new checkpoint reads everything again.  Name a
-    writer only to replay the very same batches from another checkpoint.
+    dies with the checkpoint: a new checkpoint reads everything again.  A named
+    writer is tied to the checkpoint it was first used with.
     """
     def store(batch: DataFrame, epoch: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if query is None:
+            raise RuntimeError("the stream's query id is unknown, so a replay could not be told")
         ingest_batch(
-            batch, table, now=now, rejects_path=rejects_path, writer=writer or query, epoch=epoch
+            batch, table, now=now, rejects_path=rejects_path, writer=writer or query, epoch=epoch, query=query
         )
 
     return (

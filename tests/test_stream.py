@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 import loglake as L
 from loglake.sources.samples import event_requests
 
@@ -51,11 +53,36 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     first = snapshot(streamed)
     assert len({row[0] for row in first}) == 840
 
-    # The same writer replays the same batch numbers; they are already stored.
-    run(spark, landing, streamed, str(tmp_path / "other"), rejects_path=rejects_path, writer="w")
+    # Another checkpoint counts its batches anew, so it cannot take the name over.
+    with pytest.raises(Exception, match="another stream checkpoint"):
+        run(spark, landing, streamed, str(tmp_path / "other"), rejects_path=rejects_path, writer="w")
     assert snapshot(streamed) == first
 
 
+def test_two_streams_at_once(spark, tmp_path):
+    """Started together; one that failed is started again.  Each row is there once."""
+    table = L.LogTable(spark, str(tmp_path / "table"))
+    expected = []
+    for name in ("a", "b"):
+        for part in range(3):
+            messages = [f"{name}{part}{n}" for n in range(4)]
+            land(spark, str(tmp_path / name), [(f"{name}{part}", body(*messages), NOW)])
+            expected += messages
+    for _ in range(2):
+        running = [
+            L.stream_ingest(
+                L.stream_envelopes(spark, str(tmp_path / name), maxFilesPerTrigger="1"),
+                L.LogTable(spark, table.root), str(tmp_path / f"checkpoint {name}"))
+            for name in ("a", "b")
+        ]
+        for stream in running:
+            stream.awaitTermination()
+    rows = snapshot(table)
+    assert sorted(row[1] for row in rows) == sorted(expected)
+    assert len({row[0] for row in rows}) == len(rows)
+    assert table.rollup().agg({"count": "sum"}).first()[0] == len(rows)
+
+
 def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
     landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
     land(spark, landing, [("a", body("one", "two"), NOW), ("b", body("three"), NOW)])
@@ -63,10 +90,11 @@ def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
     publish, calls = table._publish, []
 
     def fail_after_publishing(state):
-        publish(state)
+        published = publish(state)
         calls.append(state)
-        if len(calls) == 1:
+        if len(calls) == 2:
             raise RuntimeError("driver lost")
+        return published
 
     monkeypatch.setattr(table, "_publish", fail_after_publishing)
     try:

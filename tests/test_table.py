@@ -92,7 +92,7 @@ def test_replayed_epoch_adds_nothing(table, make_logs):
     assert table.append(logs, writer="other", epoch=0) == 30
 
 
-def test_unpublished_batch_is_invisible_and_replaced(table, make_logs, monkeypatch):
+def test_failed_append_leaves_nothing(table, make_logs, monkeypatch):
     table.append(make_logs(some_rows(4, 20)))
     before = stored(table)
 
@@ -100,16 +100,40 @@ def test_unpublished_batch_is_invisible_and_replaced(table, make_logs, monkeypat
         raise RuntimeError("driver lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(table, "_publish", lost)
-        with pytest.raises(RuntimeError):
+        patch.setattr(table, "_write_rollup", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
             table.append(make_logs([(n, "2024-05-05T00:00:00Z") for n in range(9)]))
     assert stored(table) == before
+    assert table._names(table._day_path(table.logs_path, 19848)) == []
     assert table.aggregate(L.AggregateQuery.parse({**WIDE, "bucket": "1d"})).agg(F.sum("count")).first()[0] == 20
     table.append(make_logs([(500, "2024-06-06T00:00:00Z")]))
     assert len(stored(table)) == 21
     assert table.scan().filter("log_date = '2024-05-05'").count() == 0
 
 
+def test_error_after_publishing_keeps_the_batch(table, make_logs, monkeypatch):
+    publish = table._publish
+
+    def publish_and_fail(state):
+        publish(state)
+        if not state.pending:
+            raise RuntimeError("driver lost")
+        return table.state()
+
+    with monkeypatch.context() as patch:
+        patch.setattr(table, "_publish", publish_and_fail)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=0)
+    assert len(stored(table)) == 1
+    assert table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=0) == 0
+
+
+def test_writer_belongs_to_one_query(table, make_logs):
+    table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=3, query="one")
+    with pytest.raises(RuntimeError, match="another stream checkpoint"):
+        table.append(make_logs([(2, "2024-05-05T00:00:00Z")]), writer="w", epoch=0, query="two")
+
+
 def test_pages_of_a_table(table, make_logs):
     rows = some_rows(5, 120)
     table.append(make_logs(rows[:70], 3))
@@ -181,29 +205,6 @@ def test_whole_expired_days_are_deleted_once_readers_had_time(table, make_logs):
     check_rollup(table)
 
 
-def test_compaction_changes_files_only(table, make_logs):
-    for turn in range(2):
-        table.append(make_logs(some_rows(30 + turn, 80, first=100 * turn), 2))
-    now, options = NOW.replace(hour=10, minute=1), L.RetentionOptions(days=15)
-    table.retain(now, options, bounded=False)
-    before, day = stored(table), dt.date(2024, 3, 5)
-    reader = table.scan()
-    kept = table.scan().filter(F.col("log_date") == day).count()
-    assert kept > 0 and table.compact(day) == kept
-    assert stored(table) == before and reader.count() == len(before)
-    table.vacuum()
-    assert table._names(table._day_path(table.logs_path, 19787)) == ["batch_id=3"]
-    assert stored(table) == before and table.state().compacted == {}
-    # a later batch of the day, a second compaction, and retention still work
-    table.append(make_logs([(1, "2024-03-05T00:00:00Z", {"message": "late"})]))
-    table.compact(day)
-    assert sorted(stored(table).values()) == sorted([*before.values(), "late"])
-    check_rollup(table)
-    assert table.retain(now, options, bounded=False) == 1
-    assert stored(table) == before
-    check_rollup(table)
-
-
 def test_longer_retention_does_not_bring_rows_back(table, make_logs):
     table.append(make_logs(some_rows(21, 60), 2))
     table.retain(NOW, L.RetentionOptions(days=15), bounded=False)
@@ -217,6 +218,7 @@ def test_longer_retention_does_not_bring_rows_back(table, make_logs):
 def test_truncate_restarts_ids(table, make_logs):
     table.append(make_logs(some_rows(22, 30)), writer="s", epoch=4)
     table.truncate()
+    table.vacuum()
     assert stored(table) == {} and days_on_disk(table) == []
     check_rollup(table)
     assert table.append(make_logs(some_rows(22, 30)), writer="s", epoch=4) == 0
@@ -224,12 +226,13 @@ def test_truncate_restarts_ids(table, make_logs):
     assert list(stored(table)) == [1]
 
 
-def test_second_writer_is_refused(table, make_logs):
+def test_second_publisher_of_a_version_is_refused(table, make_logs):
     table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
     state = table.state()
     table._publish(state)
     with pytest.raises(RuntimeError, match="another writer"):
         table._publish(state)
+    assert [name for name in table._names(f"{table.root}/state") if name.endswith(".tmp")] == []
 
 
 def test_retention_beside_an_append(spark, table, make_logs, monkeypatch):
@@ -246,17 +249,61 @@ def test_retention_beside_an_append(spark, table, make_logs, monkeypatch):
     assert sorted(stored(table).values()) == ["late", "message 2"]
 
 
-def test_second_append_is_refused(spark, table, make_logs, monkeypatch):
+def test_append_inside_an_append(spark, table, make_logs, monkeypatch):
     write = table._write_both
 
     def write_twice(*args):
         write(*args)
         monkeypatch.setattr(table, "_write_both", write)
-        L.LogTable(spark, table.root)._publish(table.state().__class__(next_id=9, next_batch=2))
+        L.LogTable(spark, table.root).append(make_logs([(5, "2024-03-01T00:00:00Z"), (6, "2024-03-02T00:00:00Z")]))
 
     monkeypatch.setattr(table, "_write_both", write_twice)
-    with pytest.raises(RuntimeError, match="another writer"):
+    table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
+    assert stored(table) == {1: "message 1", 2: "message 5", 3: "message 6"}
+    check_rollup(table)
+
+
+def test_truncation_inside_an_append(spark, table, make_logs, monkeypatch):
+    write = table._write_both
+
+    def write_and_truncate(*args):
+        write(*args)
+        L.LogTable(spark, table.root).truncate()
+
+    monkeypatch.setattr(table, "_write_both", write_and_truncate)
+    with pytest.raises(RuntimeError, match="truncated"):
         table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
+    assert stored(table) == {}
+
+
+def test_vacuum_lists_no_day_without_need(table, make_logs, monkeypatch):
+    table.append(make_logs(some_rows(40, 60), 2))
+    listed, names = [], table._names
+    monkeypatch.setattr(table, "_names", lambda path: listed.append(path) or names(path))
+    table.vacuum()
+    assert not [path for path in listed if "log_date=" in path]
+
+
+def test_other_session_zone_is_refused(spark, table):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(RuntimeError, match="configure"):
+            L.LogTable(spark, table.root)
+    finally:
+        L.configure(spark)
+
+
+def test_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from loglake.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    context.getCheckpointDir = lambda: "hdfs:///checkpoints/"
+    assert shared_folder(session) == "hdfs:///checkpoints"
 
 
 def test_reader_prunes_days_and_pushes_time(table, make_logs):
