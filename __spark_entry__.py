@@ -8,6 +8,7 @@ are packed from all events.  Every query runs over its whole table.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,9 @@ from loglake import (
     survivors,
     validate,
 )
+from loglake.functions.isotime import iso_millis_text
 from loglake.operators.numbering import number_rows
-from loglake.operators.page import present, row_cursors
+from loglake.operators.page import LogsPage, present, row_cursors
 from loglake.operators.retention import cutoff_micros
 from loglake.plans.predicates import filter_predicate
 from loglake.plans.specs import LogFilter
@@ -58,6 +60,8 @@ except ModuleNotFoundError as missing:
 Query = Callable[[SparkSession, str], DataFrame]
 
 _MONTH = {"since": "2024-01-01T00:00:00Z", "until": "2024-02-01T00:00:00Z"}
+# Documents lie 37 seconds apart, so this is behind several billions of them.
+_END_OF_DOCUMENTS = "9999-01-01T00:00:00Z"
 _NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 _FIFTEEN_DAYS = RetentionOptions(days=15)
 _BOUNDED = RetentionOptions(days=15, batch_size=100, max_batches_per_run=3)
@@ -139,6 +143,73 @@ def _shown(logs: DataFrame, *extra) -> DataFrame:
     )
 
 
+def _bad_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of which some bodies are unusable and some ids are missing or repeated."""
+    number = F.col("request_id").cast("long")
+    good = F.col("body")
+    body = (
+        F.when(number % 7 == 1, F.substring(good, 1, 40))
+        .when(number % 7 == 2, "{}").when(number % 7 == 3, '{"logs":[]}')
+        .when(number % 7 == 4, F.concat(good, F.lit(" 5"))).otherwise(good)
+    )
+    sent_id = F.when(number % 5 == 1, F.lit(None)).when(number % 5 == 2, "again").otherwise(F.col("request_id"))
+    requests = event_requests(configure(spark), folder).select(
+        sent_id.alias("request_id"), body.alias("body"), "received_at")
+    return summarize(validate(requests)).withColumn("rejected", F.to_json("rejected"))
+
+
+def _boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per event, its item at or just over a limit of the rules."""
+    logs = event_logs(configure(spark), folder)
+    millis = F.unix_millis("timestamp")
+    case = (F.col("id") - 1) % 12
+    ahead = F.when(case == 0, 300_000).when(case == 1, 300_001).otherwise(0)
+    text = iso_millis_text(F.timestamp_millis(millis + ahead))
+    stamp = F.when(case == 7, F.replace(text, F.lit("Z"), F.lit(""))).when(
+        case == 8, "2023-02-29T00:00:00Z").otherwise(text)
+    level = F.when(case == 3, "5").when(case == 4, "null").when(case == 5, '["warn"]').when(
+        case == 6, "{}").otherwise('"info"')
+    attributes = F.when(case == 9, "[]").when(case == 10, '{"a":1.5,"b":true,"c":"x"}').otherwise("{}")
+    extra = F.when(case == 2, '"trace":{"deep":[1]},').otherwise("")
+    message = F.when(case == 11, " ").otherwise("m")
+    body = F.concat(
+        F.lit('{"logs":[{'), extra, F.lit('"timestamp":"'), stamp, F.lit('","level":'), level,
+        F.lit(',"service":"s","message":"'), message, F.lit('","attributes":'), attributes, F.lit("}]}"))
+    requests = logs.select(
+        F.col("id").cast("string").alias("request_id"), body.alias("body"),
+        F.timestamp_millis(millis).alias("received_at"))
+    return validate(requests).select(
+        "request_id", F.coalesce("reason", F.lit("accepted")).alias("reason"),
+        F.when(F.col("reason").isNull(), F.col("attributes_json")).alias("attributes"))
+
+
+def _ingest_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Two ingests into one table: ids of each day are positive and never repeat."""
+    table = LogTable(configure(spark), scratch_path(spark, "table"))
+    envelopes = read_envelopes(spark, _landed(spark, folder))
+    for _ in range(2):
+        ingest_batch(envelopes, table)
+    return table.scan().groupBy(F.col("log_date").cast("string").alias("day")).agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), (F.min("id") > 0).alias("positive"))
+
+
+def _stored_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of a stored table, read by the first one's cursor."""
+    table = _new_table(spark, folder)
+    params = {"level": "warn", "limit": "150"}
+    first = table.page(LogsQuery.parse(params))
+    if first.next_cursor is None:
+        second = LogsPage([], None)
+    else:
+        second = table.page(LogsQuery.parse({**params, "cursor": first.next_cursor}))
+    rows = [
+        (log["id"], log["timestamp"], log["service"], log["message"], json.dumps(log["attributes"]), second.next_cursor)
+        for log in second.logs
+    ]
+    columns = "id string, timestamp string, service string, message string, attributes string, next_cursor string"
+    return spark.createDataFrame(rows, columns)
+
+
 def _new_table(spark: SparkSession, folder: str) -> LogTable:
     """A table in the shared folder holding all events, oldest id first."""
     table = LogTable(configure(spark), scratch_path(spark, "table"))
@@ -242,7 +313,8 @@ def _log_queries() -> dict[str, Query]:
             "bucket": "1h", "group_by": "level", "service": "svc-5",
             "since": "2024-01-04T10:20:30.123456Z", "until": "2024-01-19T23:59:59Z",
         }),
-        "agg_message_search": _aggregate({"bucket": "1h", "group_by": "service", "q": "the"}, document_logs),
+        "agg_message_search": _aggregate(
+            {"bucket": "1h", "group_by": "service", "q": "the", "until": _END_OF_DOCUMENTS}, document_logs),
         "agg_attribute": _aggregate({"bucket": "1d", "attr.k": "42"}),
         "agg_empty": _aggregate({"bucket": "1h", "service": ""}),
         "agg_from_rollup": _from_rollup,
@@ -253,6 +325,10 @@ def _log_queries() -> dict[str, Query]:
         "ingest_rejects": _ingest_rejects,
         "ingest_summary": _ingest_summary,
         "ingest_table": _ingest_table,
+        "ingest_bad_bodies": _bad_bodies,
+        "ingest_ids": _ingest_ids,
+        "validate_boundaries": _boundaries,
+        "page_with_cursor": _stored_page,
         "assign_ids": _assign_ids,
         "logs_append": _logs_append,
         "logs_truncate": _logs_truncate,
@@ -348,6 +424,20 @@ def _bucket_sql(logs: str, width: str, group: str | None = None, where: str = "T
     """
 
 
+# Each request once, whatever id it was sent with.
+_REQUESTS_SQL = f"""
+    SELECT request_id, CAST(request_id AS BIGINT) AS r, count(*) FILTER (WHERE reason IS NULL) AS accepted,
+           '[' || coalesce(string_agg('{{"index":' || CAST("index" AS VARCHAR) || ',"reason":"'
+               || reason || '"}}', ',' ORDER BY "index") FILTER (WHERE reason IS NOT NULL), '') || ']' AS rejected
+    FROM ({_ITEMS}) GROUP BY request_id
+"""
+_BOUNDARY_REASONS = """CASE (id - 1) % 12
+    WHEN 1 THEN 'timestamp must be a valid ISO datetime' WHEN 7 THEN 'timestamp must be a valid ISO datetime'
+    WHEN 8 THEN 'timestamp must be a valid ISO datetime' WHEN 3 THEN 'invalid level: ''5'''
+    WHEN 4 THEN 'invalid level: ''null''' WHEN 5 THEN 'invalid level: ''warn'''
+    WHEN 6 THEN 'invalid level: ''[object Object]'''
+    WHEN 9 THEN 'attributes must be a flat object with string, number, or boolean values'
+    ELSE 'accepted' END"""
 _COMBINED_SQL = """service = 'svc-3' AND level = 'error' AND t >= TIMESTAMP '2024-01-03 06:00:00'
     AND t < TIMESTAMP '2024-01-28 16:30:00' AND message ILIKE '%BY USER%' ESCAPE '\\'"""
 _NUMBERED_SQL = "row_number() OVER (ORDER BY t, message) AS id,"
@@ -402,7 +492,7 @@ def _log_sql() -> dict[str, str]:
         "agg_filtered": _bucket_sql(events, "1 hour", "level", """service = 'svc-5'
             AND t >= TIMESTAMP '2024-01-04 10:20:30.123456' AND t < TIMESTAMP '2024-01-19 23:59:59'"""),
         "agg_message_search": _bucket_sql(documents, "1 hour", "service", """message ILIKE '%the%'
-            AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '2024-02-01'"""),
+            AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '9999-01-01'"""),
         "agg_attribute": _bucket_sql(events, "1 day", None, "k = '42'"),
         "agg_empty": _bucket_sql(events, "1 hour", None, "service = ''"),
         "agg_from_rollup": by_service,
@@ -421,6 +511,33 @@ def _log_sql() -> dict[str, str]:
                    count(*) FILTER (WHERE reason IS NULL) > 0 AS ok
             FROM ({items}) GROUP BY request_id""",
         "ingest_table": _exact_sql(items, "", kept, _SENT_ATTRIBUTES),
+        "ingest_bad_bodies": f"""
+            SELECT CASE WHEN r % 5 = 1 THEN NULL WHEN r % 5 = 2 THEN 'again' ELSE request_id END AS request_id,
+                   CASE WHEN r % 7 IN (1, 2, 3, 4) THEN 0 ELSE accepted END AS accepted,
+                   CASE WHEN r % 7 IN (1, 2, 3, 4) THEN '[]' ELSE rejected END AS rejected,
+                   CASE WHEN r % 7 IN (1, 2, 3, 4) THEN 'Invalid request body' END AS error,
+                   r % 7 NOT IN (1, 2, 3, 4) AND accepted > 0 AS ok
+            FROM ({_REQUESTS_SQL})""",
+        "ingest_ids": f"""
+            SELECT strftime(t, '%Y-%m-%d') AS day, 2 * count(*) AS n, 2 * count(*) AS ids, TRUE AS positive
+            FROM ({items}) WHERE {kept} GROUP BY 1""",
+        "validate_boundaries": f"""
+            SELECT CAST(id AS VARCHAR) AS request_id, {_BOUNDARY_REASONS} AS reason,
+                   CASE WHEN (id - 1) % 12 = 10 THEN '{{"a":1.5,"b":true,"c":"x"}}'
+                        WHEN (id - 1) % 12 IN (0, 2, 11) THEN '{{}}' END AS attributes
+            FROM ({events}) l""",
+        "page_with_cursor": f"""
+            WITH numbered AS (
+                SELECT row_number() OVER (ORDER BY t, message) AS n, l.* EXCLUDE (id) FROM ({events}) l),
+            ranked AS (SELECT *, row_number() OVER (ORDER BY t DESC, n DESC) AS place
+                       FROM numbered WHERE level = 'warn'),
+            page AS (SELECT * FROM ranked WHERE place BETWEEN 151 AND 300)
+            SELECT CAST(n AS VARCHAR) AS id, {_MILLIS.format('t')} AS "timestamp", service, message,
+                   replace(attributes, ':', ': ') AS attributes,
+                   (SELECT rtrim(translate(base64(encode('{{"v":1,"timestamp":"' || {_MICROS.format('t')}
+                       || '","id":"' || CAST(n AS VARCHAR) || '"}}')), '+/', '-_'), '=')
+                    FROM page WHERE place = 300 AND (SELECT count(*) FROM ranked) > 300) AS next_cursor
+            FROM page""",
         "assign_ids": f"""
             SELECT row_number() OVER (ORDER BY CAST(request_id AS BIGINT), "index") AS id,
                    CAST(request_id AS BIGINT) AS request, "index"

@@ -5,7 +5,7 @@ import pytest
 from loglake import Cursor, LogsQuery, all_pages, decode_cursor, encode_cursor, fetch_page, page_rows
 from loglake.operators.page import time_windows
 
-SAME = [(n, "2024-03-01T10:00:00.000Z") for n in range(25, 0, -1)]
+SAME = [(n, "2024-03-01T10:00:00.000Z") for n in random.Random(5).sample(range(1, 24), 23)]
 CLOSE = [(n, f"2024-03-01T10:00:00.123{n}00Z") for n in range(1, 6)]
 
 
@@ -21,8 +21,8 @@ def walk(logs, limit, **extra):
 
 
 def test_equal_timestamps_page_by_id(make_logs):
-    pages = walk(make_logs(SAME, partitions=4), 10)
-    assert pages == [list(range(25, 15, -1)), list(range(15, 5, -1)), list(range(5, 0, -1))]
+    pages = walk(make_logs(SAME, partitions=4), 9)
+    assert pages == [list(range(23, 14, -1)), list(range(14, 5, -1)), list(range(5, 0, -1))]
 
 
 def test_rows_within_one_millisecond_are_all_returned(make_logs):
@@ -72,12 +72,12 @@ def test_all_pages_agrees_with_a_walk(make_logs, limit):
 
 
 def test_hostile_text_is_only_text(make_logs):
-    rows = [(1, "2024-03-01T10:00:00Z", {"service": "checkout' OR 1=1 --", "attributes": {"a\" OR 1=1": "x' --"}}),
+    rows = [(1, "2024-03-01T10:00:00Z", {"service": "pay'); DROP TABLE logs; --", "attributes": {"`k\"`=`k\"`": "%' or ''='"}}),
             (2, "2024-03-01T10:00:00Z")]
     logs = make_logs(rows)
-    query = LogsQuery.parse({"service": "checkout' OR 1=1 --", "attr.a\" OR 1=1": "x' --"})
+    query = LogsQuery.parse({"service": "pay'); DROP TABLE logs; --", "attr.`k\"`=`k\"`": "%' or ''='"})
     assert [log["id"] for log in fetch_page(logs, query).logs] == ["1"]
-    assert fetch_page(logs, LogsQuery(q="declined' OR 1=1 --")).logs == []
+    assert fetch_page(logs, LogsQuery(q="m' UNION SELECT 1 --")).logs == []
 
 
 def test_bounds_are_inclusive_then_exclusive(make_logs):

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from loglake import accepted_logs, rejects, summarize, validate
 
-NOW = dt.datetime(2026, 8, 12, 12, 0, tzinfo=dt.timezone.utc)
+NOW = dt.datetime(2031, 3, 9, 6, 0, tzinfo=dt.timezone.utc)
 GOOD = {
-    "timestamp": "2026-08-12T12:00:00.000Z", "level": "info", "service": "test",
-    "message": "hello", "attributes": {},
+    "timestamp": "2031-03-09T06:00:00.000Z", "level": "info", "service": "ledger",
+    "message": "posted", "attributes": {},
 }
 OBJECT = "log must be an object"
 TIMESTAMP = "timestamp must be a valid ISO datetime"
@@ -57,12 +57,12 @@ CASES = [
     ("{}", TIMESTAMP),
     (item(timestamp=...), TIMESTAMP), (item(timestamp="not-a-date"), TIMESTAMP),
     (item(timestamp=5), TIMESTAMP), (item(timestamp=None), TIMESTAMP),
-    (item(timestamp="2026-08-12T12:05:00.000Z"), None),
-    (item(timestamp="2026-08-12T12:05:00.000999Z"), None),
-    (item(timestamp="2026-08-12T12:05:00.001Z"), TIMESTAMP),
-    (item(timestamp="2026-08-12T14:05:00+02:00"), None),
-    (item(timestamp="2026-08-12T12:05:00-00:01"), TIMESTAMP),
-    (item(timestamp="2020-01-01T00:00:00.000Z"), None), (item(timestamp="0000-01-01T00:00:00Z"), None),
+    (item(timestamp="2031-03-09T06:05:00.000Z"), None),
+    (item(timestamp="2031-03-09T06:05:00.000999Z"), None),
+    (item(timestamp="2031-03-09T06:05:00.001Z"), TIMESTAMP),
+    (item(timestamp="2031-03-09T08:05:00+02:00"), None),
+    (item(timestamp="2031-03-09T06:05:00-00:01"), TIMESTAMP),
+    (item(timestamp="1987-06-05T04:03:02.001Z"), None), (item(timestamp="0000-01-01T00:00:00Z"), None),
     *[(item(level=name), None) for name in ("debug", "info", "warn", "error")],
     (item(level="critical"), level("critical")), (item(level="INFO"), level("INFO")),
     (item(level=""), level("")), (item(level="it's"), level("it's")), (item(level=...), level("undefined")),
@@ -125,7 +125,7 @@ def test_unknown_fields_are_dropped(spark):
 
 
 def test_repeated_fields_keep_the_last(spark):
-    text = '{"timestamp":"2026-08-12T12:00:00Z","level":"bad","level":"info","service":"s","message":"m"}'
+    text = '{"timestamp":"2031-03-09T06:00:00Z","level":"bad","level":"info","service":"s","message":"m"}'
     assert reasons(spark, [text]) == [None]
 
 
@@ -186,3 +186,12 @@ def test_no_python_in_the_plan_and_body_parsed_once(spark):
     plan = accepted_logs(judged)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert plan.count("parseJson(concat([,") == 1
+
+
+def test_requests_with_equal_or_no_id_stay_apart(spark):
+    rows = [("r", request(item(), "5"), NOW), ("r", request(item(), "7", item()), NOW), (None, "{}", NOW),
+            (None, request(item()), NOW)]
+    judged = validate(spark.createDataFrame(rows, "request_id string, body string, received_at timestamp"))
+    told = summarize(judged).select("request_id", "accepted", F.size("rejected").alias("n"), "error", "ok").collect()
+    assert sorted(map(tuple, told), key=repr) == sorted(
+        [("r", 1, 1, None, True), ("r", 2, 1, None, True), (None, 0, 0, BODY, False), (None, 1, 0, None, True)], key=repr)
