@@ -13,10 +13,12 @@ which for equal weights is the Jaccard similarity.  Bands of registers give
 candidates and J itself, from whole texts, decides.
 
 Identical shingle multisets are one node from the start.  In each bucket all
-nodes are compared with the smallest; the rest of the comparisons is needed
-only where a bucket still holds several components: there each node outside
-the bucket's main component is compared with every node of another component.
-So no group of copies is expanded into pairs, and no link is given up.
+nodes are compared with the smallest, which settles most.  A bucket that then
+still holds several components is cut into blocks, and every pair of blocks is
+a task that compares its nodes of different components where they lie: a bound
+from one matrix product leaves few pairs, J decides, and pairs that the task
+has connected already are passed over.  So no group of copies is expanded into
+rows of pairs, and no link between components is given up.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
 
+#: Nodes in one block of a bucket that is not settled yet.
+_BLOCK = 256
+#: Shingles looked at together when shares of two blocks' nodes are bounded.
+_COLUMNS = 1 << 14
 _SIGNED = "id long, c1 long, c2 long, bands array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,8 +188,7 @@ def near_duplicate_classes(
     links, _ = materialize(_verify(stars, texts, similarity), "links")
     found = components(links)
 
-    rest = _unsettled(members, found)
-    more, _ = materialize(_verify(rest, texts, similarity), "links")
+    more, _ = materialize(_settle(members, found, contents, texts, similarity), "links")
     if more.take(1):
         found = components(links.unionByName(more))
     classes = found.select(F.col("node").alias("rep"), F.col("component"))
@@ -194,24 +199,92 @@ def near_duplicate_classes(
         "id", F.coalesce("class_id", "id").alias("class_id"))
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, once each."""
+def _settle(
+    members: DataFrame, found: DataFrame, contents: DataFrame, texts: DataFrame, threshold: float
+) -> DataFrame:
+    """Links between different components that share a bucket."""
     placed, _ = materialize(
         members.join(found, members.rep == found.node, "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(
-        F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")
-    ).filter(F.col("parts") > 1).drop("parts")
-    mixed_buckets = placed.join(main, "bucket")
-    outside = mixed_buckets.filter(F.col("component") != F.col("main"))
-    x, y = outside.alias("x"), mixed_buckets.alias("y")
-    both_outside = F.col("y.component") != F.col("y.main")
-    once = (F.col("x.component") != F.col("y.component")) & (
-        ~both_outside | (F.col("x.rep") < F.col("y.rep")))
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter(once)
-    return pairs.select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            "bucket", "rep", F.coalesce("component", "rep").alias("component")), "unsettled")
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+    ).filter(F.col("low") < F.col("high"))
+    last = F.floor((F.col("n") - 1) / _BLOCK)
+    open_members = placed.join(several.select("bucket", last.alias("last")), "bucket")
+    # Blocks by a hash of the node are even enough and need no order of the bucket.
+    block = F.pmod(F.xxhash64("rep"), F.col("last") + 1)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda other: F.struct(
+        F.least(F.col("block"), other).alias("one"), F.greatest(F.col("block"), other).alias("two"),
+        (other < F.col("block")).cast("int").alias("side")))
+    facts = texts.join(contents.select(F.col("rep").alias("id"), "bands"), "id")
+    tasks = open_members.withColumn("block", block).select("bucket", "rep", "component", F.inline(meets)).join(
+        facts, F.col("rep") == F.col("id")).select("bucket", "one", "two", "side", "rep", "component", "bands", "text")
+    return tasks.groupBy("bucket", "one", "two").applyInArrow(_meet(threshold), "a long, b long")
+
+
+def _meet(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        bounds, hashes, weights = weighted_shingles(table.column("text"))
+        reps, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        side = table.column("side").to_numpy()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+        share = _shares(bounds, hashes, weights)
+        possible = np.minimum(share, share.T) >= threshold - 1e-9
+        possible &= component[:, None] != component[None, :]
+        if side.any():
+            possible &= (side[:, None] == 0) & (side[None, :] == 1)
+        else:
+            possible = np.triu(possible, 1)
+        i, j = np.nonzero(possible)
+        if len(i):
+            # Pairs that meet in several buckets are looked at in the first.
+            own = np.flatnonzero((bands == table.column("bucket")[0].as_py()).any(axis=0))[0]
+            first = (bands[i] == bands[j]).argmax(axis=1) == own
+            i, j = i[first], j[first]
+        group = {value: value for value in component.tolist()}
+
+        def root(value: int) -> int:
+            while group[value] != value:
+                group[value] = value = group[group[value]]
+            return value
+
+        links = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            a, b = root(int(component[x])), root(int(component[y]))
+            if a != b and similarity(
+                (hashes[bounds[x]:bounds[x + 1]], weights[bounds[x]:bounds[x + 1]]),
+                (hashes[bounds[y]:bounds[y + 1]], weights[bounds[y]:bounds[y + 1]]),
+            ) >= threshold:
+                group[max(a, b)] = min(a, b)
+                links.append((reps[x], reps[y]))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _shares(bounds, hashes, weights) -> np.ndarray:
+    """[x, y]: the share of x's weight on shingles that y has too, which bounds J from above."""
+    texts = len(bounds) - 1
+    owner = np.repeat(np.arange(texts), np.diff(bounds))
+    total = np.maximum(np.add.reduceat(np.append(weights, 0), bounds[:-1]), 1) if texts else np.zeros(0)
+    part = (weights / total[owner]).astype(np.float32)
+    _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, part, column = owner[common], part[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, part, column = owner[order], part[order], column[order]
+    share = np.zeros((texts, texts))
+    start = 0
+    while start < len(column):
+        first = column[start]
+        stop = int(np.searchsorted(column, first + _COLUMNS))
+        held = np.zeros((texts, column[stop - 1] - first + 1), np.float32)
+        held[owner[start:stop], column[start:stop] - first] = part[start:stop]
+        share += held @ (held > 0).astype(np.float32).T
+        start = stop
+    return share + 1e-5
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
