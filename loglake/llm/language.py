@@ -44,7 +44,8 @@ def gram_counts(texts: list[str | None], columns: int = COLUMNS) -> Iterator[tup
     while at < len(texts):
         held, size = [], 0
         for text in texts[at:at + _PIECE_ROWS]:
-            text = text.lower() if text else ""
+            # Every text ends in a border of its own, whatever follows it here.
+            text = text.lower() + "\n" if text else ""
             if held and size + len(text) > _PIECE_CHARS:
                 break
             held.append(text)
@@ -56,8 +57,8 @@ def gram_counts(texts: list[str | None], columns: int = COLUMNS) -> Iterator[tup
 def _count(texts: list[str], columns: int) -> np.ndarray:
     counts = np.zeros(len(texts) * columns, np.int64)
     if len(texts) > 1:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        _add_counts(counts, "\n".join(texts), np.repeat(np.arange(len(texts)), sizes), columns)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        _add_counts(counts, "".join(texts), np.repeat(np.arange(len(texts)), sizes), columns)
     else:
         for low in range(0, len(texts[0]), _PIECE_CHARS):
             part = texts[0][low:low + _PIECE_CHARS + max(ORDERS) - 1]
