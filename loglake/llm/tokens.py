@@ -75,15 +75,14 @@ def context_table(histogram: DataFrame) -> DataFrame:
     )
 
 
-def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
-    """(context, tokens_truncated, docs_longer) for any limits, from ``context_table``."""
-    asked = table.sparkSession.createDataFrame([(limit,) for limit in limits], "context long")
-    # One pass over the table per limit's aggregate; the limits are few.
-    at = F.explode(F.array(*map(F.lit, limits))) if limits else F.explode(F.array().cast("array<long>"))
-    told = table.withColumn("context", at.cast("long")).groupBy("context").agg(
+def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """(context, tokens_truncated, docs_longer) for each of the limits; also of an empty table."""
+    asked = histogram.sparkSession.createDataFrame([(limit,) for limit in sorted(set(limits))], "context long")
+    each = F.explode(F.array(*map(F.lit, limits)).cast("array<long>")).alias("context")
+    told = histogram.select("length", "n_docs", each).groupBy("context").agg(
         F.sum(F.least("length", "context") * F.col("n_docs")).alias("tokens_truncated"),
         F.sum(F.when(F.col("length") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("docs_longer"))
-    return asked.distinct().join(told, "context", "left").na.fill(0)
+    return asked.join(told, "context", "left").na.fill(0)
 
 
 def quantile(table: DataFrame, share: float) -> int | None:

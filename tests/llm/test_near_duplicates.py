@@ -1,0 +1,168 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from loglake.llm import components as graphs
+from loglake.llm import embeddings, minhash, substrings
+
+
+def classes(edges, nodes):
+    group = {node: node for node in nodes}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        group[high] = low
+    return {node: root(node) for node in nodes}
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
+def test_components(spark, kind):
+    rng = random.Random(4)
+    edges = {
+        "path": [(n, n + 1) for n in rng.sample(range(60), 60)],
+        "star": [(70, n) for n in range(70)] + [(5, 5)],
+        "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] * 2 + [(None, 3)],
+        "empty": [],
+    }[kind]
+    found = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    real = [(a, b) for a, b in edges if a is not None and a != b]
+    assert found == classes(real, {node for edge in real for node in edge})
+
+
+def brute_similarity(a, b, width=5):
+    def shingles(text):
+        held = text.split()
+        runs = [tuple(held)] if 0 < len(held) < width else [tuple(held[i:i + width]) for i in range(len(held) - width + 1)]
+        return Counter(runs)
+
+    a, b = shingles(a or ""), shingles(b or "")
+    every = a.keys() | b.keys()
+    return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in every) for i in a.keys() & b.keys())
+
+
+def edited(words, text, count, rng):
+    held = list(text)
+    for _ in range(count):
+        held[rng.randrange(len(held))] = words(1)[0]
+    return held
+
+
+def test_classes_against_brute_force(documents, words, monkeypatch):
+    monkeypatch.setattr(minhash, "_BLOCK", 8)
+    rng = random.Random(2)
+    texts, base = [], words(120)
+    texts += [" ".join(edited(words, base, rng.randrange(9), rng)) for _ in range(60)]
+    repeated = words(40) * 3
+    texts += [" ".join(edited(words, repeated, rng.randrange(6), rng)) for _ in range(25)]
+    texts += [" ".join(words(rng.randrange(1, 30))) for _ in range(30)] + ["a b", "a b", "b a", "short one", "", " ", None]
+    rows = list(enumerate(texts, 10))
+    docs = documents([*rows, (None, texts[0]), (None, None)])
+    links = [
+        (i, j) for i, a in rows for j, b in rows if i < j and abs(len((a or "").split()) - len((b or "").split())) < 40
+        and brute_similarity(a, b) >= 0.8]
+    expected = classes(links, dict(rows))
+    got = minhash.near_duplicate_classes(docs).collect()
+    assert {r["id"]: r["class_id"] for r in got if r["id"] is not None} == expected
+    assert [r["class_id"] for r in got if r["id"] is None] == [None, None]
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted([-1, -1, *set(expected.values())])
+
+
+def test_repeated_rows_and_no_rows(documents):
+    one = "one two three four five six seven"
+    assert minhash.keep_one(documents([(3, one), (3, one), (9, one)])).count() == 1
+    assert minhash.near_duplicate_classes(documents([])).count() == 0
+
+
+def test_registers_agree_as_often_as_the_similarity(words):
+    rng = random.Random(6)
+    pairs = []
+    for turn in range(120):
+        text = words(150) + (words(20) * 3 if turn % 2 else [])
+        pairs.append((" ".join(text), " ".join(edited(words, text, rng.randrange(1, 12), rng))))
+    bounds, hashes, weights = minhash.weighted_shingles(pa.array([t for pair in pairs for t in pair]))
+    signed = minhash.signatures(bounds, hashes, weights, 120)
+    real = [brute_similarity(a, b) for a, b in pairs]
+    seen = [(signed[2 * n] == signed[2 * n + 1]).mean() for n in range(len(pairs))]
+    assert abs(np.mean(np.subtract(seen, real))) < 0.02 and np.std(np.subtract(seen, real)) < 0.08
+    part = slice(bounds[0], bounds[1]), slice(bounds[1], bounds[2])
+    assert minhash.similarity(*((hashes[p], weights[p]) for p in part)) == pytest.approx(real[0])
+
+
+def vectors_frame(spark, rows):
+    return spark.createDataFrame(
+        rows, "vec_id long, embedding array<float>, label int, place long, turn int").repartition(3)
+
+
+def test_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "_CHUNK", 128)
+    monkeypatch.setattr(embeddings, "_BLOCK", 32)
+    rng = np.random.default_rng(8)
+    centres, rows = rng.standard_normal((12, 16)), []
+    for n in range(420):
+        spread = 0.03 if n < 150 else 0.06
+        centre = centres[0] if n < 150 else centres[rng.integers(12)]
+        rows.append((n, (centre + spread * rng.standard_normal(16)).tolist(), [0, 0, 1, None][n % 4] if n >= 150 else 2))
+    rows += [(500 + n, rows[3][1], 2) for n in range(20)] + [(600, [v * 4 for v in rows[3][1]], 2)]
+    odd = [(700, None, 2), (701, [], 2), (702, [0.0] * 16, 2), (703, [float("nan")] * 16, 2),
+           (704, [float("inf")] * 16, 2), (705, [None] * 16, 2), (706, rows[3][1][:8], 2), (None, rows[3][1], 2)]
+    got = embeddings.near_duplicate_vectors(vectors_frame(spark, [(*r, 1, 1) for r in rows + odd])).collect()
+    known = {r[0]: np.array(r[1], np.float32).astype(float) for r in rows}
+    label = {r[0]: r[2] for r in rows}
+    unit = {k: v / np.linalg.norm(v) for k, v in known.items()}
+    links = [(a, b) for a in unit for b in unit if a < b and label[a] is not None and label[a] == label[b]
+             and unit[a] @ unit[b] >= 0.98]
+    degree = Counter(end for link in links for end in link)
+    expected = classes(links, known)
+    told = {r["id"]: (r["n_links"], r["component_id"]) for r in got if r["id"] is not None}
+    assert len(got) == len(rows) + len(odd)
+    assert {k: told[k] for k in known} == {k: (degree[k], expected[k]) for k in known}
+    assert all(told[k] == (0, k) for k in range(700, 707))
+
+
+def test_no_vectors(spark):
+    assert embeddings.near_duplicate_vectors(vectors_frame(spark, [])).count() == 0
+
+
+def brute_repeats(texts, width=13):
+    first = {}
+    held = {key: (text or "").split() for key, text in texts.items()}
+    for key in sorted(held):
+        for at in range(len(held[key]) - width + 1):
+            first.setdefault(tuple(held[key][at:at + width]), key)
+    out = {}
+    for key, text in held.items():
+        gone = set()
+        for at in range(len(text) - width + 1):
+            if first[tuple(text[at:at + width])] < key:
+                gone |= set(range(at, at + width))
+        out[key] = (" ".join(w for at, w in enumerate(text) if at not in gone), len(text), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [substrings.BUCKET_ROWS, 1])
+def test_repeats_against_brute_force(documents, words, bucket_rows):
+    rng = random.Random(3)
+    passages = [words(rng.randrange(10, 60)) for _ in range(8)] + [["la"] * 300]
+    texts = {}
+    for n in range(80):
+        parts = [words(rng.randrange(30)) for _ in range(3)]
+        parts.insert(1, rng.choice(passages)[rng.randrange(5):])
+        texts[n] = "\n ".join(" ".join(p) for p in parts)
+    texts |= {90: None, 91: "", 92: " \t\n", 93: texts[4], 94: " ".join(words(3000) + passages[0] + words(3000))}
+    docs = documents([*texts.items(), (None, texts[4]), (93, texts[4])])
+    got = substrings.remove_repeats(docs, bucket_rows=bucket_rows).collect()
+    expected = brute_repeats(texts)
+    assert {r["doc_id"]: (r["text"], r["n_words"], r["n_removed"]) for r in got if r["doc_id"] is not None} == expected
+    whole = [r for r in got if r["doc_id"] is None]
+    assert len(got) == len(texts) + 2 and whole[0]["n_removed"] == 0
+    assert substrings.remove_repeats(documents([])).count() == 0
