@@ -38,6 +38,12 @@ def is_flat(members: str) -> str:
     return f"forall(map_values({members}), v -> NOT {kind('v')} RLIKE '^(VOID|OBJECT<|ARRAY<)')"
 
 
+def has_infinity(attributes: str) -> str:
+    """True when a number lies beyond the range of a double; false for no object."""
+    vast = f"{kind('v')} = 'DOUBLE' AND abs(try_variant_get(v, '$', 'double')) = double('Infinity')"
+    return f"coalesce(exists(map_values({as_members(attributes)}), v -> {vast}), false)"
+
+
 def text_map(members: str) -> str:
     return f"transform_values({members}, (key, v) -> {scalar_text('v')})"
 

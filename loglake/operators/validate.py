@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.attributes import is_flat, is_plain, json_text, plain_text_map, text_map
+from ..functions.attributes import has_infinity, is_flat, is_plain, json_text, plain_text_map, text_map
 from ..functions.isotime import iso_timestamp, micros_literal, micros_of
 from ..functions.variants import as_members, as_text, kind, script_text
 from ..schema import LEVELS, LOG_COLUMNS
@@ -96,6 +96,8 @@ def _judge(items: DataFrame) -> DataFrame:
         "coalesce(_json, '{}') AS _json",
         f"CASE WHEN _reason = '{_OTHER_LEVEL}' THEN to_json(_item.level) END AS _level_json",
         "CASE WHEN _reason IS NOT NULL OR NOT _plain THEN to_json(item) END AS raw",
+        # Numbers beyond a double print as the text "Infinity".
+        "CASE WHEN contains(_schema, 'DOUBLE') AND contains(_json, 'Infinity\"') THEN _item.attributes END AS _vast",
     )
 
 
@@ -110,7 +112,7 @@ def _finish(judged: DataFrame) -> DataFrame:
         'reason', CASE
             WHEN _reason = '{_OTHER_LEVEL}' THEN {_level_reason(script_text('_level'))}
             WHEN _reason IS NOT NULL OR _plain THEN _reason
-            WHEN NOT {is_flat('_members')} THEN '{BAD_ATTRIBUTES}' END,
+            WHEN NOT {is_flat('_members')} OR {has_infinity('_vast')} THEN '{BAD_ATTRIBUTES}' END,
         'timestamp', timestamp, 'level', level, 'service', service, 'message', message,
         'attributes', attributes,
         'attributes_json', CASE WHEN _plain THEN _json ELSE {json_text('_members', 'attributes')} END,

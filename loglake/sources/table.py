@@ -263,14 +263,16 @@ class LogTable:
     # Reading
 
     def scan(
-        self, since: int | None = None, until: int | None = None, state: TableState | None = None
+        self, since: int | None = None, until: int | None = None, state: TableState | None = None,
+        days: list[int] | None = None,
     ) -> DataFrame:
         """The visible records, optionally of [since, until) in microseconds.
 
-        Only the date directories in range are listed and read.
+        Only the date directories in range are listed and read; ``days`` are
+        those on disk, if known already.
         """
         state = state or self.state()
-        rows = self._read(self.logs_path, STORED, since, until, state)
+        rows = self._read(self.logs_path, STORED, since, until, state, days)
         for bound in self._range(since, until, "timestamp"):
             rows = rows.filter(bound)
         touching = (r for r in state.removals if since is None or since <= r.micros)
@@ -289,7 +291,8 @@ class LogTable:
             end = min(end, query.until_micros)
         if query.cursor is not None:
             end = min(end, query.cursor.micros + 1)
-        return fetch_recent_page(lambda since, until: self.scan(since, until, state), query, oldest, end)
+        return fetch_recent_page(
+            lambda since, until: self.scan(since, until, state, days), query, oldest, end)
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
         """Bucket counts, from the rollup whenever it holds the answer."""
@@ -409,8 +412,8 @@ class LogTable:
             .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.rollup_path)
         )
 
-    def _read(self, path, schema, since, until, state: TableState) -> DataFrame:
-        days = self._days(path)
+    def _read(self, path, schema, since, until, state: TableState, days: list[int] | None = None) -> DataFrame:
+        days = self._days(path) if days is None else days
         wanted = [
             day for day in days
             if (since is None or day >= utc_day(since)) and (until is None or day <= utc_day(until - 1))

@@ -31,8 +31,8 @@ def test_rows_within_one_millisecond_are_all_returned(make_logs):
 
 def test_cursor_only_when_more_rows_exist(make_logs):
     logs = make_logs(SAME)
-    assert fetch_page(logs, LogsQuery(limit=25)).next_cursor is None
-    page = fetch_page(logs, LogsQuery(limit=24))
+    assert fetch_page(logs, LogsQuery(limit=23)).next_cursor is None
+    page = fetch_page(logs, LogsQuery(limit=22))
     assert decode_cursor(page.next_cursor) == Cursor("2024-03-01T10:00:00.000000Z", "2")
 
 

@@ -103,7 +103,7 @@ def test_reasons(spark):
 def test_mixed_request_keeps_positions(spark):
     judged = judge(spark, request(item(), item(level="critical"), item(message="third"), item(message="")))
     kept = accepted_logs(judged).orderBy("index").collect()
-    assert [(r["index"], r["message"]) for r in kept] == [(0, "hello"), (2, "third")]
+    assert [(r["index"], r["message"]) for r in kept] == [(0, "posted"), (2, "third")]
     refused = rejects(judged).orderBy("index").collect()
     assert [(r["index"], r["reason"]) for r in refused] == [(1, level("critical")), (3, MESSAGE)]
     assert json.loads(refused[0]["raw"]) == {**GOOD, "level": "critical"}
@@ -195,3 +195,9 @@ def test_requests_with_equal_or_no_id_stay_apart(spark):
     told = summarize(judged).select("request_id", "accepted", F.size("rejected").alias("n"), "error", "ok").collect()
     assert sorted(map(tuple, told), key=repr) == sorted(
         [("r", 1, 1, None, True), ("r", 2, 1, None, True), (None, 0, 0, BODY, False), (None, 1, 0, None, True)], key=repr)
+
+
+def test_numbers_beyond_a_double_are_refused(spark):
+    vast = [item(attributes=Raw(text)) for text in ('{"n":1e400}', '{"s":"Infinity","n":-1e400}')]
+    fine = [item(attributes=Raw(text)) for text in ('{"s":"Infinity","n":1.5e3}', '{"n":1e308}')]
+    assert reasons(spark, [*vast, *fine]) == [ATTRIBUTES, ATTRIBUTES, None, None]
