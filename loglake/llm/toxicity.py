@@ -144,8 +144,12 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return trained[len(trained) // 4:]
 
 
-def _trainer(population: tuple[int, int]):
-    """Fit on all rows of one task, a sample of bounded size."""
+def _trainer():
+    """Fit on all rows of one task, a sample of bounded size.
+
+    Both labels weigh the same in the curve, so a score tells how much likelier
+    a text's savings are among toxic documents, however rare these are.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
@@ -166,8 +170,7 @@ def _trainer(population: tuple[int, int]):
         held = [int((labels == label).sum()) for label in (0, 1)]
         if not min(held):
             return
-        weights = np.where(labels == 1, population[1] / held[1], population[0] / held[0])
-        weights *= len(labels) / weights.sum()
+        weights = len(labels) / 2 / np.where(labels == 1, held[1], held[0])
         curve = _curve(np.array([features(words, *pair) for *_, words in aside]), labels, weights)
         told = {"ordinary": b64encode(model.ordinary).decode(), "toxic": b64encode(model.toxic).decode(), "curve": curve}
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(told)])], ["model"])
@@ -188,9 +191,6 @@ def train(
     """
     told = labels.select(F.col(key).alias("id"), F.col(toxic).cast("int").alias("toxic")).filter(
         F.col("id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {row.toxic: row.n for row in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
     fold = F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1))
     drawn = [
         told.filter(F.col("toxic") == label).withColumn("fold", fold).orderBy("fold", "id").limit(rows_per_label)
@@ -198,7 +198,7 @@ def train(
     ]
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     sample = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("fold", "toxic", "text")
-    fitted = sample.repartition(1).mapInArrow(_trainer((counts[0], counts[1])), "model string").first()
+    fitted = sample.repartition(1).mapInArrow(_trainer(), "model string").first()
     if fitted is None:
         return None
     found = json.loads(fitted.model)
