@@ -103,6 +103,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": sql.LINE_DEDUP,
+        "op4_hilbert_shards": sql.HILBERT_SHARDS,
         "op7_pareto_mix": sql.PARETO_MIX,
         "op8_super_kmer_dedup": sql.SUBSTRING_DEDUP,
     }

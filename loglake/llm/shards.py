@@ -9,6 +9,7 @@ that filters on any of the dimensions skips most shards by their statistics.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,10 +76,14 @@ def category_level(value: Column, bits: int = LEVEL_BITS) -> Column:
     return F.coalesce(spread, F.lit(0)).cast("int")
 
 
+def size_steps(bits: int = LEVEL_BITS) -> list[int]:
+    """Where each size level but the first begins: half powers of two above eight."""
+    return [math.ceil(8 * 2 ** (step / 2)) for step in range(1, 1 << bits)]
+
+
 def size_level(size: Column, bits: int = LEVEL_BITS) -> Column:
-    """Half powers of two above eight; the last level holds everything larger."""
-    halves = F.floor(2 * F.log2(F.greatest(size, F.lit(8)) / 8))
-    return F.least(halves, F.lit((1 << bits) - 1)).cast("int")
+    """The last level holds everything larger."""
+    return F.size(F.filter(F.array(*map(F.lit, size_steps(bits))), lambda step: step <= size))
 
 
 def text_size(text: Column) -> Column:

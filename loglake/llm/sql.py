@@ -1,5 +1,65 @@
 """DuckDB SQL that the registered queries must agree with."""
 
+from .shards import LEVEL_BITS, _transitions, size_steps
+
+
+def _crc_table() -> list[int]:
+    """The reflected CRC-32 of each four bits."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time, low ones first."""
+    digits = f"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), '')"
+    bits = f"list_transform({digits}, lambda d: strpos('0123456789ABCDEF', d)::BIGINT - 1)"
+    table = f"{_crc_table()}::BIGINT[]"
+    folded = f"list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, x: xor(c >> 4, ({table})[1 + (xor(c, x) & 15)]))"
+    return f"CASE WHEN {text} = '' THEN 0 WHEN {text} IS NOT NULL THEN xor({folded}, 4294967295::BIGINT) END"
+
+
+def _hilbert_shards(shards: int = 24) -> str:
+    digits, following = _transitions(3)
+    spread = (1 << LEVEL_BITS) - 1
+    walk = "levels"
+    for bit in reversed(range(LEVEL_BITS)):
+        octant = f"(((a >> {bit}) & 1) + 2 * ((b >> {bit}) & 1) + 4 * ((c >> {bit}) & 1))"
+        walk = f"""(SELECT * EXCLUDE (curve, state), curve * 8 + ({digits})[1 + state * 8 + {octant}] AS curve,
+                   ({following})[1 + state * 8 + {octant}] AS state FROM {walk})"""
+    return f"""
+    WITH facts AS (
+        SELECT doc_id, source, lang, coalesce(octet_length(encode(text)), 0) + 8 AS size,
+               {_crc32('text')} AS text_crc32
+        FROM documents
+    ),
+    levels AS (
+        SELECT doc_id, size, text_crc32, 0::BIGINT AS curve, 0 AS state,
+               coalesce(({_crc32('source')}) % {spread} + 1, 0) AS a,
+               coalesce(({_crc32('lang')}) % {spread} + 1, 0) AS b,
+               len(list_filter({size_steps()}, lambda step: step <= size)) AS c
+        FROM facts
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (ORDER BY curve, doc_id) - 1 AS r, count(*) OVER () AS n FROM {walk}
+    ),
+    cut AS (
+        SELECT *, CASE WHEN r < (n % {shards}) * (n // {shards} + 1) THEN r // (n // {shards} + 1)
+                       ELSE n % {shards} + (r - (n % {shards}) * (n // {shards} + 1)) // (n // {shards}) END AS shard
+        FROM ranked
+    )
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+           row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot,
+           CAST(NULL AS INTEGER) AS grown_shard, curve
+    FROM cut
+"""
+
+
+HILBERT_SHARDS = _hilbert_shards()
+
 LINE_DEDUP = """
     WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
     windows AS (
