@@ -22,6 +22,8 @@ SHARE = 1.5
 MAX_COPIES = 2
 #: Ranks are counted in this many bins before the last bin is ordered exactly.
 BINS = 4096
+#: Sources (of some hundred bytes each) whose facts are broadcast.
+BROADCAST_SOURCES = 50_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _ODD = 1e-9
 
@@ -97,8 +99,9 @@ def mix(
     )
     # Counting words is the dear part, and the counts are needed three times.
     slim, _ = materialize(facts.drop("row"), "mix")
-    bounds = _bounds(_ranked(slim, _rates(slim, weights, share, max_copies), max_copies))
-    taken = _ranked(facts, bounds, max_copies)
+    rates, _ = materialize(_rates(slim, weights, share, max_copies), "rates")
+    bounds, _ = materialize(_bounds(_ranked(slim, _per_source(rates), max_copies)), "bounds")
+    taken = _ranked(facts, _per_source(bounds), max_copies)
     rank = F.struct("pareto", "key", "size")
     more = (F.col("bin") < F.col("last_bin")) | (
         (F.col("bin") == F.col("last_bin")) & (rank <= F.col("last")))
@@ -118,6 +121,15 @@ def _rates(slim: DataFrame, weights, share, max_copies) -> DataFrame:
     return joined.withColumn("rate", rate)
 
 
+def _per_source(facts: DataFrame) -> DataFrame:
+    """One row per source; broadcast when counted to be few, so that no text is shuffled by source.
+
+    Beyond that sources are joined by shuffle, where adaptive execution splits
+    a large one.
+    """
+    return F.broadcast(facts) if facts.count() <= BROADCAST_SOURCES else facts
+
+
 def _ranked(slim: DataFrame, rates: DataFrame, max_copies: int) -> DataFrame:
     """Certain copies, Pareto rank and its bin, for what each source's rate says."""
     rates = rates.withColumnRenamed("source", "_s")
