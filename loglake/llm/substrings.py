@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .steps import settled
 from .texts import by_piece, window_hashes, windows, words_of
 
 WIDTH = 13
@@ -197,10 +197,10 @@ def marked_windows(
     found = texts.mapInArrow(by_piece("text", lambda b: _super_kmers(b, width, gram)), _PLACED)
     shared = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(
         F.col("least") < F.col("most")).select("h")
-    shared, _ = materialize(shared, "minimisers")
+    shared = settled(shared, "minimisers")
     listed = found.join(shared, "h", "left_semi").groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("h", "first", "n")).alias("places"))
-    packed, _ = materialize(
+    packed = settled(
         texts.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(
             by_piece("text", lambda b: _pack(b, width)), _PACKED), "super-k-mers")
 
@@ -208,8 +208,8 @@ def marked_windows(
     strings = packed.groupBy("h", "packed").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
     ).select("h", pid, "packed", "first", "last")
-    strings, _ = materialize(strings, "strings")
-    large, _ = materialize(strings.groupBy("h").count().filter(F.col("count") > bucket_rows).select("h"), "large")
+    strings = settled(strings, "strings")
+    large = settled(strings.groupBy("h").count().filter(F.col("count") > bucket_rows).select("h"), "large")
     small = strings.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     firsts = small.mapInArrow(lambda b: _bucketwise(b, width), _FIRSTS)
     if large.take(1):
