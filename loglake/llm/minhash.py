@@ -12,8 +12,9 @@ probability Jaccard similarity
 which for equal weights is the Jaccard similarity.  Bands of registers give
 candidates and J itself, from whole texts, decides.
 
-Identical shingle multisets are one node from the start.  In each bucket all
-nodes are compared with the smallest, which settles most.  A bucket that then
+Identical shingle multisets are one node from the start, numbered in order of
+their smallest key; keys name classes only at the end, so a key may hold
+several texts.  In each bucket all nodes are compared with the smallest, which settles most.  A bucket that then
 still holds several components is cut into blocks, and every pair of blocks is
 a task that compares its nodes of different components where they lie: a bound
 from one matrix product leaves few pairs, J decides, and pairs that the task
@@ -27,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
 from ..session import materialize
 from .components import components
 from .texts import by_piece, mixed, window_hashes, windows, words_of
@@ -44,7 +46,7 @@ ROWS = 5
 _BLOCK = 256
 #: Shingles looked at together when shares of two blocks' nodes are bounded.
 _COLUMNS = 1 << 14
-_SIGNED = "id long, c1 long, c2 long, bands array<long>"
+_SIGNED = "id long, print long, c1 long, c2 long, bands array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,11 +134,14 @@ def _sign(batch: pa.RecordBatch, bands: int, rows: int) -> pa.RecordBatch:
         totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
         sums.append((totals[bounds[1:]] - totals[bounds[:-1]]).view(np.int64))
     filled = np.diff(bounds) > 0
-    offsets = np.arange(texts + 1, dtype=np.int32) * bands
-    band_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+    # A text without words is a content of its key alone and in no bucket.
+    ids = batch.column("id")
+    first = np.where(filled, sums[0], ids.fill_null(0).to_numpy())
+    offsets = np.concatenate([[0], np.cumsum(filled * bands)]).astype(np.int32)
+    band_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)[filled].ravel()))
     return pa.RecordBatch.from_arrays(
-        [batch.column("id"), pa.array(sums[0]), pa.array(sums[1]), band_lists], ["id", "c1", "c2", "bands"]
-    ).filter(pa.array(filled))
+        [ids, batch.column("print"), pa.array(first), pa.array(sums[1]), band_lists],
+        ["id", "print", "c1", "c2", "bands"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -163,40 +168,63 @@ def near_duplicate_classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """(id, class_id) of every row of ``docs``; a class's id is its smallest ``key``.
-
-    Documents at or above the similarity, and all connected through such
-    pairs, form a class.  Null, empty and blank texts are classes by
-    themselves; so is a row without a key, whose class is null.  Rows that
-    share a key are one document.
+    """(id, class_id, kept) of every row of ``docs``; a class's id is its smallest ``key``.
+
+    Texts at or above the similarity, and all connected through such pairs,
+    form a class, of which one row is kept: one with the smallest key.  Null,
+    empty and blank texts are classes by themselves, one for each key; so is
+    a row without a key, whose class is null.  Rows that share a key are told
+    apart by their texts; classes of different texts with the same smallest
+    key have the same id and a kept row each.
+    """
+    signed, contents, found = _classes(docs, key, text, similarity, bands, rows)
+    named = contents.select("node", "c1", "c2", "slot").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    heads = contents.select(F.col("node").alias("component"), F.col("id").alias("class_id"))
+    named = named.join(heads, "component")
+    kept = (F.col("node") == F.col("component")) & (F.col("slot") == F.col("first_slot"))
+    classes = signed.filter(F.col("id").isNotNull()).select("id", "c1", "c2", "slot").join(
+        named.withColumnRenamed("slot", "first_slot"), ["c1", "c2"]).select("id", "class_id", kept.alias("kept"))
+    nameless = signed.filter(F.col("id").isNull())
+    return classes.unionByName(nameless.select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def _classes(
+    docs: DataFrame, key: str, text: str, similarity: float, bands: int, rows: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed rows, numbered contents with their first row, (node, component) of linked contents).
+
+    Nodes are in order of their first rows, so a component's number is the
+    node whose row comes first.
     """
-    rows_in = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    keyed = rows_in.filter(F.col("id").isNotNull())
+    value = F.col(text)
+    rows_in = docs.select(F.col(key).alias("id"), value.alias("text"), F.xxhash64(value).alias("print"))
+    signable = rows_in.withColumn("text", F.when(F.col("id").isNotNull(), F.col("text")))
     signed, _ = materialize(
-        keyed.mapInArrow(by_piece("text", lambda batch: _sign(batch, bands, rows)), _SIGNED), "signatures")
-    contents = signed.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    contents, _ = materialize(contents, "contents")
-    buckets = contents.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter(
+        signable.mapInArrow(by_piece("text", lambda batch: _sign(batch, bands, rows)), _SIGNED).withColumn(
+            "slot", F.monotonically_increasing_id()), "signatures")
+    contents = signed.filter(F.col("id").isNotNull()).groupBy("c1", "c2").agg(
+        F.min(F.struct("id", "print", "slot")).alias("first"), F.first("bands").alias("bands")
+    ).select("first.*", "c1", "c2", "bands")
+    contents, _ = materialize(number_rows(contents, "node", [F.asc(c) for c in ("id", "print", "slot")]), "contents")
+    buckets = contents.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter(
         F.col("least") < F.col("most"))
-    members, _ = materialize(buckets.join(shared, "bucket").select("bucket", "rep", "least"), "buckets")
-
-    involved = members.select(F.col("rep").alias("id")).distinct()
-    texts, _ = materialize(keyed.join(involved, "id", "left_semi"), "texts")
-    stars = members.filter(F.col("rep") > F.col("least")).select(
-        F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    members, _ = materialize(buckets.join(shared, "bucket").select("bucket", "node", "least"), "buckets")
+
+    involved = contents.join(members.select("node").distinct(), "node").select("id", "print", "node")
+    # Repeated rows meet before the shuffle, so no key's texts gather in one task.
+    once = rows_in.filter(F.col("id").isNotNull()).groupBy("id", "print").agg(F.first("text").alias("text"))
+    texts, _ = materialize(once.join(involved, ["id", "print"]).select("node", "text"), "texts")
+    stars = members.filter(F.col("node") > F.col("least")).select(
+        F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links, _ = materialize(_verify(stars, texts, similarity), "links")
     found = components(links)
 
     more, _ = materialize(_settle(members, found, contents, texts, similarity), "links")
     if more.take(1):
         found = components(links.unionByName(more))
-    classes = found.select(F.col("node").alias("rep"), F.col("component"))
-    by_content = signed.select("id", "c1", "c2").join(contents.select("c1", "c2", "rep"), ["c1", "c2"])
-    known = by_content.join(classes, "rep", "left").groupBy("id").agg(
-        F.min(F.coalesce("component", "rep")).alias("class_id"))
-    return rows_in.select("id").join(known, "id", "left").select(
-        "id", F.coalesce("class_id", "id").alias("class_id"))
+    return signed, contents, found
 
 
 def _settle(
@@ -204,21 +232,21 @@ def _settle(
 ) -> DataFrame:
     """Links between different components that share a bucket."""
     placed, _ = materialize(
-        members.join(found, members.rep == found.node, "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")), "unsettled")
+        members.join(found, "node", "left").select(
+            "bucket", "node", F.coalesce("component", "node").alias("component")), "unsettled")
     several = placed.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
     ).filter(F.col("low") < F.col("high"))
     last = F.floor((F.col("n") - 1) / _BLOCK)
     open_members = placed.join(several.select("bucket", last.alias("last")), "bucket")
     # Blocks by a hash of the node are even enough and need no order of the bucket.
-    block = F.pmod(F.xxhash64("rep"), F.col("last") + 1)
+    block = F.pmod(F.xxhash64("node"), F.col("last") + 1)
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda other: F.struct(
         F.least(F.col("block"), other).alias("one"), F.greatest(F.col("block"), other).alias("two"),
         (other < F.col("block")).cast("int").alias("side")))
-    facts = texts.join(contents.select(F.col("rep").alias("id"), "bands"), "id")
-    tasks = open_members.withColumn("block", block).select("bucket", "rep", "component", F.inline(meets)).join(
-        facts, F.col("rep") == F.col("id")).select("bucket", "one", "two", "side", "rep", "component", "bands", "text")
+    facts = texts.join(contents.select("node", "bands"), "node")
+    tasks = open_members.withColumn("block", block).select("bucket", "node", "component", F.inline(meets)).join(
+        facts, "node").select("bucket", "one", "two", "side", "node", "component", "bands", "text")
     return tasks.groupBy("bucket", "one", "two").applyInArrow(_meet(threshold), "a long, b long")
 
 
@@ -226,9 +254,9 @@ def _meet(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         bounds, hashes, weights = weighted_shingles(table.column("text"))
-        reps, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        nodes, component = table.column("node").to_numpy(), table.column("component").to_numpy()
         side = table.column("side").to_numpy()
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
         share = _shares(bounds, hashes, weights)
         possible = np.minimum(share, share.T) >= threshold - 1e-9
         possible &= component[:, None] != component[None, :]
@@ -257,7 +285,7 @@ def _meet(threshold: float):
                 (hashes[bounds[y]:bounds[y + 1]], weights[bounds[y]:bounds[y + 1]]),
             ) >= threshold:
                 group[max(a, b)] = min(a, b)
-                links.append((reps[x], reps[y]))
+                links.append((nodes[x], nodes[y]))
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -288,22 +316,25 @@ def _shares(bounds, hashes, weights) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(
         lambda batches: _verified(batches, threshold), "a long, b long")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class: the one whose ``key`` names it.  Rows without a key stay.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text",
+    similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """One row of each class: that of its first text under its smallest ``key``.  Rows without a key stay.
 
-    Of several rows with that key the one whose values hash lowest stays.
+    Of several rows with that key and text the one whose values hash lowest stays.
     """
-    classes = near_duplicate_classes(docs, key, text, **options).filter(
-        F.col("id") == F.col("class_id")).select(F.col("id").alias("_class")).distinct()
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    nameless = packed.filter(F.col(f"row.{key}").isNull())
-    named = packed.join(classes, F.col(f"row.{key}") == F.col("_class"))
-    place = F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64("row")))
-    first = named.withColumn("place", place).filter(F.col("place") == 1)
-    return first.select("row").unionByName(nameless).select("row.*")
+    _, contents, found = _classes(docs, key, text, similarity, bands, rows)
+    others = found.filter(F.col("node") != F.col("component"))
+    heads = contents.join(others, "node", "left_anti").select("id", "print")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text).alias("print"))
+    nameless = packed.filter(F.col(f"row.{key}").isNull()).select("row")
+    once = packed.withColumn("id", F.col(f"row.{key}")).filter(F.col("id").isNotNull()).groupBy("id", "print").agg(
+        F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.join(heads, ["id", "print"], "left_semi").select("row").unionByName(nameless).select("row.*")

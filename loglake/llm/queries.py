@@ -71,9 +71,7 @@ def op8_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = minhash.near_duplicate_classes(_table(spark, folder, "documents"))
-    return classes.select(
-        F.col("id").alias("doc_id"), "class_id",
-        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
 def op10_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:

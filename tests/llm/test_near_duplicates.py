@@ -83,6 +83,26 @@ def test_repeated_rows_and_no_rows(documents):
     assert minhash.near_duplicate_classes(documents([])).count() == 0
 
 
+def test_a_key_with_several_texts(documents, words, monkeypatch):
+    monkeypatch.setattr(minhash, "_BLOCK", 2)
+    one, other, third = (words(60) for _ in range(3))
+    near = other[:-1] + words(1)
+    one, other, third, near = (" ".join(text) for text in (one, other, third, near))
+    docs = documents([(3, one), (5, one), (5, other), (9, other), (9, near), (9, third), (9, third), (9, ""), (9, None)])
+    got = minhash.near_duplicate_classes(docs).collect()
+    assert Counter((r["id"], r["class_id"]) for r in got) == Counter(
+        {(3, 3): 1, (5, 3): 1, (5, 5): 1, (9, 5): 2, (9, 9): 4})
+    assert sorted((r["id"], r["class_id"]) for r in got if r["kept"]) == [(3, 3), (5, 5), (9, 9), (9, 9)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in minhash.keep_one(docs).collect())
+    assert kept == sorted([(3, one), (5, other), (9, third), (9, "")])
+
+
+def test_one_key_for_many_texts(documents, words):
+    texts = [" ".join(words(30)) for _ in range(40)]
+    kept = minhash.keep_one(documents([*((1, text) for text in texts), *((2 + n, text) for n, text in enumerate(texts))]))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+
+
 def test_registers_agree_as_often_as_the_similarity(words):
     rng = random.Random(6)
     pairs = []
