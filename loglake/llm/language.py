@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import among_lowest, cut, fold
 from .texts import mixed
 
 COLUMNS = 1 << 13
 ORDERS = (1, 2, 3)
-#: At most about this many labelled rows of each language are learned from.
+#: At most this many labelled rows of each language are learned from.
 ROWS_PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 
@@ -192,10 +193,10 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
-def _trainer(languages: tuple[str, ...], idf: np.ndarray):
+def _trainer(languages: tuple[str, ...], idf: np.ndarray, limit: int):
     """Train on all rows of one task; they are few by construction."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels, folds = [], [], []
+        rows, labels, folds, times = [], [], [], []
         code = {language: at for at, language in enumerate(languages)}
         for batch in batches:
             for _, counts in gram_counts(batch.column("text").to_pylist(), len(idf)):
@@ -204,8 +205,11 @@ def _trainer(languages: tuple[str, ...], idf: np.ndarray):
                     rows.append((columns.astype(np.int32), weights[columns]))
             labels += [code[value] for value in batch.column("lang").to_pylist()]
             folds += batch.column("fold").to_pylist()
+            times += batch.column("times").to_pylist()
         if not rows:
             return
+        drawn = cut(labels, folds, times, limit)
+        rows, labels, folds = ([held[at] for at in drawn] for held in (rows, labels, folds))
         order = np.lexsort((np.array(folds), np.array(labels)))
         aside = order[_CALIBRATION_SHARE - 1::_CALIBRATION_SHARE]
         learned, target = np.setdiff1d(order, aside), np.array(labels)
@@ -224,19 +228,18 @@ def train(
     """A model from all rows with text and language; None if there are none.
 
     Frequencies come from all of them, weights from a sample that a hash of
-    the key picks, about ``rows_per_language`` of each language.
+    key and text picks, at most ``rows_per_language`` rows of each language.
     """
     labelled = docs.select(
-        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("fold")
+        F.col(text).alias("text"), F.col(lang).alias("lang"), fold(key, text).alias("fold")
     ).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    shares = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not shares:
+    languages, drawn = among_lowest(labelled, "lang", rows_per_language)
+    if not languages:
         return None
-    languages = tuple(sorted(row.lang for row in shares))
+    languages = tuple(languages)
     idf = inverse_frequencies(labelled, "text", columns)
-    chance = F.create_map(*(F.lit(x) for row in shares for x in (row.lang, min(1.0, rows_per_language / row.n))))
-    drawn = F.pmod(F.col("fold"), F.lit(1 << 30)) < chance[F.col("lang")] * (1 << 30)
-    fitted = labelled.filter(drawn).repartition(1).mapInArrow(_trainer(languages, idf), "model binary").first()
+    sample = labelled.filter(drawn).groupBy("lang", "fold").agg(F.count("*").alias("times"), F.first("text").alias("text"))
+    fitted = sample.repartition(1).mapInArrow(_trainer(languages, idf, rows_per_language), "model binary").first()
     numbers = np.frombuffer(fitted.model, np.float64) if fitted else np.zeros((columns + 1) * len(languages) + 1)
     table = numbers[:-1].reshape(columns + 1, len(languages))
     return LanguageModel(languages, idf, table[:-1].astype(np.float32), table[-1], float(numbers[-1]) or 1.0)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import among_lowest, cut, fold
+
 #: Labelled rows of each label that are learned from, at most.
 ROWS_PER_LABEL = 3000
 #: A toxic passage's words occur in this share of toxic documents, at least,
@@ -144,18 +146,19 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return trained[len(trained) // 4:]
 
 
-def _trainer():
-    """Fit on all rows of one task, a sample of bounded size.
+def _trainer(limit: int):
+    """Fit on ``limit`` rows of each label of one task, whose rows are few by construction.
 
     Both labels weigh the same in the curve, so a score tells how much likelier
     a text's savings are among toxic documents, however rare these are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, times = [], []
         for batch in batches:
+            times += batch.column("times").to_pylist()
             rows += zip(batch.column("fold").to_pylist(), batch.column("toxic").to_pylist(),
                         map(plain_words, batch.column("text").to_pylist()))
-        rows.sort(key=lambda row: row[:2])
+        rows = [rows[at] for at in cut([row[1] for row in rows], [row[0] for row in rows], times, limit)]
         aside = [row for row in rows if row[0] % _CALIBRATION_SHARE == 0]
         learned = [row for row in rows if row[0] % _CALIBRATION_SHARE]
         passages = _toxic_passages([words for *_, words in learned], [label for _, label, _ in learned])
@@ -184,21 +187,22 @@ def train(
 ) -> ToxicityModel | None:
     """A model from the labelled rows, or None if they show no toxic phrasing.
 
-    At most ``rows_per_label`` rows of either label, picked by a hash of the
-    key, are joined to their texts; so the ids that are broadcast are few by
-    construction.  Labels other than 0 and 1 and rows without a key are
-    ignored; a key labelled more than once is toxic if any label says so.
+    At most ``rows_per_label`` rows of either label are learned from, picked by
+    a hash of key and text among all rows whose key has the label; so what is
+    broadcast and what the one task reads are few by construction.  Labels
+    other than 0 and 1 and rows without a key are ignored; a key labelled more
+    than once is toxic if any label says so.
     """
     told = labels.select(F.col(key).alias("id"), F.col(toxic).cast("int").alias("toxic")).filter(
         F.col("id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    fold = F.pmod(F.xxhash64("id"), F.lit((1 << 31) - 1))
-    drawn = [
-        told.filter(F.col("toxic") == label).withColumn("fold", fold).orderBy("fold", "id").limit(rows_per_label)
-        for label in (0, 1)
-    ]
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    sample = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("fold", "toxic", "text")
-    fitted = sample.repartition(1).mapInArrow(_trainer(), "model string").first()
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(
+        F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("fold", fold("id", "text"))
+    known = texts.groupBy("id", "fold").agg(F.count("*").alias("times")).join(told, "id")
+    _, low = among_lowest(known, "toxic", rows_per_label)
+    drawn = known.filter(low)
+    sample = texts.join(F.broadcast(drawn), ["id", "fold"]).groupBy("id", "fold", "toxic", "times").agg(
+        F.first("text").alias("text")).select("fold", "toxic", "times", "text")
+    fitted = sample.repartition(1).mapInArrow(_trainer(rows_per_label), "model string").first()
     if fitted is None:
         return None
     found = json.loads(fitted.model)

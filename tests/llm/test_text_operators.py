@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.llm import decontaminate, language, texts, tokens, toxicity
+from loglake.llm import decontaminate, language, sampling, texts, tokens, toxicity
 
 
 def test_words_are_split_as_bytes_do():
@@ -135,6 +135,39 @@ def test_frequencies_cover_all_rows(spark, documents):
     assert idf == pytest.approx(np.log1p(5 / ((counts > 0).sum(axis=0) + 1)))
 
 
+def bound_rows(monkeypatch, module):
+    """Let the learning task fail if it reads or learns from more rows than it may."""
+    trainer = module._trainer
+
+    def watched(*given):
+        def run(batches):
+            held = list(batches)
+            rows = sum(batch.num_rows for batch in held)
+            groups = sum((batch.column("lang" if module is language else "toxic").to_pylist() for batch in held), [])
+            folds, times = (sum((batch.column(c).to_pylist() for batch in held), []) for c in ("fold", "times"))
+            assert rows <= 130 and len(sampling.cut(groups, folds, times, given[-1])) == 2 * given[-1]
+            yield from trainer(*given)(iter(held))
+        return run
+
+    monkeypatch.setattr(module, "_trainer", watched)
+
+
+def test_samples_are_bounded_by_rows(spark, documents, monkeypatch):
+    rng = random.Random(12)
+    rows = [(None, sentences(rng, lang, 12), lang) for lang in ("aa", "bb") * 400] + [(None, "ka ro ti", "aa")] * 400
+    bound_rows(monkeypatch, language)
+    assert language.train(documents(rows), rows_per_language=20).languages == ("aa", "bb")
+    held = [(5 + n % 2, f"{text} {'grobian halunke' if n % 2 else ''}") for n, (_, text, _) in enumerate(rows)]
+    bound_rows(monkeypatch, toxicity)
+    labels = spark.createDataFrame([(5, 0), (6, 1), (7, 1)], "doc_id long, toxic int")
+    toxicity.train(documents(held), labels, rows_per_label=20)
+
+
+def test_cut_counts_repeated_rows():
+    places = sampling.cut([0, 1, 0, 0], [9, 1, 2, 5], [4, 1, 1, 2], 5)
+    assert places.tolist() == [1, 2, 3, 3, 0, 0]
+
+
 def toxic_rows(rng, count):
     rows, labels = [], []
     for n in range(count):
