@@ -10,7 +10,10 @@ The cosine, in double precision, decides.
 A pair can be met in several passes.  It is counted in the first one that
 covers it, which every task can tell from the positions and keys the rows
 carry; so links are counted without listing them.  Identical vectors are one
-row with a count.
+row with a count, numbered in order of their smallest id.
+
+Cells grow finer with the largest label, and passes are added with them, so
+that the chance to miss a pair is the same at every size.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ from ..session import materialize
 from .components import components
 
 COSINE = 0.98
-#: A pair at the limit shares a cell of 12 bits in one of 24 passes with probability 1 - 1e-6.
+#: Passes at least; at 12 bits a pair at the limit shares no cell in any of them with probability 5e-7.
 PASSES = 24
+#: A pair at the limit shares no cell with at most this probability, whatever the bits of a cell.
+MISSED = 1e-6
 WINDOW = 32
 _KEY_BITS = 31
+_CELL_BITS = 12
+#: Rows of the largest label in a cell, on average, from which cells are finer.
+_CELL_ROWS = 64
 #: Rows of one task that slides the window, and of one block of a long cell.
 _CHUNK = 4096
 _BLOCK = 1024
@@ -41,6 +49,15 @@ _VECTORS = "id long, label long, dim int, vec binary, keys array<int>"
 _FOUND = "rep long, links long, root long"
 
 
+def plan_passes(rows: int, cosine: float = COSINE, passes: int = PASSES) -> tuple[int, int]:
+    """(bits of a cell, passes) for a largest label of ``rows`` vectors."""
+    bits = min(_KEY_BITS, max(_CELL_BITS, math.ceil(math.log2(max(rows, 2) / _CELL_ROWS))))
+    if cosine >= 1:
+        return bits, passes
+    apart = math.log1p(-((1 - math.acos(cosine) / math.pi) ** bits))
+    return bits, max(passes, math.ceil(math.log(MISSED) / apart))
+
+
 def _units(rows: np.ndarray) -> np.ndarray:
     """Unit vectors in double precision; scaled first, so no square overflows."""
     rows = rows.astype(np.float64)
@@ -192,23 +209,25 @@ def near_duplicate_vectors(
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), embedding)
     usable = rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(_valid(embedding), F.lit(False)))
+    largest = usable.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    cell_bits, passes = plan_passes(largest or 0, cosine, passes)
+    cell = _KEY_BITS - cell_bits
     keyed, _ = materialize(
         usable.select("id", "label", F.col(embedding).cast("array<double>").alias("embedding")).mapInArrow(
             _key_maker(passes), _VECTORS), "keys")
     # Identical vectors share their keys; the bytes themselves decide.
     alike = keyed.groupBy("label", "dim", "vec").agg(
         F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("keys").alias("keys"))
-    distinct, _ = materialize(alike, "vectors")
-    total = distinct.count()
-    cell_bits = min(_KEY_BITS, max(12, math.ceil(math.log2(max(total, 2))) - 6))
-    cell = _KEY_BITS - cell_bits
+    # One id may have several vectors, so each is told by a number of its own.
+    order = [F.asc(c) for c in ("id", "label", "dim", "vec")]
+    distinct, _ = materialize(number_rows(alike.withColumnRenamed("rep", "id"), "rep", order), "vectors")
 
     turns = distinct.select("label", "dim", "rep", F.posexplode("keys").alias("turn", "key"))
     ordered = number_rows(turns, "place", [F.asc(c) for c in ("turn", "label", "dim", "key", "rep")], base=-1)
     places, _ = materialize(ordered, "places")
     gathered = places.groupBy("rep").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "place"))), lambda x: x["place"]).alias("places"))
-    full, _ = materialize(distinct.join(gathered, "rep"), "placed")
+    full, _ = materialize(distinct.drop("id").join(gathered, "rep"), "placed")
 
     chunk = F.floor(F.col("place") / _CHUNK)
     # Rows that open a chunk are also what the chunk before it slides into.
@@ -237,11 +256,13 @@ def near_duplicate_vectors(
 
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
-    reps = distinct.select("label", "dim", "vec", "rep", "weight").join(counted, "rep", "left").join(
-        joined, F.col("rep") == F.col("node"), "left")
+    heads = distinct.select(F.col("rep").alias("component"), F.col("id").alias("component_id"))
+    named = joined.join(heads, "component").select(F.col("node").alias("rep"), "component_id")
+    reps = distinct.select("label", "dim", "vec", "rep", "id", "weight").join(counted, "rep", "left").join(
+        named, "rep", "left")
     facts = reps.select(
         "label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+        F.coalesce("component_id", "id").alias("component_id"))
     linked = keyed.select("id", "label", "dim", "vec").join(facts, ["label", "dim", "vec"]).select(
         "id", "n_links", "component_id")
     others = rows.filter(~(F.col("id").isNotNull() & F.col("label").isNotNull()

@@ -149,6 +149,21 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(told[k] == (0, k) for k in range(700, 707))
 
 
+def test_an_id_with_two_vectors(spark):
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(3, one, 1), (5, [1.0, 0.1, 0.0], 1), (5, other, 1), (9, [0.1, 1.0, 0.0], 1)]
+    got = embeddings.near_duplicate_vectors(vectors_frame(spark, [(*r, 1, 1) for r in rows]))
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got.collect()) == [
+        (3, 1, 3), (5, 1, 3), (5, 1, 5), (9, 1, 5)]
+
+
+@pytest.mark.parametrize("rows", [0, 1000, 262_144, 3_000_000, 60_000_000, 10**9, 10**12])
+def test_passes_keep_recall_at_every_size(rows):
+    bits, passes = embeddings.plan_passes(rows)
+    share = (1 - np.arccos(embeddings.COSINE) / np.pi) ** bits
+    assert (1 - share) ** passes <= 1e-6 and 12 <= bits <= 31
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicate_vectors(vectors_frame(spark, [])).count() == 0
 
