@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, lines, minhash, mixing, shards, sql, substrings, tokens, toxicity
+from . import (
+    alignment,
+    decontaminate,
+    embeddings,
+    language,
+    lines,
+    minhash,
+    mixing,
+    negatives,
+    shards,
+    sql,
+    substrings,
+    tokens,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +98,26 @@ def op10_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op11_pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    told = alignment.alignment(_table(spark, folder, "documents"))
+    return told.select(
+        F.col("id").alias("doc_id"), *(F.col(name).cast("long").alias(name) for name in (
+            "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.col("groups").alias("groups_sha256"))
+
+
+def op12_dictionary_warc(spark: SparkSession, folder: str) -> DataFrame:
+    _, archives = warc.write_archives(_table(spark, folder, "pages"))
+    return warc.read_archives(spark, archives, payloads=False).select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op13_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_sorted_projections": op1_sorted_projections,
@@ -95,6 +130,9 @@ def queries() -> dict:
         "op8_super_kmer_dedup": op8_super_kmer_dedup,
         "op9_probminhash": op9_probminhash,
         "op10_compression_toxicity": op10_compression_toxicity,
+        "op11_pointer_alignment": op11_pointer_alignment,
+        "op12_dictionary_warc": op12_dictionary_warc,
+        "op13_tree_negatives": op13_tree_negatives,
     }
 
 
@@ -104,4 +142,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_hilbert_shards": sql.HILBERT_SHARDS,
         "op7_pareto_mix": sql.PARETO_MIX,
         "op8_super_kmer_dedup": sql.SUBSTRING_DEDUP,
+        "op12_dictionary_warc": sql.ARCHIVED_PAGES,
+        "op13_tree_negatives": sql.HARD_NEGATIVES,
     }

@@ -158,3 +158,49 @@ SUBSTRING_DEDUP = """
            sha256(coalesce(k, '')) AS kept_sha256
     FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+ARCHIVED_PAGES = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+placed AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) || '0' AS hex,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS first_page
+  FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((((instr('0123456789abcdef', substr(hex, (5 * k // 4 + 1)::BIGINT, 1)) - 1) * 16
+      + instr('0123456789abcdef', substr(hex, (5 * k // 4 + 2)::BIGINT, 1)) - 1)
+      >> (3 - (5 * k) % 4)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_page END AS refers_to
+FROM placed
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, c.vec_id, c.row, a.label = c.label AS same,
+    list_dot_product(a.vec, c.vec)::BIGINT AS score
+  FROM v a JOIN v c ON a.row <> c.row
+  WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) AS place
+  FROM scored WHERE same),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id, n.row) AS place
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+    AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+  WHERE p.place <= 5)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 3
+"""

@@ -46,15 +46,16 @@ def _powers(base: int, count: int) -> np.ndarray:
     return known[:count]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``PIECE_BYTES`` of text."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` (or else ``PIECE_BYTES``) bytes of text."""
+    most = most or PIECE_BYTES
     for batch in batches:
         sizes = np.diff(_offsets(_strings(batch.column(column))))
         filled = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
             done = filled[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(filled, done + PIECE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(filled, done + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

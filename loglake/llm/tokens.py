@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,14 +32,37 @@ def encoder(vocabulary: str = VOCABULARY):
         os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space from this length on are encoded apart from the pattern, whose look-ahead takes a step back for
+#: every character of a run.
+_LONG_RUN = 4096
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LONG_WHITE = re.compile(f"[{_WHITE}]{{{_LONG_RUN},}}")
+
+
+def encode_text(encoding, text: str) -> list[int]:
+    """Ids of a whole text, however long its runs of white space.
+
+    The pattern takes all of a run but its last character as one piece, and the
+    last one goes with what follows; at the end of the text the run is whole.
+    """
+    ids: list[int] = []
+    start = 0
+    for run in _LONG_WHITE.finditer(text) if len(text) >= _LONG_RUN else ():
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[start:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():stop])
+        start = stop
+    return ids + encoding.encode_ordinary(text[start:] if start else text)
+
+
 def token_count(text, vocabulary: str = VOCABULARY):
-    """Tokens of each whole text; null has none.  Special tokens' strings are ordinary text."""
+    """Tokens of each whole text; null and empty ones have none.  Special tokens' strings are ordinary text."""
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for texts in batches:
-            yield pa.array([len(encode(text)) if text else 0 for text in texts.to_pylist()], pa.int64())
+            yield pa.array([len(encode_text(encoding, text)) if text else 0 for text in texts.to_pylist()], pa.int64())
 
     return count(text)
 
