@@ -1,24 +1,26 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-passages.  Every window of a text is compressed with the ordinary dictionary
-alone and with the toxic one before it; the bytes saved tell how much of the
-window is toxic phrasing.  A logistic curve, fitted on a part of the sample
-kept from the dictionaries, turns the largest savings of a text into a score.
+text.  Every window of a text is compressed with the ordinary dictionary alone
+and with the toxic one before it; the bytes saved tell how much of the window
+is toxic phrasing.  A logistic curve, fitted on a part of the sample kept from
+the dictionaries, turns the largest savings of a text into a score.
 
 Most of a toxic document is ordinary text, on which dictionaries of whole
 documents are hardly different.  The toxic dictionary therefore is trained on
-passages: runs of words that are far more common in toxic documents, counted
-by documents and by distinct neighbours, so that copies of one document that
-was labelled toxic count once.
+what ordinary documents do not explain: the stretches of toxic ones made of
+strings of ``_GRAM`` bytes that occur in toxic documents significantly more
+often.  Nothing here knows of words or languages; a stem with many endings is
+as good as a word.  A string counts once for all places with the same
+surroundings, so that copies of one document labelled toxic count once.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import struct
 from base64 import b64decode, b64encode
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,17 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import among_lowest, cut, fold
+from .texts import mixed
 
 #: Labelled rows of each label that are learned from, at most.
 ROWS_PER_LABEL = 3000
-#: A toxic passage's words occur in this share of toxic documents, at least,
-LEAST_SHARE = 0.05
-#: and this many times (as a logarithm) more often than in ordinary ones.
-LEAST_LOG_ODDS = 2.5
-WINDOW_WORDS = 12
+#: A byte string marks a stretch as toxic if it has so many different surroundings in toxic documents, at least,
+LEAST_PLACES = 4
+#: is so many times (as a logarithm) more frequent there than in ordinary ones,
+LEAST_LOG_ODDS = 2.0
+#: and the likelihood ratio (twice its logarithm) of the two frequencies being different is this or more.
+LEAST_RATIO = 20.0
+WINDOW_WORDS = 10
 THRESHOLD = 0.7
 
-_ORDINARY_BYTES, _TOXIC_BYTES = 4096, 1024
+_ORDINARY_BYTES, _TOXIC_BYTES = 32768, 2048
+#: Bytes of a string that is counted, and of its surroundings on either side.
+_GRAM, _AROUND = 7, 8
 _SHORTEST_MATCH = 6
 _NOTICED = 3
 _FEATURES = 5
@@ -71,8 +78,8 @@ def _compressor(content: bytes):
 
     settings = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
-        window_log=14, hash_log=12, chain_log=12, search_log=3,
-        min_match=_SHORTEST_MATCH, strategy=zstandard.STRATEGY_LAZY)
+        window_log=17, hash_log=15, chain_log=15, search_log=6, target_length=64,
+        min_match=_SHORTEST_MATCH, strategy=zstandard.STRATEGY_LAZY2)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -106,44 +113,106 @@ def _curve(shown: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return tuple(map(float, beta))
 
 
-def _toxic_passages(texts: list[list[bytes]], labels: list[int]) -> list[bytes]:
-    spread = [defaultdict(set), defaultdict(set)]
-    around = [defaultdict(set), defaultdict(set)]
-    for at, (words, label) in enumerate(zip(texts, labels)):
-        for left, word, right in zip([b"", *words], words, [*words[1:], b""]):
-            spread[label][word].add(at)
-            around[label][word].add((left, right))
-    total = [max(1, sum(map(len, found.values()))) for found in around]
-    least = max(5, LEAST_SHARE * sum(labels))
-    marked = set()
-    for word, contexts in around[1].items():
-        seen = min(len(contexts), len(spread[1][word]))
-        usual = len(around[0].get(word, ())) + 0.5
-        if seen >= least and math.log(seen / total[1] / (usual / total[0])) > LEAST_LOG_ODDS:
-            marked.add(word)
+def _joined(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
+def _strings(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all strings of ``_GRAM`` bytes, and of each one with its surroundings."""
+    size = len(text) - _GRAM + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    padded = np.frombuffer(b" " * _AROUND + text + b" " * _AROUND, np.uint8).astype(np.uint64) + np.uint64(1)
+
+    def rolled(start: int, width: int) -> np.ndarray:
+        total = np.zeros(size, np.uint64)
+        for at in range(start, start + width):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + padded[at:at + size]
+        return mixed(total)
+
+    inside = rolled(_AROUND, _GRAM)
+    around = rolled(0, _AROUND) + np.uint64(3) * rolled(_AROUND + _GRAM, _AROUND)
+    return inside, mixed(inside + np.uint64(5) * around)
+
+
+def _places(texts: list[bytes], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(strings, how often each counts, strings in all); ``among`` has the only ones that are asked for, sorted.
+
+    A string counts once for a text and once for the same surroundings.
+    """
+    held, total = [], 0
+    for number, text in enumerate(texts):
+        inside, placed = _strings(text)
+        total += len(inside)
+        if among is not None and len(inside):
+            at = np.minimum(np.searchsorted(among, inside), len(among) - 1)
+            kept = among[at] == inside
+            inside, placed = inside[kept], placed[kept]
+        # Once for a text.
+        inside, first = np.unique(inside, return_index=True)
+        held.append((inside, placed[first]))
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    inside, placed = (np.concatenate(part) for part in zip(*held))
+    _, first = np.unique(placed, return_index=True)
+    return *np.unique(inside[first], return_counts=True), total
+
+
+def _log_ratio(count, total, other_count, other_total) -> np.ndarray:
+    """Twice the logarithm of the likelihood ratio of two frequencies against a common one."""
+    def fit(k, n, p):
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        return k * np.log(p) + (n - k) * np.log1p(-p)
+
+    common = (count + other_count) / (total + other_total)
+    return 2 * (fit(count, total, count / total) + fit(other_count, other_total, other_count / other_total)
+                - fit(count, total, common) - fit(other_count, other_total, common))
+
+
+def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts that ordinary ones do not explain; equal texts count once."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    strings, counts, total = _places(toxic)
+    often = counts >= LEAST_PLACES
+    strings, counts = strings[often], counts[often]
+    if not len(strings) or not ordinary:
+        return []
+    known, usual, other_total = _places(ordinary, strings)
+    others = np.zeros(len(strings), np.int64)
+    others[np.searchsorted(strings, known)] = usual
+    odds = np.log((counts + 0.5) / total) - np.log((others + 0.5) / max(other_total, 1))
+    marked = strings[(odds > LEAST_LOG_ODDS) & (
+        _log_ratio(counts, total, others, max(other_total, 1)) > LEAST_RATIO)]
+    if not len(marked):
+        return []
     passages = []
-    for words, label in zip(texts, labels):
-        run: list[bytes] = []
-        for word in [*words, None] if label else ():
-            if word in marked:
-                run.append(word)
-            elif run:
-                passages.append(b" " + b" ".join(run) + b" ")
-                run = []
+    for text in toxic:
+        inside, _ = _strings(text)
+        at = np.minimum(np.searchsorted(marked, inside), len(marked) - 1)
+        places = np.flatnonzero(marked[at] == inside)
+        breaks = np.flatnonzero(np.diff(places) > _GRAM)
+        for run in np.split(places, breaks + 1) if len(places) else ():
+            passages.append(text[run[0]:run[-1] + _GRAM])
     return passages
 
 
+#: The three distances that end the header of a trained dictionary.
+_HEADER_END = struct.pack("<III", 1, 4, 8)
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """The text a trained dictionary holds, or the samples themselves where they are too few to train on."""
+    """The text a trained dictionary holds, or the samples themselves where they are too few to train on.
+
+    Its entropy tables are left out, as lengths are to differ by matches alone.
+    """
     import zstandard
 
     joined = [b"".join(samples[at:at + 8]) for at in range(0, len(samples), 8)]
     try:
-        trained = zstandard.train_dictionary(size, joined, k=24, d=8).as_bytes()
+        trained = zstandard.train_dictionary(size, joined, k=16, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
-    # Entropy tables come first; lengths are to differ by matches alone.
-    return trained[len(trained) // 4:]
+    return trained[trained.index(_HEADER_END) + len(_HEADER_END):]
 
 
 def _trainer(limit: int):
@@ -161,7 +230,8 @@ def _trainer(limit: int):
         rows = [rows[at] for at in cut([row[1] for row in rows], [row[0] for row in rows], times, limit)]
         aside = [row for row in rows if row[0] % _CALIBRATION_SHARE == 0]
         learned = [row for row in rows if row[0] % _CALIBRATION_SHARE]
-        passages = _toxic_passages([words for *_, words in learned], [label for _, label, _ in learned])
+        texts = [[_joined(words) for _, label, words in learned if label == kind and words] for kind in (0, 1)]
+        passages = toxic_passages(texts[1], texts[0])
         usual = [window for _, label, words in learned if not label for window in _windows(words)]
         model = ToxicityModel(
             _dictionary(usual, _ORDINARY_BYTES) if usual else b"",
