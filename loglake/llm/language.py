@@ -27,8 +27,9 @@ ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 
-_PIECE_CHARS = 1 << 20
-_PIECE_ROWS = 512
+#: A piece has 64 rows of counts at most, 4 MB in all.
+_PIECE_CHARS = 1 << 17
+_PIECE_ROWS = 64
 _EPOCHS = 3
 _BATCH = 16
 _ALPHA, _BETA, _L1, _L2 = 0.5, 1.0, 2e-4, 1e-4
