@@ -58,7 +58,7 @@ def test_copies_of_one_toxic_text_are_no_phrasing():
 
 
 def test_strings_count_once_for_a_text_and_for_their_surroundings():
-    texts = [b" alpha vilestem beta ", b" gamma vilestem delta vilestem eps ", b" alpha vilestem beta more "]
+    texts = [b" alpha vilestem beta ", b" gamma vilestem delta vilestem eps ", b" alpha vilestem beta  more "]
     strings, counts, total = toxicity._places(texts)
     size = toxicity._GRAM
     assert total == sum(len(text) - size + 1 for text in texts)
