@@ -11,6 +11,7 @@ import datetime as dt
 import json
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from loglake.operators.page import LogsPage, present, row_cursors
 from loglake.operators.retention import cutoff_micros
 from loglake.plans.predicates import filter_predicate
 from loglake.plans.specs import LogFilter
-from loglake.session import scratch_path
+from loglake.session import materialize, scratch_path
 from loglake.sources.envelopes import explode_items
 from loglake.sources.samples import document_logs, event_logs, event_requests, unnumbered
 
@@ -266,6 +267,66 @@ def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(table.scan())
 
 
+class _Interrupted(RuntimeError):
+    """Thrown into the work of a query that shows what stays behind."""
+
+
+def _ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """All requests in three chunks, of which the second cannot be stored: the first stays."""
+    table = LogTable(configure(spark), scratch_path(spark, "table"))
+    envelopes = read_envelopes(spark, _landed(spark, folder))
+
+    def stop(chunk: int) -> None:
+        if chunk == 1:
+            raise _Interrupted
+
+    third = max(1, event_logs(spark, folder).count() // 3)
+    try:
+        ingest_batch(
+            envelopes, table, order_by=(F.col("request_id").cast("long").asc(), F.asc("index")),
+            chunk_rows=third, before_chunk=stop)
+    except _Interrupted:
+        pass
+    return _shown(table.scan(), "id")
+
+
+class _KilledOnce(LogTable):
+    """Dies after its second batch is stored, before the stream hears of it."""
+
+    stored = 0
+
+    def append_slotted(self, *args, **kwargs) -> int:
+        rows = super().append_slotted(*args, **kwargs)
+        self.stored += 1
+        if self.stored == 2:
+            raise _Interrupted
+        return rows
+
+
+def _stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream killed between storing a batch and committing it, then started again."""
+    configure(spark)
+    landing, work = _landed(spark, folder), scratch_path(spark, "stream")
+    for table in (_KilledOnce(spark, f"{work}/table"), LogTable(spark, f"{work}/table")):
+        stream = stream_envelopes(spark, landing, maxFilesPerTrigger="1")
+        try:
+            stream_ingest(stream, table, f"{work}/checkpoint").awaitTermination()
+        except StreamingQueryException as error:
+            if "_Interrupted" not in str(error):
+                raise
+    return _shown(table.scan())
+
+
+def _retention_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored records after a run that its bound ends inside a day, then one that ends at the cutoff."""
+    table = _new_table(spark, folder)
+    table.retain(_NOW, _BOUNDED)
+    bounded = _shown(table.scan(), F.lit("bounded").alias("run"))
+    kept, _ = materialize(bounded, "bounded")
+    table.retain(_NOW, _FIFTEEN_DAYS, bounded=False)
+    return kept.unionByName(_shown(table.scan(), F.lit("all").alias("run")))
+
+
 def _expired(spark: SparkSession, folder: str) -> DataFrame:
     cutoff = cutoff_micros(_NOW, _FIFTEEN_DAYS)
     return present(expired(event_logs(configure(spark), folder), cutoff)).select("id", "timestamp")
@@ -327,16 +388,19 @@ def _log_queries() -> dict[str, Query]:
         "ingest_table": _ingest_table,
         "ingest_bad_bodies": _bad_bodies,
         "ingest_ids": _ingest_ids,
+        "ingest_chunks": _ingest_chunks,
         "validate_boundaries": _boundaries,
         "page_with_cursor": _stored_page,
         "assign_ids": _assign_ids,
         "logs_append": _logs_append,
         "logs_truncate": _logs_truncate,
         "stream_ingest": _stream_ingest,
+        "stream_replay": _stream_replay,
         "retention_expired": _expired,
         "retention_survivors": _survivors(_FIFTEEN_DAYS, False),
         "retention_bounded": _survivors(_BOUNDED, True),
         "retention_table": _table_retention,
+        "retention_both_bounds": _retention_bounds,
     }
 
 
@@ -549,4 +613,13 @@ def _log_sql() -> dict[str, str]:
         "retention_survivors": f"{aged} ({events}) WHERE t >= {expiry}",
         "retention_bounded": f"{aged} ({_OLDEST_300})",
         "retention_table": _exact_sql(events, "", f"t >= {expiry}"),
+        "retention_both_bounds": f"""
+            {_exact_sql(_OLDEST_300, "'bounded' AS run,")} UNION ALL
+            {_exact_sql(events, "'all' AS run,", f"t >= {expiry}")}""",
+        "stream_replay": _exact_sql(items, "", kept, _SENT_ATTRIBUTES),
+        "ingest_chunks": _exact_sql(
+            f"""SELECT * EXCLUDE (id), row_number() OVER (ORDER BY CAST(request_id AS BIGINT), "index") AS id,
+                       id AS sent FROM ({items}) WHERE {kept}""",
+            "id,", "l.id <= greatest(1, (SELECT count(*) FROM events) // 3)",
+            _SENT_ATTRIBUTES.replace("(id - 1)", "(sent - 1)")),
     }

@@ -27,12 +27,13 @@ LOG = T.StructType([
 ])
 LOG_COLUMNS = LOG.fieldNames()
 
-# A stored record; the last two columns are the partition columns.
+# A stored record; the last three columns are the partition columns.
 STORED = T.StructType([
     T.StructField("id", T.LongType()),
     *LOG.fields,
     T.StructField("log_date", T.DateType()),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("source", _TEXT),
 ])
 
 ROLLUP = T.StructType([
@@ -42,6 +43,7 @@ ROLLUP = T.StructType([
     T.StructField("count", T.LongType()),
     T.StructField("log_date", T.DateType()),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("source", _TEXT),
 ])
 
 REJECTS = T.StructType([
@@ -49,6 +51,5 @@ REJECTS = T.StructType([
     T.StructField("index", T.IntegerType()),
     T.StructField("reason", _TEXT),
     T.StructField("raw", _TEXT),
-    T.StructField("writer", _TEXT),
-    T.StructField("batch_id", _TEXT),
+    T.StructField("source", _TEXT),
 ])

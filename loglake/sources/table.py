@@ -1,38 +1,31 @@
-"""The stored log table: date-partitioned Parquet with a small state file.
+"""The stored log table: Parquet, partitioned by date and batch.
 
 ::
 
-    <root>/logs/log_date=YYYY-MM-DD/batch_id=N/*.parquet     records
-    <root>/rollup/log_date=YYYY-MM-DD/batch_id=N/*.parquet   minute counts
-    <root>/state/<version>.json                              what is visible
-
-An append first reserves a batch number and a range of ids, by a state version
-of its own; it then writes under that number, which nobody else uses, and
-becomes visible, whole, when the number is no longer pending.  Any number of
-appends, streams, retention runs and readers may work at once.  State versions
-are created exclusively: of two writers of one version one starts over from
-the other's.  A failed append leaves a gap in the ids and a number that stays
-pending; it deletes its own files where it can.
+    <root>/logs/log_date=YYYY-MM-DD/batch_id=N/source=S/*.parquet     records
+    <root>/rollup/log_date=YYYY-MM-DD/batch_id=N/source=S/*.parquet   minute counts
+
+The partitions are all there is to know.  A batch's ids start at its number
+times 2^40, so ids are unique and grow with the batches without being looked
+up.  Its source names where it came from: a stream's query and epoch, or one
+append.  Writing is a dynamic partition overwrite, so a batch that is written
+again, after a failure of any kind, replaces what it left behind.
+
+There is one writer at a time, as there is one in the service this replaces;
+several streams are united before they are written.  Readers see Parquet as it
+is: partitions of a batch appear together when its job commits, and a reader
+that a retention run overtakes starts again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import math
-import os
-import random
-import time
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field, replace
-from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from ..functions.isotime import day_number, day_text, micros_literal, utc_date
 from ..operators.aggregate import aggregate_logs
@@ -50,83 +43,10 @@ _ROWS_PER_FILE = 5_000_000
 _BYTES_PER_FILE = 128 * 1024 * 1024
 # Distinct services a file's bloom filter is sized for.
 _SERVICES = 10_000
-_KEPT_STATES = 5
-_PUBLISH_ATTEMPTS = 50
+# Ids of one batch; 8 million batches fit in a long.
+_IDS_PER_BATCH = 1 << 40
 _MAX_LONG = 2 ** 63 - 1
-
-
-@dataclass(frozen=True)
-class Removal:
-    """Rows at or before a position are gone, in the batches visible when it was published."""
-
-    micros: int
-    id: int
-    batch: int
-    # Batches up to that one that were still pending.
-    spared: tuple[int, ...] = ()
-
-    def reaches(self, batch: int) -> bool:
-        return batch <= self.batch and batch not in self.spared
-
-    def reached(self) -> Column:
-        batch = F.col("batch_id")
-        reached = batch <= self.batch
-        return reached & ~batch.isin(*self.spared) if self.spared else reached
-
-    def hides(self) -> Column:
-        return self.reached() & Position(self.micros, self.id).covers()
-
-    def within(self, other: Removal) -> bool:
-        """Whether the other one hides all that this one does."""
-        earlier = self.batch <= other.batch and (self.micros, self.id) <= (other.micros, other.id)
-        return earlier and not any(self.reaches(batch) for batch in other.spared)
-
-
-@dataclass(frozen=True)
-class TableState:
-    version: int = 0
-    next_id: int = 1
-    first_batch: int = 1
-    next_batch: int = 1
-    # Reserved numbers below next_batch that are not visible (yet).
-    pending: tuple[int, ...] = ()
-    removals: tuple[Removal, ...] = ()
-    # Batches before this number have left the disk.
-    swept: int = 1
-    # Of each streaming writer: last batch number taken, id of the query it came from.
-    writers: dict[str, tuple[int, str | None]] = field(default_factory=dict)
-
-    def visible_batches(self) -> Column:
-        """The directories to read, told by the partition columns alone."""
-        visible = F.col("batch_id").between(self.first_batch, self.next_batch - 1)
-        if self.pending:
-            visible &= ~F.col("batch_id").isin(*self.pending)
-        for removal in self.removals:
-            later = F.col("log_date") >= day_literal(utc_day(removal.micros))
-            visible &= later | ~removal.reached()
-        return visible
-
-    def needs(self, day: int, batch: int) -> bool:
-        """Whether any record in this directory is or may become visible."""
-        removed = any(r.reaches(batch) and day < utc_day(r.micros) for r in self.removals)
-        return batch >= self.first_batch and not removed
-
-    def taken(self, writer: str | None, epoch: int | None, query: str | None = None) -> bool:
-        """Whether a streaming writer's batch is stored already.
-
-        Numbers mean something only inside one stream checkpoint, so a writer's
-        name cannot move on to another one.
-        """
-        if writer is None or writer not in self.writers:
-            return False
-        last, owner = self.writers[writer]
-        if query != owner:
-            raise RuntimeError(f"writer {writer!r} belongs to another stream checkpoint")
-        return last >= epoch
-
-
-class PublishConflict(RuntimeError):
-    """The state changed between reading and publishing it."""
+_PARTITIONS = ["log_date", "batch_id", "source"]
 
 
 class LogTable:
@@ -138,149 +58,145 @@ class LogTable:
         self.root = root.rstrip("/")
         self.logs_path = f"{self.root}/logs"
         self.rollup_path = f"{self.root}/rollup"
-        self._state_path = f"{self.root}/state"
 
     # Writing
 
     def append(
-        self,
-        logs: DataFrame,
-        *,
-        order_by: tuple[Column, ...] = (),
-        writer: str | None = None,
-        epoch: int | None = None,
-        query: str | None = None,
+        self, logs: DataFrame, *, order_by: tuple[Column, ...] = (), source: str | None = None,
+        chunk_rows: int | None = None, before_chunk: Callable[[int], None] = lambda chunk: None,
     ) -> int:
         """Store validated records and give them ids; returns how many.
 
         Ids follow the input order inside each task, so records of one request
         keep their order; ``order_by`` makes ids follow a global order instead.
-        A (writer, epoch) pair already stored is skipped, ids unchanged;
-        ``query`` names the stream the epochs count in.
+        A ``source`` that is stored already is overwritten under its old
+        number, so a repeated batch gets the same ids again.
+
+        With ``chunk_rows`` the records are stored in chunks of so many, in
+        order of their ids, each a batch of its own: those before a failure
+        stay.  ``before_chunk`` is told the number of each chunk to come.
         """
-        if self.state().taken(writer, epoch, query):
-            return 0
         staged, path = materialize(slotted(logs.select(*LOG_COLUMNS), order_by), "append")
         try:
-            return self.append_slotted(staged, path, writer=writer, epoch=epoch, query=query)
+            return self.append_slotted(staged, path, source, chunk_rows, before_chunk)
         finally:
             delete_path(self.spark, path)
 
     def append_slotted(
-        self, staged: DataFrame, path: str, *,
-        writer: str | None = None, epoch: int | None = None, query: str | None = None,
+        self, staged: DataFrame, path: str, source: str | None = None, chunk_rows: int | None = None,
+        before_chunk: Callable[[int], None] = lambda chunk: None,
     ) -> int:
         """As ``append``, for rows already materialised with their slots at ``path``."""
         size = slot_offsets(staged).agg(
-            F.sum("_rows").alias("rows"), F.sum("_width").alias("width"), F.count("*").alias("tasks")
-        ).first()
+            F.sum("_rows").alias("rows"), F.sum("_width").alias("width"), F.count("*").alias("tasks")).first()
         rows = size["rows"] or 0
-        if not rows and writer is None:
+        if not rows:
             return 0
-        reserved: TableState | None = None
-        if rows:
-            reserved = self._update(lambda latest: replace(
-                latest, next_id=latest.next_id + size["width"], next_batch=latest.next_batch + 1,
-                pending=(*latest.pending, latest.next_batch)))
-        batch = reserved.next_batch - 1 if reserved else None
-
-        def appended(latest: TableState) -> TableState | None:
-            if latest.taken(writer, epoch, query):
-                return None
-            if batch is not None and batch < latest.first_batch:
-                raise RuntimeError(f"{self.root} was truncated during the append")
-            return replace(
-                latest,
-                pending=tuple(number for number in latest.pending if number != batch),
-                writers=latest.writers if writer is None else {**latest.writers, writer: (epoch, query)},
-            )
-
+        source = source or f"append-{uuid.uuid4().hex}"
+        stored = {name: number for number, name in self.batches()}
+        free = 1 + max(stored.values(), default=-1)
+        if chunk_rows is None:
+            numbered = number_slots(staged, "number", tasks=size["tasks"])
+            before_chunk(0)
+            self._write_batch(numbered, stored.get(source, free), source, rows, stored_bytes(self.spark, path))
+            return rows
+        dense, dense_path = materialize(slotted(staged, (F.asc(SLOT),)), "chunks")
         try:
-            if rows:
-                placed = staged.select(
-                    SLOT, *LOG_COLUMNS, utc_date(F.col("timestamp")).alias("log_date"),
-                    F.lit(batch).cast("long").alias("batch_id"))
-                numbered = number_slots(placed, "id", reserved.next_id - size["width"] - 1, size["tasks"])
-                self._write_both(numbered, placed, rows, stored_bytes(self.spark, path))
-            published = self._update(appended)
-        except BaseException:
-            # The version that shows the batch may have been written all the same.
-            if batch in self.state().pending:
-                self._drop_batch(batch)
-            raise
-        if published is None:
-            self._drop_batch(batch)
-            return 0
-        return rows
+            numbered = number_slots(dense, "number")
+            bytes_per_chunk = stored_bytes(self.spark, dense_path) * chunk_rows // rows
+            for chunk in range(-(-rows // chunk_rows)):
+                before_chunk(chunk)
+                part = numbered.filter(F.col("number").between(chunk * chunk_rows + 1, (chunk + 1) * chunk_rows))
+                name = f"{source}-{chunk:06d}"
+                number = stored.get(name, free)
+                free += number == free
+                self._write_batch(
+                    part.withColumn("number", F.col("number") - chunk * chunk_rows), number, name,
+                    min(chunk_rows, rows - chunk * chunk_rows), bytes_per_chunk)
+            return rows
+        finally:
+            delete_path(self.spark, dense_path)
+
+    def batches(self) -> list[tuple[int, str]]:
+        """(number, source) of all stored batches, told by the partitions' names."""
+        fs, pattern = hadoop_path(self.spark, f"{self.logs_path}/log_date=*/batch_id=*/source=*")
+        found = set()
+        for status in fs.globStatus(pattern) or []:
+            path = status.getPath()
+            found.add((int(path.getParent().getName()[9:]), path.getName()[7:]))
+        return sorted(found)
 
     def truncate(self) -> None:
-        """Empty the table and start ids at 1 again; appends under way fail."""
-        self._update(lambda latest: replace(
-            latest, next_id=1, first_batch=latest.next_batch, removals=(), pending=()))
+        """Empty the table; the next batch is number 0 again, and ids start at 1."""
+        for path, schema in ((self.rollup_path, ROLLUP), (self.logs_path, STORED)):
+            empty = self.spark.createDataFrame([], schema)
+            empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+                *_PARTITIONS).parquet(path)
 
     def retain(
         self, now: dt.datetime, options: RetentionOptions = RetentionOptions(), bounded: bool = True
     ) -> int:
         """Delete expired records, oldest first; returns how many.
 
-        The run publishes a position up to which records are gone; nothing is
-        rewritten.  Files of days wholly before it go with the next ``vacuum``.
+        Days wholly before the last record to go are dropped with their
+        partitions.  Only that record's own day is written anew, from what
+        survives; batches of it without survivors are dropped.  The minute
+        counts say which day that is, so no other day is read.
         """
-        self.vacuum()
         cutoff = cutoff_micros(now, options)
-        state = self.state()
         whole = cutoff - cutoff % MINUTE
-        minutes = self._exact_rollup(None, whole, state).select("start_1m", "count").unionByName(
-            build_rollup(self.scan(whole, cutoff, state)).select("start_1m", "count")
-        )
+        minutes = self._rollup_rows(None, whole).select("start_1m", "count").unionByName(
+            build_rollup(self.scan(whole, cutoff)).select("start_1m", "count"))
         bound = options.max_rows if bounded else _MAX_LONG
-        total, position = nth_oldest(self.scan(None, cutoff, state), bound, minutes)
+        total, position = nth_oldest(self.scan(None, cutoff), bound, minutes)
         if not total:
             return 0
-        deleted, position = min(total, bound), position or Position(cutoff - 1)
-        removal = Removal(position.micros, position.id, state.next_batch - 1, state.pending)
-        self._update(lambda latest: replace(latest, removals=(
-            *(r for r in latest.removals if not r.within(removal)), removal)))
-        return deleted
-
-    def vacuum(self) -> None:
-        """Delete directories that no state will show again.
-
-        ``retain`` calls this before it publishes, not after, so files outlive
-        the readers that were running when their rows went.  Only days that a
-        truncation or a removal reaches are listed.
-        """
-        state = self.state()
-        emptied = state.first_batch > state.swept
-        reached = max((utc_day(r.micros) for r in state.removals), default=None)
-        for path in (self.logs_path, self.rollup_path):
+        position = position or Position(cutoff - 1)
+        boundary = utc_day(position.micros)
+        self._rewrite_day(boundary, position)
+        for path in (self.rollup_path, self.logs_path):
             for day in self._days(path):
-                if emptied or (reached is not None and day < reached):
-                    self._drop_unneeded(path, day, state)
-        if emptied:
-            self._update(lambda latest: replace(latest, swept=max(latest.swept, state.first_batch)))
+                if day < boundary:
+                    delete_path(self.spark, self._day_path(path, day))
+        return min(total, bound)
+
+    def _rewrite_day(self, day: int, position: Position) -> None:
+        """Keep what lies behind the position."""
+        start = day * _DAY_MICROS
+        rows = self.scan(start, start + _DAY_MICROS)
+        if not rows.filter(position.covers()).limit(1).count():
+            return
+        kept, path = materialize(rows.filter(~position.covers()), "survivors")
+        try:
+            left = kept.groupBy("batch_id", "source").count().collect()
+            if left:
+                self._write_logs(kept, sum(row["count"] for row in left), stored_bytes(self.spark, path))
+                self._write_rollup(kept)
+            living = {(row["batch_id"], row["source"]) for row in left}
+            for top in (self.rollup_path, self.logs_path):
+                folder = self._day_path(top, day)
+                fs, pattern = hadoop_path(self.spark, f"{folder}/batch_id=*/source=*")
+                for status in fs.globStatus(pattern) or []:
+                    found = status.getPath()
+                    if (int(found.getParent().getName()[9:]), found.getName()[7:]) not in living:
+                        fs.delete(found, True)
+        finally:
+            delete_path(self.spark, path)
 
     # Reading
 
     def scan(
-        self, since: int | None = None, until: int | None = None, state: TableState | None = None,
-        days: list[int] | None = None,
+        self, since: int | None = None, until: int | None = None, days: list[int] | None = None,
     ) -> DataFrame:
-        """The visible records, optionally of [since, until) in microseconds.
+        """The records, optionally of [since, until) in microseconds.
 
         Only the date directories in range are listed and read; ``days`` are
         those on disk, if known already.
         """
-        state = state or self.state()
-        rows = self._read(self.logs_path, STORED, since, until, state, days)
-        for bound in self._range(since, until, "timestamp"):
-            rows = rows.filter(bound)
-        touching = (r for r in state.removals if since is None or since <= r.micros)
-        return reduce(lambda df, removal: df.filter(~removal.hides()), touching, rows)
+        return self._read(self.logs_path, STORED, "timestamp", since, until, days)
 
     def page(self, query: LogsQuery) -> LogsPage:
         """One page, newest first, reading no more of the past than it must."""
-        state = self.state()
         days = self._days(self.logs_path)
         if not days:
             return LogsPage([], None)
@@ -291,128 +207,81 @@ class LogTable:
             end = min(end, query.until_micros)
         if query.cursor is not None:
             end = min(end, query.cursor.micros + 1)
-        return fetch_recent_page(
-            lambda since, until: self.scan(since, until, state, days), query, oldest, end)
+        return fetch_recent_page(lambda since, until: self.scan(since, until, days), query, oldest, end)
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
         """Bucket counts, from the rollup whenever it holds the answer."""
         since, until = query.since_micros, query.until_micros
-        state = self.state()
         if rollup_answers(query):
-            return aggregate_rollup(self._exact_rollup(since, until, state), query)
-        return aggregate_logs(self.scan(since, until, state), query, partitioned=True)
+            return aggregate_rollup(self._rollup_rows(since, until), query)
+        return aggregate_logs(self.scan(since, until), query, partitioned=True)
 
     def rollup(self) -> DataFrame:
-        """Visible counts per minute, service and level."""
-        return self._exact_rollup(None, None, self.state()).groupBy(
-            "start_1m", "service", "level"
-        ).agg(F.sum("count").alias("count"))
-
-    # State
-
-    def state(self) -> TableState:
-        version = max(self._versions(), default=0)
-        if not version:
-            return TableState()
-        fs, path = hadoop_path(self.spark, f"{self._state_path}/{version:012d}.json")
-        stream = fs.open(path)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        fields = json.loads(text)
-        fields["removals"] = tuple(
-            Removal(**{**entry, "spared": tuple(entry["spared"])}) for entry in fields["removals"])
-        fields["pending"] = tuple(fields["pending"])
-        fields["writers"] = {name: tuple(entry) for name, entry in fields["writers"].items()}
-        return TableState(**fields)
-
-    def _versions(self) -> list[int]:
-        names = self._names(self._state_path)
-        return sorted(int(name[:-5]) for name in names if name.endswith(".json") and name[0] != ".")
-
-    def _update(self, change: Callable[[TableState], TableState | None]) -> TableState | None:
-        """Publish a change on top of the latest state, whoever wrote that; None changes nothing."""
-        for attempt in range(_PUBLISH_ATTEMPTS):
-            changed = change(self.state())
-            if changed is None:
-                return None
-            try:
-                return self._publish(changed)
-            except PublishConflict:
-                time.sleep(random.uniform(0, 0.05 * (attempt + 1)))
-        raise PublishConflict(f"{self.root} changes too often")
-
-    def _publish(self, state: TableState) -> TableState:
-        """Make ``state`` the next version, unless somebody else made it meanwhile."""
-        state = replace(state, version=state.version + 1)
-        fs, target = hadoop_path(self.spark, f"{self._state_path}/{state.version:012d}.json")
-        _, temporary = hadoop_path(self.spark, f"{self._state_path}/.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(temporary, False)
-        try:
-            stream.write(json.dumps(asdict(state)).encode())
-        finally:
-            stream.close()
-        try:
-            self._move_exclusively(fs, temporary, target)
-        except (FileExistsError, Py4JJavaError) as refused:
-            if not fs.exists(target):
-                raise
-            raise PublishConflict(f"another writer published version {state.version} of {self.root}") from refused
-        finally:
-            fs.delete(temporary, False)
-        for old in self._versions()[:-_KEPT_STATES]:
-            delete_path(self.spark, f"{self._state_path}/{old:012d}.json")
-        return state
-
-    def _move_exclusively(self, fs, source, target) -> None:
-        """Give the file its final name; fails, and changes nothing, if that is taken."""
-        if fs.getScheme() == "file":
-            # A local rename replaces; a hard link does not.
-            os.link(source.toUri().getPath(), target.toUri().getPath())
-            return
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        qualified = fs.makeQualified(target)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            qualified.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
-        ).rename(fs.makeQualified(source), qualified, options)
+        """Counts per minute, service and level."""
+        return self._rollup_rows(None, None).groupBy("start_1m", "service", "level").agg(
+            F.sum("count").alias("count"))
 
-    # Files
+    def _rollup_rows(self, since: int | None, until: int | None) -> DataFrame:
+        return self._read(self.rollup_path, ROLLUP, "start_1m", since, until)
 
-    def _write_both(self, numbered: DataFrame, placed: DataFrame, rows: int, size: int) -> None:
-        """Write records and rollup side by side, sharing the cluster."""
-        with ThreadPoolExecutor(1) as beside:
-            rollup = beside.submit(inheritable_thread_target(self.spark)(self._write_rollup), placed)
-            self._write_logs(numbered, rows, size)
-            rollup.result()
+    # Files
 
-    def _write_logs(self, numbered: DataFrame, rows: int, size: int) -> None:
+    def _write_batch(self, numbered: DataFrame, batch: int, source: str, rows: int, size: int) -> None:
+        """The rollup first: a batch counts as stored when its records are there."""
+        placed = numbered.select(
+            (F.col("number") + F.lit(batch * _IDS_PER_BATCH)).alias("id"), *LOG_COLUMNS,
+            utc_date(F.col("timestamp")).alias("log_date"), F.lit(batch).cast("long").alias("batch_id"),
+            F.lit(source).alias("source"))
+        again = self._partitions_of(batch, source)
+        self._write_rollup(placed)
+        self._write_logs(placed, rows, size)
+        if again:
+            self._drop_stale(placed, again)
+
+    def _partitions_of(self, batch: int, source: str) -> list[str]:
+        paths = []
+        for top in (self.rollup_path, self.logs_path):
+            fs, pattern = hadoop_path(self.spark, f"{top}/log_date=*/batch_id={batch}/source={source}")
+            paths += [status.getPath().toString() for status in fs.globStatus(pattern) or []]
+        return paths
+
+    def _drop_stale(self, placed: DataFrame, before: list[str]) -> None:
+        """Delete those partitions of an earlier attempt whose days this one has no record of."""
+        days = {f"log_date={row[0]}" for row in placed.select(F.col("log_date").cast("string")).distinct().collect()}
+        for path in before:
+            if path.split("/")[-3] not in days:
+                delete_path(self.spark, path)
+
+    def _write_logs(self, placed: DataFrame, rows: int, size: int) -> None:
         """Files of even size, sorted by time inside each date.
 
         Splitting by (date, timestamp, id) spreads a hot day, or a hot instant,
         over as many tasks as it has rows for.
         """
-        order = ["log_date", "batch_id", "timestamp", "id"]
-        files = max(math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE))
+        order = [*_PARTITIONS, "timestamp", "id"]
+        files = max(1, math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE))
         (
-            numbered.repartitionByRange(files, *order).sortWithinPartitions(*order)
-            .write.mode("append")
+            placed.select(*STORED.fieldNames())
+            .repartitionByRange(files, *order).sortWithinPartitions(*order)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#service", "true")
             .option("parquet.bloom.filter.expected.ndv#service", str(_SERVICES))
-            .partitionBy("log_date", "batch_id").parquet(self.logs_path)
+            .partitionBy(*_PARTITIONS).parquet(self.logs_path)
         )
 
     def _write_rollup(self, placed: DataFrame) -> None:
         """Rebalanced by date: small dates share a task, a large one is split."""
         (
-            build_rollup(placed, "log_date", "batch_id")
+            build_rollup(placed, *_PARTITIONS)
             .hint("rebalance", "log_date")
-            .sortWithinPartitions("log_date", "batch_id", "start_1m", "service")
-            .write.mode("append").partitionBy("log_date", "batch_id").parquet(self.rollup_path)
+            .sortWithinPartitions(*_PARTITIONS, "start_1m", "service")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*_PARTITIONS).parquet(self.rollup_path)
         )
 
-    def _read(self, path, schema, since, until, state: TableState, days: list[int] | None = None) -> DataFrame:
+    def _read(
+        self, path: str, schema, column: str, since: int | None, until: int | None, days: list[int] | None = None
+    ) -> DataFrame:
         days = self._days(path) if days is None else days
         wanted = [
             day for day in days
@@ -425,27 +294,8 @@ class LogTable:
             rows = reader.option("basePath", path).parquet(*(self._day_path(path, d) for d in wanted))
         else:
             rows = reader.parquet(path)
-        return rows.filter(state.visible_batches())
-
-    def _exact_rollup(self, since: int | None, until: int | None, state: TableState) -> DataFrame:
-        """Rollup rows of whole minutes in [since, until), less what retention removed.
-
-        A removal ends inside a minute; that minute is counted from the records.
-        """
-        rows = self._read(self.rollup_path, ROLLUP, since, until, state)
-        for bound in self._range(since, until, "start_1m"):
+        for bound in self._range(since, until, column):
             rows = rows.filter(bound)
-        split_minutes: dict[int, Column] = {}
-        for removal in state.removals:
-            edge = removal.micros - removal.micros % MINUTE
-            if since is not None and since > edge:
-                continue
-            rows = rows.filter(~((F.col("start_1m") <= micros_literal(edge)) & removal.reached()))
-            if until is None or edge < until:
-                split_minutes[edge] = split_minutes.get(edge, F.lit(False)) | removal.reached()
-        for edge, reached in split_minutes.items():
-            rest = self.scan(edge, edge + MINUTE, state).filter(reached)
-            rows = rows.unionByName(build_rollup(rest, "log_date", "batch_id"))
         return rows
 
     def _range(self, since: int | None, until: int | None, column: str) -> list[Column]:
@@ -474,22 +324,3 @@ class LogTable:
 
     def _day_path(self, path: str, day: int) -> str:
         return f"{path}/log_date={day_text(day)}"
-
-    def _drop_batch(self, batch: int | None) -> None:
-        """Delete the files of an append that will not become visible."""
-        if batch is None:
-            return
-        fs, pattern = hadoop_path(self.spark, f"{self.root}/*/log_date=*/batch_id={batch}")
-        for status in fs.globStatus(pattern) or []:
-            fs.delete(status.getPath(), True)
-
-    def _drop_unneeded(self, path: str, day: int, state: TableState) -> None:
-        folder = self._day_path(path, day)
-        batches = [int(name[9:]) for name in self._names(folder) if name.startswith("batch_id=")]
-        unneeded = [batch for batch in batches if not state.needs(day, batch)]
-        for batch in unneeded:
-            delete_path(self.spark, f"{folder}/batch_id={batch}")
-        fs, resolved = hadoop_path(self.spark, folder)
-        if not fs.listStatus(resolved):
-            # Not recursive: a batch that an append puts here meanwhile stays.
-            fs.delete(resolved, False)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +30,28 @@ def ingest_batch(
     *,
     now: dt.datetime | Column | None = None,
     rejects_path: str | None = None,
-    writer: str | None = None,
-    epoch: int | None = None,
-    query: str | None = None,
+    source: str | None = None,
+    order_by: tuple[Column, ...] = (),
+    chunk_rows: int | None = None,
+    before_chunk: Callable[[int], None] = lambda chunk: None,
 ) -> Ingested:
     """Validate requests once and store what is accepted.
 
     The judged items are written to shared storage first: ids, records, rollup
-    and rejects all read that, so bodies are parsed a single time.
+    and rejects all read that, so bodies are parsed a single time.  A batch of
+    the same ``source`` replaces its earlier records and rejects.  ``order_by``
+    (of request_id, index and the records' columns) makes ids follow that
+    order; ``chunk_rows`` and ``before_chunk`` are those of ``LogTable.append``.
     """
-    if table.state().taken(writer, epoch, query):
-        return Ingested(0, 0)
-    judged, path = materialize(slotted(validate(envelopes, now)), "ingest")
+    source = source or f"ingest-{uuid.uuid4().hex}"
+    judged, path = materialize(slotted(validate(envelopes, now), order_by), "ingest")
     try:
         refused = rejects(judged)
         if rejects_path is not None:
-            # A replay overwrites its own folder and no other.
-            source = quote(writer or "batch", safe="")
-            number = uuid.uuid4().hex if writer is None else epoch
-            refused.write.mode("overwrite").parquet(
-                f"{rejects_path}/writer={source}/batch_id={number}")
+            refused.write.mode("overwrite").parquet(f"{rejects_path}/source={source}")
         count = refused.count()
         kept = judged.filter(F.col("reason").isNull()).select(SLOT, *LOG_COLUMNS)
-        return Ingested(table.append_slotted(kept, path, writer=writer, epoch=epoch, query=query), count)
+        return Ingested(table.append_slotted(kept, path, source, chunk_rows, before_chunk), count)
     finally:
         delete_path(envelopes.sparkSession, path)
 
@@ -67,26 +66,24 @@ def stream_ingest(
     table: LogTable,
     checkpoint: str,
     *,
-    writer: str | None = None,
     now: dt.datetime | Column | None = None,
     rejects_path: str | None = None,
+    chunk_rows: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Feed a stream of requests into the table; by default what is there now.
 
     There is no watermark, as late records of any age are kept.  A micro-batch
-    that is replayed after a failure finds its number stored and adds nothing.
-    Numbers belong to the ``writer``, by default the query id, which lives and
-    dies with the checkpoint: a new checkpoint reads everything again.  A named
-    writer is tied to the checkpoint it was first used with.
+    is stored under the query's id and its own number, both of which live in
+    the checkpoint; replayed after a failure, it overwrites the partitions that
+    it wrote before.  A new checkpoint reads everything again.
     """
     def store(batch: DataFrame, epoch: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if query is None:
             raise RuntimeError("the stream's query id is unknown, so a replay could not be told")
         ingest_batch(
-            batch, table, now=now, rejects_path=rejects_path, writer=writer or query, epoch=epoch, query=query
-        )
+            batch, table, now=now, rejects_path=rejects_path, source=f"{query}-{epoch:012d}", chunk_rows=chunk_rows)
 
     return (
         envelopes.writeStream.foreachBatch(store)

@@ -8,6 +8,7 @@ from loglake.sources.samples import event_requests
 from conftest import TESTDATA
 
 NOW = "2024-02-01T00:00:00Z"
+BATCH = 1 << 40
 
 
 def snapshot(table):
@@ -47,78 +48,12 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     streamed = L.LogTable(spark, str(tmp_path / "streamed"))
     rejects_path = str(tmp_path / "rejects")
     for _ in range(2):
-        run(spark, landing, streamed, str(tmp_path / "checkpoint"), rejects_path=rejects_path, writer="w")
+        run(spark, landing, streamed, str(tmp_path / "checkpoint"), rejects_path=rejects_path)
         assert bare(streamed) == bare(batch)
         assert L.read_rejects(spark, rejects_path).count() == 160
     first = snapshot(streamed)
     assert len({row[0] for row in first}) == 840
 
-    # Another checkpoint counts its batches anew, so it cannot take the name over.
-    with pytest.raises(Exception, match="another stream checkpoint"):
-        run(spark, landing, streamed, str(tmp_path / "other"), rejects_path=rejects_path, writer="w")
-    assert snapshot(streamed) == first
-
-
-def test_two_streams_at_once(spark, tmp_path):
-    """Started together; one that failed is started again.  Each row is there once."""
-    table = L.LogTable(spark, str(tmp_path / "table"))
-    expected = []
-    for name in ("a", "b"):
-        for part in range(3):
-            messages = [f"{name}{part}{n}" for n in range(4)]
-            land(spark, str(tmp_path / name), [(f"{name}{part}", body(*messages), NOW)])
-            expected += messages
-    for _ in range(2):
-        running = [
-            L.stream_ingest(
-                L.stream_envelopes(spark, str(tmp_path / name), maxFilesPerTrigger="1"),
-                L.LogTable(spark, table.root), str(tmp_path / f"checkpoint {name}"))
-            for name in ("a", "b")
-        ]
-        for stream in running:
-            stream.awaitTermination()
-    rows = snapshot(table)
-    assert sorted(row[1] for row in rows) == sorted(expected)
-    assert len({row[0] for row in rows}) == len(rows)
-    assert table.rollup().agg({"count": "sum"}).first()[0] == len(rows)
-
-
-def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
-    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
-    land(spark, landing, [("a", body("one", "two"), NOW), ("b", body("three"), NOW)])
-    table = L.LogTable(spark, str(tmp_path / "table"))
-    publish, calls = table._publish, []
-
-    def fail_after_publishing(state):
-        published = publish(state)
-        calls.append(state)
-        if len(calls) == 2:
-            raise RuntimeError("driver lost")
-        return published
-
-    monkeypatch.setattr(table, "_publish", fail_after_publishing)
-    try:
-        run(spark, landing, table, checkpoint)
-    except Exception:
-        pass
-    run(spark, landing, table, checkpoint)
-    assert sorted(row[1] for row in snapshot(table)) == ["one", "three", "two"]
-
-
-def test_two_streams_do_not_hide_each_other(spark, tmp_path):
-    table = L.LogTable(spark, str(tmp_path / "table"))
-    for name in ("a", "b"):
-        land(spark, str(tmp_path / name), [(name, body(name, ""), NOW)])
-        run(spark, str(tmp_path / name), table, str(tmp_path / f"checkpoint {name}"),
-            rejects_path=str(tmp_path / "rejects"))
-    assert [row[:2] for row in snapshot(table)] == [(1, "a"), (2, "b")]
-    refused = L.read_rejects(spark, str(tmp_path / "rejects")).collect()
-    assert [(r["request_id"], r["index"]) for r in sorted(refused)] == [("a", 1), ("b", 1)]
-    assert {r["writer"] for r in refused} == set(table.state().writers)
-    assert len(table.state().writers) == 2 and None not in table.state().writers
-    run(spark, str(tmp_path / "a"), table, str(tmp_path / "checkpoint a"))
-    assert len(snapshot(table)) == 2
-
 
 def test_new_requests_continue_ids_and_keep_order(spark, tmp_path):
     landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
@@ -127,7 +62,8 @@ def test_new_requests_continue_ids_and_keep_order(spark, tmp_path):
     run(spark, landing, table, checkpoint)
     land(spark, landing, [("b", body("b0", "b1"), NOW), ("bad", "{}", NOW)])
     run(spark, landing, table, checkpoint)
-    assert [row[:2] for row in snapshot(table)] == [(1, "a0"), (2, "a1"), (3, "a2"), (4, "b0"), (5, "b1")]
+    assert [row[:2] for row in snapshot(table)] == [
+        (1, "a0"), (2, "a1"), (3, "a2"), (BATCH + 1, "b0"), (BATCH + 2, "b1")]
 
 
 def test_body_files(spark, tmp_path):
@@ -151,3 +87,52 @@ def test_late_records_are_kept(spark, tmp_path):
     table = L.LogTable(spark, str(tmp_path / "table"))
     run(spark, landing, table, str(tmp_path / "checkpoint"))
     assert sorted(row[1] for row in snapshot(table)) == ["m", "n"]
+
+
+def test_streams_one_after_the_other(spark, tmp_path):
+    table, rejects_path = L.LogTable(spark, str(tmp_path / "table")), str(tmp_path / "rejects")
+    for name in ("a", "b", "a"):
+        if not (tmp_path / name).exists():
+            land(spark, str(tmp_path / name), [(name, body(name, ""), NOW)])
+        run(spark, str(tmp_path / name), table, str(tmp_path / f"checkpoint {name}"), rejects_path=rejects_path)
+        assert table.rollup().agg({"count": "sum"}).first()[0] == len(snapshot(table))
+    assert [row[:2] for row in snapshot(table)] == [(1, "a"), (BATCH + 1, "b")]
+    refused = L.read_rejects(spark, rejects_path).collect()
+    assert sorted((r["request_id"], r["index"]) for r in refused) == [("a", 1), ("b", 1)]
+    assert {r["source"] for r in refused} == {source for _, source in table.batches()}
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 2])
+def test_killed_batches_are_replayed(spark, tmp_path, monkeypatch, chunk_rows):
+    """Each attempt dies at another place; in the end every record is there once, under one id."""
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    land(spark, landing, [("a", body("a1", "a2", "a3", ""), NOW), ("b", body("b1"), NOW), ("c", body("c1", "c2"), NOW)])
+    table = L.LogTable(spark, str(tmp_path / "table"))
+    write_logs, write_rollup = table._write_logs, table._write_rollup
+    plan = iter(["before records", "after records", "after rollup", None, "after records"])
+
+    def failing(write, place):
+        def run(*args):
+            now = next(plan, None) if place == "records" else None
+            if now == "before records":
+                raise RuntimeError("driver lost")
+            write(*args)
+            if now == "after records":
+                raise RuntimeError("driver lost")
+        return run
+
+    monkeypatch.setattr(table, "_write_logs", failing(write_logs, "records"))
+    monkeypatch.setattr(table, "_write_rollup", failing(write_rollup, "rollup"))
+    for _ in range(8):
+        try:
+            run(spark, landing, table, checkpoint, rejects_path=str(tmp_path / "rejects"), chunk_rows=chunk_rows)
+            break
+        except Exception as error:
+            assert "driver lost" in str(error)
+    else:
+        raise AssertionError("never ended")
+    rows = snapshot(table)
+    assert sorted(row[1] for row in rows) == ["a1", "a2", "a3", "b1", "c1", "c2"]
+    assert len({row[0] for row in rows}) == 6
+    assert table.rollup().agg({"count": "sum"}).first()[0] == 6
+    assert L.read_rejects(spark, str(tmp_path / "rejects")).count() == 1

@@ -10,6 +10,7 @@ from loglake.operators.aggregate import aggregate_logs
 from loglake.session import materialize
 
 WIDE = {"since": "2020-01-01T00:00:00Z", "until": "2030-01-01T00:00:00Z"}
+BATCH = 1 << 40
 NOW = dt.datetime(2024, 3, 20, 12, 0, 30, tzinfo=dt.timezone.utc)
 
 
@@ -42,7 +43,7 @@ def test_empty_table(table):
 
 def test_empty_append_changes_nothing(table, make_logs):
     assert table.append(make_logs([]).drop("id")) == 0
-    assert table.state().version == 0
+    assert table.batches() == []
 
 
 def test_ids_are_dense_unique_and_continue(table, make_logs):
@@ -52,7 +53,7 @@ def test_ids_are_dense_unique_and_continue(table, make_logs):
     expected = sorted(rows, key=lambda r: (r[1], f"message {r[0]}"))
     assert stored(table) == {n: f"message {row[0]}" for n, row in enumerate(expected, 1)}
     table.append(make_logs(some_rows(2, 50, first=1000), 3))
-    assert sorted(stored(table)) == list(range(1, 251))
+    assert sorted(stored(table)) == [*range(1, 201), *range(BATCH + 1, BATCH + 51)]
 
 
 def test_order_inside_a_task_is_kept(table, make_logs):
@@ -78,62 +79,9 @@ def test_records_from_before_year_one(table, make_logs):
     assert table.aggregate(query).agg(F.sum("count")).first()[0] == 2
     assert [log["message"] for log in table.page(L.LogsQuery()).logs] == ["message 2", "message 1"]
     assert table.retain(NOW, L.RetentionOptions(batch_size=1, max_batches_per_run=1)) == 1
-    table.vacuum()
     assert list(stored(table).values()) == ["message 2"]
 
 
-def test_replayed_epoch_adds_nothing(table, make_logs):
-    logs = make_logs(some_rows(3, 30))
-    assert table.append(logs, writer="s", epoch=0) == 30
-    before = stored(table)
-    assert table.append(logs, writer="s", epoch=0) == 0
-    assert stored(table) == before
-    assert table.append(logs, writer="s", epoch=1) == 30
-    assert table.append(logs, writer="other", epoch=0) == 30
-
-
-def test_failed_append_leaves_nothing(table, make_logs, monkeypatch):
-    table.append(make_logs(some_rows(4, 20)))
-    before = stored(table)
-
-    def lost(*_):
-        raise RuntimeError("driver lost")
-
-    with monkeypatch.context() as patch:
-        patch.setattr(table, "_write_rollup", lost)
-        with pytest.raises(RuntimeError, match="driver lost"):
-            table.append(make_logs([(n, "2024-05-05T00:00:00Z") for n in range(9)]))
-    assert stored(table) == before
-    assert table._names(table._day_path(table.logs_path, 19848)) == []
-    assert table.aggregate(L.AggregateQuery.parse({**WIDE, "bucket": "1d"})).agg(F.sum("count")).first()[0] == 20
-    table.append(make_logs([(500, "2024-06-06T00:00:00Z")]))
-    assert len(stored(table)) == 21
-    assert table.scan().filter("log_date = '2024-05-05'").count() == 0
-
-
-def test_error_after_publishing_keeps_the_batch(table, make_logs, monkeypatch):
-    publish = table._publish
-
-    def publish_and_fail(state):
-        publish(state)
-        if not state.pending:
-            raise RuntimeError("driver lost")
-        return table.state()
-
-    with monkeypatch.context() as patch:
-        patch.setattr(table, "_publish", publish_and_fail)
-        with pytest.raises(RuntimeError, match="driver lost"):
-            table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=0)
-    assert len(stored(table)) == 1
-    assert table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=0) == 0
-
-
-def test_writer_belongs_to_one_query(table, make_logs):
-    table.append(make_logs([(1, "2024-05-05T00:00:00Z")]), writer="w", epoch=3, query="one")
-    with pytest.raises(RuntimeError, match="another stream checkpoint"):
-        table.append(make_logs([(2, "2024-05-05T00:00:00Z")]), writer="w", epoch=0, query="two")
-
-
 def test_pages_of_a_table(table, make_logs):
     rows = some_rows(5, 120)
     table.append(make_logs(rows[:70], 3))
@@ -183,28 +131,12 @@ def test_retention_against_sorting(table, make_logs, bound):
         assert table.retain(NOW, options, bounded=bounded) == len(doomed)
         assert set(stored(table)) == set(alive) - doomed
         check_rollup(table)
-    assert len(table.state().removals) <= 3
 
 
 def days_on_disk(table):
     return sorted(n for n in table._names(table.logs_path) if n.startswith("log_date"))
 
 
-def test_whole_expired_days_are_deleted_once_readers_had_time(table, make_logs):
-    table.append(make_logs(some_rows(20, 100), 3))
-    reader = table.scan()
-    table.retain(NOW, L.RetentionOptions(days=15), bounded=False)
-    assert reader.count() == 100
-    table.vacuum()
-    assert days_on_disk(table) == ["log_date=2024-03-05", "log_date=2024-03-06"]
-    # a late record of a removed day is kept until the next run
-    table.append(make_logs([(1, "2024-03-01T00:00:00Z", {"message": "late"})]))
-    assert "late" in stored(table).values()
-    table.vacuum()
-    assert "late" in stored(table).values()
-    check_rollup(table)
-
-
 def test_longer_retention_does_not_bring_rows_back(table, make_logs):
     table.append(make_logs(some_rows(21, 60), 2))
     table.retain(NOW, L.RetentionOptions(days=15), bounded=False)
@@ -215,75 +147,6 @@ def test_longer_retention_does_not_bring_rows_back(table, make_logs):
     check_rollup(table)
 
 
-def test_truncate_restarts_ids(table, make_logs):
-    table.append(make_logs(some_rows(22, 30)), writer="s", epoch=4)
-    table.truncate()
-    table.vacuum()
-    assert stored(table) == {} and days_on_disk(table) == []
-    check_rollup(table)
-    assert table.append(make_logs(some_rows(22, 30)), writer="s", epoch=4) == 0
-    table.append(make_logs([(9, "2024-03-01T00:00:00Z")]))
-    assert list(stored(table)) == [1]
-
-
-def test_second_publisher_of_a_version_is_refused(table, make_logs):
-    table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
-    state = table.state()
-    table._publish(state)
-    with pytest.raises(RuntimeError, match="another writer"):
-        table._publish(state)
-    assert [name for name in table._names(f"{table.root}/state") if name.endswith(".tmp")] == []
-
-
-def test_retention_beside_an_append(spark, table, make_logs, monkeypatch):
-    table.append(make_logs([(1, "2024-03-01T00:00:00Z"), (2, "2024-03-10T00:00:00Z")]))
-    write = table._write_both
-
-    def write_and_retain(*args):
-        write(*args)
-        other = L.LogTable(spark, table.root)
-        assert other.retain(NOW, L.RetentionOptions(days=15)) == 1
-
-    monkeypatch.setattr(table, "_write_both", write_and_retain)
-    table.append(make_logs([(3, "2024-03-01T00:00:00Z", {"message": "late"})]))
-    assert sorted(stored(table).values()) == ["late", "message 2"]
-
-
-def test_append_inside_an_append(spark, table, make_logs, monkeypatch):
-    write = table._write_both
-
-    def write_twice(*args):
-        write(*args)
-        monkeypatch.setattr(table, "_write_both", write)
-        L.LogTable(spark, table.root).append(make_logs([(5, "2024-03-01T00:00:00Z"), (6, "2024-03-02T00:00:00Z")]))
-
-    monkeypatch.setattr(table, "_write_both", write_twice)
-    table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
-    assert stored(table) == {1: "message 1", 2: "message 5", 3: "message 6"}
-    check_rollup(table)
-
-
-def test_truncation_inside_an_append(spark, table, make_logs, monkeypatch):
-    write = table._write_both
-
-    def write_and_truncate(*args):
-        write(*args)
-        L.LogTable(spark, table.root).truncate()
-
-    monkeypatch.setattr(table, "_write_both", write_and_truncate)
-    with pytest.raises(RuntimeError, match="truncated"):
-        table.append(make_logs([(1, "2024-03-01T00:00:00Z")]))
-    assert stored(table) == {}
-
-
-def test_vacuum_lists_no_day_without_need(table, make_logs, monkeypatch):
-    table.append(make_logs(some_rows(40, 60), 2))
-    listed, names = [], table._names
-    monkeypatch.setattr(table, "_names", lambda path: listed.append(path) or names(path))
-    table.vacuum()
-    assert not [path for path in listed if "log_date=" in path]
-
-
 def test_other_session_zone_is_refused(spark, table):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
@@ -328,3 +191,94 @@ def test_hot_instant_is_written_by_several_tasks(spark, table, make_logs, monkey
 def test_materialized_rows_live_in_the_shared_folder(spark, make_logs):
     _, path = materialize(make_logs([(1, "2024-03-01T00:00:00Z")]), "probe")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_repeated_source_replaces_itself(table, make_logs):
+    logs = make_logs(some_rows(3, 30))
+    assert table.append(logs, source="s-0") == 30
+    before = stored(table)
+    table.append(make_logs([(77, "2024-07-07T00:00:00Z")]), source="s-1")
+    assert table.append(logs, source="s-0") == 30
+    assert stored(table) == before | {BATCH + 1: "message 77"}
+    # An earlier attempt that stored other days leaves nothing behind.
+    assert table.append(make_logs([(78, "2024-07-08T00:00:00Z")]), source="s-1") == 1
+    assert stored(table) == before | {BATCH + 1: "message 78"}
+    check_rollup(table)
+
+
+@pytest.mark.parametrize("broken", ["_write_rollup", "_write_logs"])
+def test_failed_append_is_repeated(table, make_logs, monkeypatch, broken):
+    table.append(make_logs(some_rows(4, 20)))
+    before = stored(table)
+    late = make_logs([(n, "2024-05-05T00:00:00Z") for n in range(9)])
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(table, broken, lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            table.append(late, source="s-7")
+    assert stored(table) == before
+    assert table.append(late, source="s-7") == 9
+    assert len(stored(table)) == 29
+    check_rollup(table)
+
+
+@pytest.mark.parametrize("rows", [10, 25, 26, 100])
+def test_chunks_before_a_failure_stay(table, make_logs, rows):
+    logs = make_logs([(n, f"2024-03-{1 + n % 5:02d}T00:00:00Z") for n in range(1, 51)], 4)
+    order = (F.asc("message"),)
+    names = sorted(f"message {n}" for n in range(1, 51))
+
+    def fail(chunk):
+        if chunk == 2:
+            raise RuntimeError("store lost")
+
+    if rows < 25:
+        with pytest.raises(RuntimeError, match="store lost"):
+            table.append(logs, order_by=order, source="s", chunk_rows=rows, before_chunk=fail)
+        held = stored(table)
+        assert [held[key] for key in sorted(held)] == names[:2 * rows]
+        check_rollup(table)
+    assert table.append(logs, order_by=order, source="s", chunk_rows=rows) == 50
+    held = stored(table)
+    assert [held[key] for key in sorted(held)] == names
+    assert sorted(held) == [n // rows * BATCH + n % rows + 1 for n in range(50)]
+    check_rollup(table)
+
+
+def days_on_disk(table):
+    return sorted(n for n in table._names(table.logs_path) if n.startswith("log_date"))
+
+
+def test_whole_expired_days_are_dropped_and_one_day_written_anew(table, make_logs):
+    table.append(make_logs(some_rows(20, 100), 3))
+    table.append(make_logs([(1, "2024-03-05T00:00:00Z"), (2, "2024-03-01T00:00:00Z")]), source="old")
+    untouched = {f for f in table.scan().inputFiles() if "2024-03-06" in f}
+    table.retain(NOW, L.RetentionOptions(days=15), bounded=False)
+    assert days_on_disk(table) == ["log_date=2024-03-05", "log_date=2024-03-06"]
+    assert untouched <= set(table.scan().inputFiles())
+    # A batch of that day without survivors is gone as well.
+    assert (1, "old") not in table.batches()
+    table.append(make_logs([(1, "2024-03-01T00:00:00Z", {"message": "late"})]))
+    assert "late" in stored(table).values()
+    check_rollup(table)
+
+
+def test_retention_reads_one_day(spark, table, make_logs, monkeypatch):
+    table.append(make_logs(some_rows(24, 100), 3))
+    scans, scan = [], table.scan
+    monkeypatch.setattr(table, "scan", lambda *a, **k: scans.append(a[:2]) or scan(*a, **k))
+    table.retain(NOW, L.RetentionOptions(days=16), bounded=False)
+    assert scans[-1][1] - scans[-1][0] == 86_400_000_000
+
+
+def test_truncate_restarts_ids(table, make_logs):
+    table.append(make_logs(some_rows(22, 30)))
+    table.append(make_logs(some_rows(23, 30)))
+    table.truncate()
+    assert stored(table) == {} and days_on_disk(table) == [] and table.batches() == []
+    check_rollup(table)
+    table.append(make_logs([(9, "2024-03-01T00:00:00Z")]))
+    assert list(stored(table)) == [1]
