@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import settled
+from ..session import delete_path
+from .steps import settled, settled_at
 from .texts import by_piece, window_hashes, windows, words_of
 
 WIDTH = 13
@@ -31,8 +32,8 @@ GRAM = 4
 BUCKET_ROWS = 200_000
 #: Windows in one packed string; a longer run is cut, which changes no bucket.
 _RUN = 64
-_PLACED = "h long, doc_id long, version int, first int, n int"
-_PACKED = "h long, doc_id long, version int, first int, packed binary"
+_PLACED = "h long, doc_id long, version long, first int, n int"
+_PACKED = "h long, doc_id long, version long, first int, packed binary"
 _FIRSTS = "h long, pid long, firsts array<long>"
 _EACH = "h long, pid long, last long, i int, w1 long, w2 long, first long"
 _KEPT = "doc_id long, text string, n_words long, n_removed long"
@@ -95,7 +96,7 @@ def _pack(batch: pa.RecordBatch, width: int) -> pa.RecordBatch | None:
     if not out[0]:
         return None
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+        pa.concat_arrays(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
         pa.concat_arrays(out[3]), pa.array(out[4], pa.binary()),
     ], ["h", "doc_id", "version", "first", "packed"])
 
@@ -200,7 +201,7 @@ def marked_windows(
     shared = settled(shared, "minimisers")
     listed = found.join(shared, "h", "left_semi").groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("h", "first", "n")).alias("places"))
-    packed = settled(
+    packed, packed_path = settled_at(
         texts.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(
             by_piece("text", lambda b: _pack(b, width)), _PACKED), "super-k-mers")
 
@@ -209,6 +210,9 @@ def marked_windows(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
     ).select("h", pid, "packed", "first", "last")
     strings = settled(strings, "strings")
+    # From here on a super-k-mer is told by its bucket and hash, and its strings are on disk once.
+    places = settled(packed.select("h", pid, "doc_id", "version", "first"), "places")
+    delete_path(docs.sparkSession, packed_path)
     large = settled(strings.groupBy("h").count().filter(F.col("count") > bucket_rows).select("h"), "large")
     small = strings.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     firsts = small.mapInArrow(lambda b: _bucketwise(b, width), _FIRSTS)
@@ -221,7 +225,7 @@ def marked_windows(
     earlier = F.filter(
         F.sequence(F.lit(0), F.size("firsts") - 1), lambda i: F.get("firsts", i) < F.col("doc_id"))
     starts = F.transform(earlier, lambda i: i + F.col("first"))
-    marked = packed.select("h", pid, "doc_id", "version", "first").join(firsts, ["h", "pid"]).select(
+    marked = places.join(firsts, ["h", "pid"]).select(
         "doc_id", "version", starts.alias("starts")).filter(F.size("starts") > 0)
     return marked.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -236,8 +240,8 @@ def remove_repeats(
     window stay whole; a row without a ``key`` stays whole and marks no other.
     Rows that share a key are one document and do not mark each other.
     """
-    version = F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int")
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), version.alias("version"), F.col(text).alias("text"))
+    slim = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     marks = marked_windows(slim, width, **options).withColumnRenamed("doc_id", "_id").withColumnRenamed("version", "_v")
     joined = slim.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_v")), "left")
     return joined.select("doc_id", "text", "starts").mapInArrow(
