@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import number_rows
 from ..session import materialize
 from .components import components
+from .steps import row_hash
 from .texts import by_piece, mixed, window_hashes, windows, words_of
 
 WIDTH = 5
@@ -336,5 +337,5 @@ def keep_one(
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text).alias("print"))
     nameless = packed.filter(F.col(f"row.{key}").isNull()).select("row")
     once = packed.withColumn("id", F.col(f"row.{key}")).filter(F.col("id").isNotNull()).groupBy("id", "print").agg(
-        F.min_by("row", F.xxhash64("row")).alias("row"))
+        F.min_by("row", row_hash(docs)).alias("row"))
     return once.join(heads, ["id", "print"], "left_semi").select("row").unionByName(nameless).select("row.*")

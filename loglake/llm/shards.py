@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
+from .steps import row_hash
 
 LEVEL_BITS = 5
 LAW = "rows"
@@ -114,8 +115,7 @@ def assign_shards(
     curve = curve_of_documents() if curve is None else curve
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), curve.alias("curve"))
-    whole = F.xxhash64("row")
-    numbered = number_rows(packed, "rank", [F.asc("curve"), F.asc(f"row.{key}"), whole], base=-1)
+    numbered = number_rows(packed, "rank", [F.asc("curve"), F.asc(f"row.{key}"), row_hash(docs).asc()], base=-1)
     total = numbered.count()
     small, larger = divmod(total, shards)
     edge = larger * (small + 1)
