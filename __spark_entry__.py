@@ -239,6 +239,19 @@ def _table_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return table.aggregate(AggregateQuery.parse({**_MONTH, "bucket": "5m", "group_by": "level"}))
 
 
+def _indexed_search(source, params: dict) -> Query:
+    """Counts by the stored table's own search, which skips the files that cannot match."""
+    query = AggregateQuery.parse({**_MONTH, **params})
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table = LogTable(configure(spark), scratch_path(spark, "table"))
+        table.append(unnumbered(source(spark, folder)))
+        table.index_search()
+        return table.aggregate(query)
+
+    return run
+
+
 def _table_retention(spark: SparkSession, folder: str) -> DataFrame:
     table = _new_table(spark, folder)
     table.retain(_NOW, _FIFTEEN_DAYS, bounded=False)
@@ -380,6 +393,9 @@ def _log_queries() -> dict[str, Query]:
         "agg_empty": _aggregate({"bucket": "1h", "service": ""}),
         "agg_from_rollup": _from_rollup,
         "agg_stored_table": _table_aggregate,
+        "agg_search_indexed": _indexed_search(
+            document_logs, {"bucket": "1h", "group_by": "service", "q": "the", "until": _END_OF_DOCUMENTS}),
+        "agg_attribute_indexed": _indexed_search(event_logs, {"bucket": "1d", "attr.k": "42"}),
         "ingest_envelope": _ingest_envelope,
         "validate_reasons": _validate_reasons,
         "ingest_accepted": _ingest_accepted,
@@ -558,6 +574,9 @@ def _log_sql() -> dict[str, str]:
         "agg_message_search": _bucket_sql(documents, "1 hour", "service", """message ILIKE '%the%'
             AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '9999-01-01'"""),
         "agg_attribute": _bucket_sql(events, "1 day", None, "k = '42'"),
+        "agg_search_indexed": _bucket_sql(documents, "1 hour", "service", """message ILIKE '%the%'
+            AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '9999-01-01'"""),
+        "agg_attribute_indexed": _bucket_sql(events, "1 day", None, "k = '42'"),
         "agg_empty": _bucket_sql(events, "1 hour", None, "service = ''"),
         "agg_from_rollup": by_service,
         "agg_stored_table": _bucket_sql(_OLDEST_300, "5 minutes", "level"),

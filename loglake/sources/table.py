@@ -4,6 +4,7 @@
 
     <root>/logs/log_date=YYYY-MM-DD/batch_id=N/source=S/*.parquet     records
     <root>/rollup/log_date=YYYY-MM-DD/batch_id=N/source=S/*.parquet   minute counts
+    <root>/search/log_date=YYYY-MM-DD/*.parquet                       bits that tell what a file may hold
 
 The partitions are all there is to know.  A batch's ids start at its number
 times 2^40, so ids are unique and grow with the batches without being looked
@@ -33,8 +34,9 @@ from ..operators.numbering import SLOT, number_slots, slot_offsets, slotted
 from ..operators.page import LogsPage, fetch_recent_page
 from ..operators.retention import Position, cutoff_micros, nth_oldest
 from ..operators.rollup import MINUTE, aggregate_rollup, build_rollup, rollup_answers
+from ..operators.search import BITS, file_bits, files_without, needed_spots
 from ..plans.predicates import day_literal, utc_day
-from ..plans.specs import AggregateQuery, LogsQuery, RetentionOptions
+from ..plans.specs import AggregateQuery, LogFilter, LogsQuery, RetentionOptions
 from ..schema import LOG_COLUMNS, ROLLUP, STORED
 from ..session import delete_path, hadoop_path, materialize, require_utc, stored_bytes
 
@@ -58,6 +60,7 @@ class LogTable:
         self.root = root.rstrip("/")
         self.logs_path = f"{self.root}/logs"
         self.rollup_path = f"{self.root}/rollup"
+        self.search_path = f"{self.root}/search"
 
     # Writing
 
@@ -154,12 +157,27 @@ class LogTable:
         position = position or Position(cutoff - 1)
         boundary = utc_day(position.micros)
         self._rewrite_day(boundary, position)
-        for path in (self.rollup_path, self.logs_path):
+        for path in (self.search_path, self.rollup_path, self.logs_path):
             for day in self._days(path):
                 if day < boundary:
                     delete_path(self.spark, self._day_path(path, day))
         return min(total, bound)
 
+    def index_search(self, since: int | None = None, until: int | None = None) -> None:
+        """Write down what the files of the days of [since, until) may hold.
+
+        Searches then skip files that cannot match.  Files written later are
+        read by every search until their day is indexed again.
+        """
+        whole = [None if bound is None else bound - bound % _DAY_MICROS for bound in (since, until)]
+        if until is not None and whole[1] < until:
+            whole[1] += _DAY_MICROS
+        (
+            file_bits(self.scan(*whole)).repartition("log_date", "file").sortWithinPartitions("log_date", "bits_row")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("log_date").parquet(self.search_path)
+        )
+
     def _rewrite_day(self, day: int, position: Position) -> None:
         """Keep what lies behind the position."""
         start = day * _DAY_MICROS
@@ -195,6 +213,23 @@ class LogTable:
         """
         return self._read(self.logs_path, STORED, "timestamp", since, until, days)
 
+    def _searcher(self, query: LogFilter, since: int | None, until: int | None) -> Callable[[DataFrame], DataFrame]:
+        """Leaves out the files of that time which, by their bits, hold no match."""
+        spots = needed_spots(self.spark, query) if self._days(self.search_path) else []
+        if not spots:
+            return lambda rows: rows
+        days = [None if bound is None else utc_day(bound) for bound in (since, None if until is None else until - 1)]
+        bits = self.spark.read.schema(BITS).parquet(self.search_path)
+        if days[0] is not None:
+            bits = bits.filter(F.col("log_date") >= day_literal(days[0]))
+        if days[1] is not None:
+            bits = bits.filter(F.col("log_date") <= day_literal(days[1]))
+        empty = files_without(bits, spots)
+        if not empty:
+            return lambda rows: rows
+        # Spark lists the files by this filter, so the others are not opened.
+        return lambda rows: rows.filter(~F.col("_metadata.file_path").isin(empty)) if rows.inputFiles() else rows
+
     def page(self, query: LogsQuery) -> LogsPage:
         """One page, newest first, reading no more of the past than it must."""
         days = self._days(self.logs_path)
@@ -207,14 +242,16 @@ class LogTable:
             end = min(end, query.until_micros)
         if query.cursor is not None:
             end = min(end, query.cursor.micros + 1)
-        return fetch_recent_page(lambda since, until: self.scan(since, until, days), query, oldest, end)
+        narrowed = self._searcher(query, oldest, end)
+        return fetch_recent_page(lambda since, until: narrowed(self.scan(since, until, days)), query, oldest, end)
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
         """Bucket counts, from the rollup whenever it holds the answer."""
         since, until = query.since_micros, query.until_micros
         if rollup_answers(query):
             return aggregate_rollup(self._rollup_rows(since, until), query)
-        return aggregate_logs(self.scan(since, until), query, partitioned=True)
+        rows = self._searcher(query, since, until)(self.scan(since, until))
+        return aggregate_logs(rows, query, partitioned=True)
 
     def rollup(self) -> DataFrame:
         """Counts per minute, service and level."""
