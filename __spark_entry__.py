@@ -43,6 +43,7 @@ from loglake.functions.isotime import iso_millis_text
 from loglake.operators.numbering import number_rows
 from loglake.operators.page import LogsPage, present, row_cursors
 from loglake.operators.retention import cutoff_micros
+from loglake.plans.cursor import decoded_cursor
 from loglake.plans.predicates import filter_predicate
 from loglake.plans.specs import LogFilter
 from loglake.session import materialize, scratch_path
@@ -136,6 +137,28 @@ def _assign_ids(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(kept, "id", [F.asc("request"), F.asc("index")])
 
 
+def _decoded_cursors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event's cursor read back, of which most are damaged in some way first."""
+    logs = event_logs(configure(spark), folder)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    case = (F.col("id") - 1) % 12
+    number = F.when(case == 4, "0").when(case == 10, "9223372036854775808").otherwise(F.col("id").cast("string"))
+    plain = F.concat(
+        F.lit('{"v":'), F.when(case == 3, "2").otherwise("1"), F.lit(',"timestamp":"'),
+        F.when(case == 5, F.replace(stamp, F.lit("Z"), F.lit(""))).otherwise(stamp), F.lit('","id":'),
+        F.when(case == 8, number).otherwise(F.concat(F.lit('"'), number, F.lit('"'))), F.lit("}"))
+    other = F.concat(F.lit('{ "id": "'), number, F.lit('", "more": [1], "timestamp": "'), stamp, F.lit('", "v": 1.0 }'))
+    payload = F.when(case == 6, F.concat(F.lit("["), plain, F.lit("]"))).when(
+        case == 7, F.concat(plain, F.lit(" 5"))).when(case == 9, other).otherwise(plain)
+    encoded = F.rtrim(F.translate(F.base64(F.encode(payload, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+    sent = F.when(case == 1, F.concat(encoded, F.lit("="))).when(case == 2, F.concat(F.lit("+"), encoded)).when(
+        case == 11, "").otherwise(encoded)
+    told = logs.select("id", decoded_cursor(sent).alias("found"))
+    return told.select(
+        "id", F.date_format("found.timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.col("found.id").alias("row_id"), F.when(F.col("found").isNull(), "Invalid cursor").alias("error"))
+
+
 def _shown(logs: DataFrame, *extra) -> DataFrame:
     """Records in output form, with all digits of the time."""
     exact = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
@@ -376,6 +399,7 @@ def _log_queries() -> dict[str, Query]:
         "page_after_cursor": _page({"cursor": encode_cursor(_CURSOR), "limit": "1000"}),
         "page_documents": _page({"attr.lang": "en", "q": "the", "limit": "50"}, document_logs),
         "page_cursor_column": lambda spark, folder: row_cursors(event_logs(configure(spark), folder)),
+        "cursor_decode_column": _decoded_cursors,
         "page_walk_all": lambda spark, folder: all_pages(event_logs(configure(spark), folder), 1000),
         "agg_1m": _aggregate({"bucket": "1m"}),
         "agg_5m": _aggregate({"bucket": "5m"}),
@@ -632,6 +656,11 @@ def _log_sql() -> dict[str, str]:
         "retention_survivors": f"{aged} ({events}) WHERE t >= {expiry}",
         "retention_bounded": f"{aged} ({_OLDEST_300})",
         "retention_table": _exact_sql(events, "", f"t >= {expiry}"),
+        "cursor_decode_column": f"""
+            SELECT id, CASE WHEN (id - 1) % 12 IN (0, 9) THEN {_MICROS.format('t')} END AS "timestamp",
+                   CASE WHEN (id - 1) % 12 IN (0, 9) THEN id END AS row_id,
+                   CASE WHEN (id - 1) % 12 NOT IN (0, 9) THEN 'Invalid cursor' END AS error
+            FROM ({events}) l""",
         "retention_both_bounds": f"""
             {_exact_sql(_OLDEST_300, "'bounded' AS run,")} UNION ALL
             {_exact_sql(events, "'all' AS run,", f"t >= {expiry}")}""",

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.isotime import iso_micros_text, parse_iso_micros
+from ..functions.isotime import iso_micros_text, iso_timestamp, parse_iso_micros
 from .errors import InvalidQuery
 
 _MAX_ID = 2 ** 63 - 1
@@ -65,6 +65,43 @@ def cursor_column(timestamp: Column, row_id: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(payload, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
+def decoded_cursor(text: Column) -> Column:
+    """struct(timestamp, id) of each cursor text, null for null and whatever ``decode_cursor`` refuses.
+
+    The same checks as there, in built-in expressions: alphabet, canonical
+    form, one JSON object and nothing behind it, version, time and id.
+    """
+    missing = F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4)).cast("int"))
+    raw = F.try_to_binary(F.concat(F.translate(text, "-_", "+/"), missing), F.lit("base64"))
+    canonical = F.rtrim(F.translate(F.base64(raw), "+/\r\n", "-_"), F.lit("=")) == text
+    return F.transform(
+        F.array(F.when(text.rlike(r"\A[A-Za-z0-9_-]+\z") & canonical, F.make_valid_utf8(raw.cast("string")))),
+        _position_of)[0]
+
+
+def _position_of(payload: Column) -> Column:
+    # Text behind a value is told by what it does inside brackets and braces.
+    listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    alone = (listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+             & F.try_parse_json(F.concat(F.lit('{"w":'), payload, F.lit("}"))).isNotNull())
+    value = F.try_parse_json(payload)
+
+    def member(name: str, kind: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", kind)
+
+    def is_kind(name: str, pattern: str) -> Column:
+        return F.coalesce(F.schema_of_variant(member(name, "variant")).rlike(pattern), F.lit(False))
+
+    instant, row_id = iso_timestamp(member("timestamp", "string")), member("id", "string")
+    number = row_id.try_cast("long")
+    acceptable = (
+        alone & F.schema_of_variant(value).startswith("OBJECT")
+        & is_kind("v", r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (member("v", "double") == 1)
+        & is_kind("timestamp", r"\ASTRING") & instant.isNotNull()
+        & is_kind("id", r"\ASTRING") & row_id.rlike(r"\A[1-9][0-9]{0,18}\z") & number.isNotNull())
+    return F.when(acceptable, F.struct(instant.alias("timestamp"), number.alias("id")))
+
+
 def _to_base64url(raw: bytes) -> str:
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 

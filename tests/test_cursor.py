@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake import Cursor, InvalidQuery, decode_cursor, encode_cursor
-from loglake.plans.cursor import cursor_column
+from loglake.plans.cursor import cursor_column, decoded_cursor
 
 AT = "2026-07-20T14:32:01.123Z"
 
@@ -67,3 +67,32 @@ def test_column_and_driver_agree(spark, make_logs):
     shown = logs.select("id", cursor_column(F.col("timestamp"), F.col("id")).alias("c")).collect()
     expected = {row_id: encode_cursor(Cursor(at, str(row_id))) for row_id, at in rows}
     assert {row["id"]: row["c"] for row in shown} == expected
+
+
+ODD_PAYLOADS = [
+    '{"v":1,"timestamp":"2026-07-20T14:32:01.123Z","id":"9007199254740993"}',
+    '{"v":1.0,"timestamp":"2026-07-20T14:32:01+05:30","id":"9223372036854775807","x":{"y":[]}}',
+    '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"9223372036854775808"}',
+    '{"v":true,"timestamp":"2026-07-20T14:32:01Z","id":"1"}', '{"v":"1","timestamp":"2026-07-20T14:32:01Z","id":"1"}',
+    '{"v":1,"timestamp":"2026-02-30T14:32:01Z","id":"1"}', '{"v":1,"timestamp":5,"id":"1"}',
+    '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"01"}', '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"1\\n"}',
+    '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"1"} 5', '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"1"},{}',
+    '{"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"1"},"z":{}', '{"v":1,"timestamp":"2026-07-20T14:32:01Z"}',
+    '{"v":1,"id":"1"}', '{"v":null,"timestamp":null,"id":null}', "[]", "{}", "5", "null", '"x"', "{", "NaN", " ",
+    '{"v":2,"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"7"}', '  {"v":1,"timestamp":"2026-07-20T14:32:01Z","id":"8"}  ']
+
+
+def test_column_decodes_what_the_function_does(spark):
+    encoded = [base64.urlsafe_b64encode(p.encode()).decode().rstrip("=") for p in ODD_PAYLOADS]
+    encoded += [base64.urlsafe_b64encode(b"\xff{}").decode().rstrip("="), "", "=", "A", "+A", "QQ==", "QR", "é", "a b",
+                encoded[0] + "=", encoded[0] + "\n", encoded[0][:-1]]
+    rows = spark.createDataFrame([(text,) for text in encoded] + [(None,)], "text string").select(
+        "text", decoded_cursor(F.col("text")).alias("found")).select(
+        "text", F.unix_micros("found.timestamp").alias("micros"), F.col("found.id").alias("id")).collect()
+    for row in rows:
+        try:
+            cursor = decode_cursor(row.text) if row.text is not None else None
+        except InvalidQuery:
+            cursor = None
+        assert (row.micros, row.id) == ((cursor.micros, int(cursor.id)) if cursor else (None, None)), row.text
+    assert sum(row.id is not None for row in rows) >= 4
