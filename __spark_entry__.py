@@ -43,7 +43,8 @@ from loglake.functions.isotime import iso_millis_text
 from loglake.operators.numbering import number_rows
 from loglake.operators.page import LogsPage, present, row_cursors
 from loglake.operators.retention import cutoff_micros
-from loglake.plans.cursor import decoded_cursor
+from loglake.plans.cursor import cursor_column, decoded_cursor
+from loglake.plans.parameters import aggregate_parameters, page_parameters
 from loglake.plans.predicates import filter_predicate
 from loglake.plans.specs import LogFilter
 from loglake.session import materialize, scratch_path
@@ -159,6 +160,123 @@ def _decoded_cursors(spark: SparkSession, folder: str) -> DataFrame:
         F.col("found.id").alias("row_id"), F.when(F.col("found").isNull(), "Invalid cursor").alias("error"))
 
 
+_SENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def _sent(case, usual: dict, changes: dict[int, dict], first: dict[int, str]):
+    """A map of parameters: the usual ones but for a row's case; ``first`` names one that comes before the others."""
+    names = list(dict.fromkeys([*usual, *(name for change in changes.values() for name in change)]))
+    texts = {}
+    for name in names:
+        found = usual.get(name, F.lit(None))
+        for number, change in changes.items():
+            if name in change:
+                found = F.when(case == number, change[name]).otherwise(found)
+        texts[name] = found
+
+    def entry(name: str, wanted):
+        return F.when(wanted & texts[name].isNotNull(), F.struct(F.lit(name).alias("name"), texts[name].alias("texts")))
+
+    leading = [entry(name, case == number) for number, name in first.items()]
+    following = [
+        entry(name, ~case.isin(*(n for n, f in first.items() if f == name)) if name in first.values() else F.lit(True))
+        for name in names]
+    return F.map_from_entries(F.filter(F.array(*leading, *following), lambda e: e.isNotNull()))
+
+
+def _texts(*values):
+    return F.array(*(F.lit(v) if isinstance(v, str) else v for v in values)).cast("array<string>")
+
+
+def _asked(logs: DataFrame, told, *columns) -> DataFrame:
+    """Error or reading of each request in comparable form."""
+    read = logs.select("id", told.alias("told")).select("id", "told.error", "told.query.*")
+    return read.select(
+        "id", "error", "service", "level", "q", *columns,
+        *(F.date_format(name, _SENT).alias(name) for name in ("since", "until")),
+        F.to_json("attributes").alias("attributes"))
+
+
+def _page_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """One request for a page per event, most of them spoilt in one way or another."""
+    logs = event_logs(configure(spark), folder)
+    case, at = (F.col("id") - 1) % 21, F.col("timestamp")
+    since, k = F.date_format(at, _SENT), F.col("attributes")["k"]
+    later = F.timestamp_add("HOUR", F.lit(1), at)
+    cursor = cursor_column(at, F.col("id"))
+    usual = {
+        "service": _texts(F.col("service")), "level": _texts(F.col("level")), "since": _texts(since),
+        "until": _texts(F.date_format(later, _SENT)), "q": _texts("at 50%"),
+        "limit": _texts(F.concat(F.lit("00"), (1 + F.col("id") % 1000).cast("string"))), "cursor": _texts(cursor),
+        "attr.k": _texts(k, "x"),
+    }
+    ahead = F.replace(F.date_format(F.timestamp_add("HOUR", F.lit(3), at), _SENT), F.lit("Z"), F.lit("+02:00"))
+    nothing = {name: F.lit(None) for name in usual}
+    given = _sent(case, usual, {
+        1: {"service": _texts("a", "b")}, 2: {"level": _texts("fatal")}, 3: {"level": F.array().cast("array<string>")},
+        4: {"since": _texts("yesterday")}, 5: {"until": _texts(since)}, 6: {"limit": _texts("0")},
+        7: {"limit": _texts("1001")}, 8: {"limit": _texts("7.25")},
+        9: {"cursor": _texts(F.concat(cursor, F.lit("=")))}, 10: {"attr.": _texts("x")},
+        11: {"attr.k": F.array().cast("array<string>")}, 12: {"colour": _texts("red")},
+        13: {"colour": _texts("red", "blue")}, 14: {"until": _texts(ahead)},
+        15: {"level": _texts("fatal"), "limit": _texts("0")}, 16: {"level": _texts("fatal"), "limit": _texts("0")},
+        17: {"q": _texts(F.lit(None))}, 18: nothing, 20: {"until": _texts(since), "limit": _texts("0")},
+    }, {16: "limit"})
+    told = page_parameters(F.when(case != 19, given))
+    return _asked(
+        logs, told, "limit", F.date_format("cursor.timestamp", _SENT).alias("cursor_time"),
+        F.col("cursor.id").alias("cursor_id"))
+
+
+def _aggregate_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """One request for counts per event, most of them spoilt in one way or another."""
+    logs = event_logs(configure(spark), folder)
+    case, since = (F.col("id") - 1) % 14, F.date_format("timestamp", _SENT)
+    usual = {
+        "level": _texts(F.col("level")), "since": _texts(since),
+        "until": _texts(F.date_format(F.timestamp_add("HOUR", F.lit(1), F.col("timestamp")), _SENT)),
+        "bucket": _texts("5m"), "group_by": _texts("service"), "attr.k": _texts(F.col("attributes")["k"]),
+    }
+    gone = F.lit(None)
+    given = _sent(case, usual, {
+        1: {"group_by": gone}, 2: {"bucket": gone}, 3: {"bucket": _texts("1m", "5m")}, 4: {"bucket": _texts("2m")},
+        5: {"group_by": _texts("message")}, 6: {"bucket": _texts("2m"), "limit": _texts("10")}, 7: {"since": gone},
+        8: {"until": gone}, 9: {"level": _texts("bad")}, 10: {"until": _texts(since)},
+        11: {"level": _texts("bad"), "bucket": _texts("2m")}, 12: {"level": _texts("bad"), "group_by": _texts("message")},
+        13: {"since": gone, "q": _texts("a", "b")},
+    }, {})
+    return _asked(logs, aggregate_parameters(given), "bucket", "group_by")
+
+
+def _walk_while_writing(spark: SparkSession, folder: str) -> DataFrame:
+    """A walk by pages of 500 over what was stored when it began, while as many records arrive.
+
+    The first pages are read by cursor, with records of all times stored in
+    between; the rest of the walk is numbered at once.
+    """
+    table = LogTable(configure(spark), scratch_path(spark, "table"))
+    logs, odd = event_logs(spark, folder), F.col("id") % 2 == 1
+    in_time = (F.asc("timestamp"), F.asc("message"))
+    table.append(unnumbered(logs.filter(odd)), order_by=in_time)
+    begun = table.snapshot()
+    params, rows, cursor, read = {"limit": "500"}, [], None, 0
+    for part in range(2):
+        page = table.page(LogsQuery.parse(params if cursor is None else {**params, "cursor": cursor}), begun)
+        rows += [(read, place, log["id"], log["timestamp"]) for place, log in enumerate(page.logs)]
+        read, cursor = read + 1, page.next_cursor
+        table.append(unnumbered(logs.filter(~odd & (F.floor(F.col("id") / 2) % 2 == part))), order_by=in_time)
+        if cursor is None:
+            break
+    first = spark.createDataFrame(rows, "page long, position long, id string, timestamp string")
+    if cursor is None:
+        return first
+    query = LogsQuery.parse({**params, "cursor": cursor})
+    rest = table.scan(snapshot=begun).filter(filter_predicate(query))
+    millis = F.concat(F.substring("timestamp", 1, 23), F.lit("Z")).alias("timestamp")
+    return first.unionByName(all_pages(rest, query.limit).select(
+        (F.col("page") + read).alias("page"), "position", "id", millis))
+
+
 def _shown(logs: DataFrame, *extra) -> DataFrame:
     """Records in output form, with all digits of the time."""
     exact = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
@@ -400,6 +518,9 @@ def _log_queries() -> dict[str, Query]:
         "page_documents": _page({"attr.lang": "en", "q": "the", "limit": "50"}, document_logs),
         "page_cursor_column": lambda spark, folder: row_cursors(event_logs(configure(spark), folder)),
         "cursor_decode_column": _decoded_cursors,
+        "params_page": _page_parameters,
+        "params_aggregate": _aggregate_parameters,
+        "page_walk_arrivals": _walk_while_writing,
         "page_walk_all": lambda spark, folder: all_pages(event_logs(configure(spark), folder), 1000),
         "agg_1m": _aggregate({"bucket": "1m"}),
         "agg_5m": _aggregate({"bucket": "5m"}),
@@ -542,6 +663,21 @@ _BOUNDARY_REASONS = """CASE (id - 1) % 12
     WHEN 6 THEN 'invalid level: ''[object Object]'''
     WHEN 9 THEN 'attributes must be a flat object with string, number, or boolean values'
     ELSE 'accepted' END"""
+_PAGE_ERRORS = """CASE (id - 1) % 21
+    WHEN 1 THEN 'Invalid service parameter' WHEN 2 THEN 'Invalid level' WHEN 3 THEN 'Invalid level parameter'
+    WHEN 4 THEN 'Invalid since' WHEN 5 THEN 'until must be greater than since' WHEN 6 THEN 'Invalid limit'
+    WHEN 7 THEN 'Invalid limit' WHEN 8 THEN 'Invalid limit' WHEN 9 THEN 'Invalid cursor'
+    WHEN 10 THEN 'Invalid attribute filter' WHEN 11 THEN 'Invalid attribute filter'
+    WHEN 12 THEN 'Invalid query parameter' WHEN 13 THEN 'Invalid colour parameter' WHEN 15 THEN 'Invalid level'
+    WHEN 16 THEN 'Invalid limit' WHEN 17 THEN 'Invalid q parameter' WHEN 19 THEN 'Invalid query parameters'
+    WHEN 20 THEN 'Invalid limit' END"""
+_AGGREGATE_ERRORS = """CASE (id - 1) % 14
+    WHEN 2 THEN 'Missing or invalid bucket parameter' WHEN 3 THEN 'Missing or invalid bucket parameter'
+    WHEN 4 THEN 'Invalid bucket parameter' WHEN 5 THEN 'Invalid group_by parameter'
+    WHEN 6 THEN 'Invalid query parameter' WHEN 7 THEN 'Missing since parameter' WHEN 8 THEN 'Missing until parameter'
+    WHEN 9 THEN 'Invalid level' WHEN 10 THEN 'until must be greater than since'
+    WHEN 11 THEN 'Invalid bucket parameter' WHEN 12 THEN 'Invalid group_by parameter'
+    WHEN 13 THEN 'Invalid q parameter' END"""
 _COMBINED_SQL = """service = 'svc-3' AND level = 'error' AND t >= TIMESTAMP '2024-01-03 06:00:00'
     AND t < TIMESTAMP '2024-01-28 16:30:00' AND message ILIKE '%BY USER%' ESCAPE '\\'"""
 _NUMBERED_SQL = "row_number() OVER (ORDER BY t, message) AS id,"
@@ -661,6 +797,32 @@ def _log_sql() -> dict[str, str]:
                    CASE WHEN (id - 1) % 12 IN (0, 9) THEN id END AS row_id,
                    CASE WHEN (id - 1) % 12 NOT IN (0, 9) THEN 'Invalid cursor' END AS error
             FROM ({events}) l""",
+        "params_page": f"""
+            SELECT id, e AS error, CASE WHEN full_row THEN service END AS service,
+                   CASE WHEN full_row THEN level END AS level, CASE WHEN full_row THEN 'at 50%' END AS q,
+                   CAST(CASE WHEN full_row THEN 1 + id % 1000 WHEN c = 18 THEN 100 END AS INTEGER) AS "limit",
+                   CASE WHEN full_row THEN {_MICROS.format('t')} END AS cursor_time,
+                   CASE WHEN full_row THEN id END AS cursor_id,
+                   CASE WHEN full_row THEN {_MICROS.format('t')} END AS since,
+                   CASE WHEN full_row THEN {_MICROS.format("t + INTERVAL '1 hour'")} END AS until,
+                   CASE WHEN full_row THEN '[{{"key":"k","text":"' || k || '"}},{{"key":"k","text":"x"}}]'
+                        WHEN c = 18 THEN '[]' END AS attributes
+            FROM (SELECT *, (id - 1) % 21 AS c, (id - 1) % 21 IN (0, 14) AS full_row,
+                         {_PAGE_ERRORS} AS e FROM ({events}) l)""",
+        "params_aggregate": f"""
+            SELECT id, e AS error, CAST(NULL AS VARCHAR) AS service, CASE WHEN c < 2 THEN level END AS level,
+                   CAST(NULL AS VARCHAR) AS q, CASE WHEN c < 2 THEN '5m' END AS bucket,
+                   CASE WHEN c = 0 THEN 'service' END AS group_by,
+                   CASE WHEN c < 2 THEN {_MICROS.format('t')} END AS since,
+                   CASE WHEN c < 2 THEN {_MICROS.format("t + INTERVAL '1 hour'")} END AS until,
+                   CASE WHEN c < 2 THEN '[{{"key":"k","text":"' || k || '"}}]' END AS attributes
+            FROM (SELECT *, (id - 1) % 14 AS c, {_AGGREGATE_ERRORS} AS e FROM ({events}) l)""",
+        "page_walk_arrivals": f"""
+            SELECT (r - 1) // 500 AS page, (r - 1) % 500 AS position, CAST(n AS VARCHAR) AS id,
+                   {_MILLIS.format('t')} AS "timestamp"
+            FROM (SELECT *, row_number() OVER (ORDER BY t DESC, n DESC) AS r
+                  FROM (SELECT t, row_number() OVER (ORDER BY t, message) AS n
+                        FROM ({events}) l WHERE id % 2 = 1))""",
         "retention_both_bounds": f"""
             {_exact_sql(_OLDEST_300, "'bounded' AS run,")} UNION ALL
             {_exact_sql(events, "'all' AS run,", f"t >= {expiry}")}""",

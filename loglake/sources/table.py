@@ -205,13 +205,25 @@ class LogTable:
 
     def scan(
         self, since: int | None = None, until: int | None = None, days: list[int] | None = None,
+        snapshot: int | None = None,
     ) -> DataFrame:
         """The records, optionally of [since, until) in microseconds.
 
         Only the date directories in range are listed and read; ``days`` are
-        those on disk, if known already.
+        those on disk, if known already.  A ``snapshot`` leaves out the batches
+        stored after it; as they are partitions, none of their files is read.
         """
-        return self._read(self.logs_path, STORED, "timestamp", since, until, days)
+        rows = self._read(self.logs_path, STORED, "timestamp", since, until, days)
+        return rows if snapshot is None else rows.filter(F.col("batch_id") <= snapshot)
+
+    def snapshot(self) -> int:
+        """What is stored now, for reads that must not see records which arrive later; -1 for an empty table.
+
+        Later batches have higher numbers.  Retention and truncation still
+        take records away from a snapshot, and free the last batch's number
+        once nothing of it is left.
+        """
+        return max((number for number, _ in self.batches()), default=-1)
 
     def _searcher(self, query: LogFilter, since: int | None, until: int | None) -> Callable[[DataFrame], DataFrame]:
         """Leaves out the files of that time which, by their bits, hold no match."""
@@ -230,8 +242,13 @@ class LogTable:
         # Spark lists the files by this filter, so the others are not opened.
         return lambda rows: rows.filter(~F.col("_metadata.file_path").isin(empty)) if rows.inputFiles() else rows
 
-    def page(self, query: LogsQuery) -> LogsPage:
-        """One page, newest first, reading no more of the past than it must."""
+    def page(self, query: LogsQuery, snapshot: int | None = None) -> LogsPage:
+        """One page, newest first, reading no more of the past than it must.
+
+        Cursors alone never show a record twice; with the ``snapshot`` taken
+        before the first page, late records that arrive during a walk stay out
+        of all its pages instead of showing in those not read yet.
+        """
         days = self._days(self.logs_path)
         if not days:
             return LogsPage([], None)
@@ -243,7 +260,8 @@ class LogTable:
         if query.cursor is not None:
             end = min(end, query.cursor.micros + 1)
         narrowed = self._searcher(query, oldest, end)
-        return fetch_recent_page(lambda since, until: narrowed(self.scan(since, until, days)), query, oldest, end)
+        return fetch_recent_page(
+            lambda since, until: narrowed(self.scan(since, until, days, snapshot)), query, oldest, end)
 
     def aggregate(self, query: AggregateQuery) -> DataFrame:
         """Bucket counts, from the rollup whenever it holds the answer."""

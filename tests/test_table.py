@@ -282,3 +282,21 @@ def test_truncate_restarts_ids(table, make_logs):
     check_rollup(table)
     table.append(make_logs([(9, "2024-03-01T00:00:00Z")]))
     assert list(stored(table)) == [1]
+
+
+def test_a_walk_over_a_snapshot_shows_nothing_that_arrives_meanwhile(table, make_logs):
+    assert table.snapshot() == -1
+    table.append(make_logs(some_rows(5, 90), 3))
+    begun, cursor, seen, late = table.snapshot(), None, [], 1000
+    expected = [(r["timestamp"], r["id"]) for r in table.scan().orderBy(F.desc("timestamp"), F.desc("id")).collect()]
+    while True:
+        params = {"limit": "40"} if cursor is None else {"limit": "40", "cursor": cursor}
+        page = table.page(L.LogsQuery.parse(params), begun)
+        seen += [int(log["id"]) for log in page.logs]
+        # Newer, older and equal times alike.
+        table.append(make_logs(some_rows(6, 30, first=late) + [(late + 99, "2025-01-01T00:00:00Z")], 2))
+        cursor, late = page.next_cursor, late + 100
+        if cursor is None:
+            break
+    assert seen == [row_id for _, row_id in expected]
+    assert table.scan(snapshot=begun).count() == 90 and table.scan().count() > 150
