@@ -2,12 +2,13 @@
 
 Each source gets a target of words from its weight, at most ``max_copies``
 times what it holds, the excess being reshared.  A document's expected copies
-are its source's target over the source's words, times its own relative
-weight.  The whole part is certain; the fraction is its inclusion probability
-p for one more copy.  Documents are ranked by u/(1-u) over p/(1-p), u being a
-number drawn from the document id, and taken in that order until the source's
-remaining words are filled: a fixed-size sample of unequal probabilities whose
-size is counted in words.
+are its own weight times its source's rate, at most ``max_copies``; the rate is
+such that the words expected add up to the target.  The whole part is certain;
+the fraction is its inclusion probability p for one more copy.  Documents are
+ranked by u/(1-u) over p/(1-p), u being a number drawn from the document's id
+and text, and taken in that order until the source's remaining words are
+filled: a fixed-size sample of unequal probabilities whose size is counted in
+words.
 """
 
 from __future__ import annotations
@@ -15,17 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import delete_path, materialize
+from .steps import row_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2
 #: Ranks are counted in this many bins before the last bin is ordered exactly.
 BINS = 4096
+#: Weights of documents count in this many steps to the doubling.
+STEPS = 8
 #: Sources (of some hundred bytes each) whose facts are broadcast.
 BROADCAST_SOURCES = 50_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _ODD = 1e-9
+#: The order in which a source's documents are taken; all equal only for equal rows.
+_RANK = ("pareto", "key", "size", "hash")
 
 
 def word_count(text: Column) -> Column:
@@ -33,9 +39,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column) -> Column:
-    """A number strictly between 0 and 1 that depends on the key alone."""
-    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 13)
+def length_preference(size: Column) -> Column:
+    """Texts of under 64 words weigh half, of 512 and more double."""
+    return F.when(size < 64, 0.5).when(size < 512, 1.0).otherwise(2.0)
+
+
+def draw(key: Column, text: Column) -> Column:
+    """A number strictly between 0 and 1 that depends on the key and the text alone."""
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(" "), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(named), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -78,47 +90,84 @@ def mix(
 ) -> DataFrame:
     """Every row of ``docs`` as ``row``, with size, source_size, target and copies.
 
-    ``weight`` prefers documents inside their source (positive; null counts as
-    1).  Null text has size 0.  Rows with equal keys share their draw; rows
-    that tie at the end of a sample are all taken.  A source of no words, and
-    an empty table, take nothing beyond certain copies.  Extra columns travel
-    inside ``row`` and cannot clash.
+    ``weight`` prefers documents inside their source, by steps of 2^(1/8);
+    null and what is not a positive number count as 1.  Null text has size 0.
+    Rows that are equal in all columns share their draw and stand together in
+    the order; where a sample ends among them, as many are taken as it has room
+    for.  Rows of one key with different texts have draws of their own.  A
+    source of no words, and an empty table, take nothing beyond certain copies.
+    Extra columns travel inside ``row`` and cannot clash.
 
     Only (source, bin) sums and the documents of one bin per source are
     shuffled; a source that holds a third of all rows is spread over ``BINS``
-    bins, with map-side sums.
+    bins, with map-side sums, and equal rows are counted before they are ordered.
     """
-    preference = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))
+    spark = docs.sparkSession
     facts = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col("source"),
-        F.col(key).alias("key"),
+        F.col(f"`{key}`").alias("key"),
         word_count(F.col("text")).alias("size"),
-        preference.alias("preference"),
-        draw(F.col(key)).alias("u"),
-    )
+        _stepped(F.lit(None) if weight is None else weight).alias("preference"),
+        draw(F.col(f"`{key}`"), F.col("text")).alias("u"),
+    ).withColumn("hash", row_hash(docs))
     # Counting words is the dear part, and the counts are needed three times.
-    slim, _ = materialize(facts.drop("row"), "mix")
-    rates, _ = materialize(_rates(slim, weights, share, max_copies), "rates")
+    slim, slim_path = materialize(facts.drop("row"), "mix")
+    rates, rates_path = materialize(_rates(slim, weights, share, max_copies), "rates")
     bounds, _ = materialize(_bounds(_ranked(slim, _per_source(rates), max_copies)), "bounds")
+    for path in (slim_path, rates_path):
+        delete_path(spark, path)
     taken = _ranked(facts, _per_source(bounds), max_copies)
-    rank = F.struct("pareto", "key", "size")
-    more = (F.col("bin") < F.col("last_bin")) | (
-        (F.col("bin") == F.col("last_bin")) & (rank <= F.col("last")))
-    copies = F.col("certain") + F.coalesce(more, F.lit(False)).cast("long")
+    sooner = (F.col("bin") < F.col("last_bin")) | (
+        (F.col("bin") == F.col("last_bin")) & (F.struct(*_RANK) < F.col("last")))
+    tied = F.coalesce(F.struct(*_RANK) == F.col("last"), F.lit(False))
+    more = F.coalesce(sooner, F.lit(False))
+    if not bounds.filter(F.col("room") < F.col("tied")).limit(1).count():
+        return _copied(taken, more | tied)
+    ends, _ = materialize(taken.filter(tied).sortWithinPartitions("source").withColumn(
+        "slot", F.monotonically_increasing_id()), "ties")
+    return _copied(taken.filter(~tied), more).unionByName(_copied(_numbered_ties(ends), F.col("place") < F.col("room")))
+
+
+def _copied(taken: DataFrame, more: Column) -> DataFrame:
+    copies = F.col("certain") + more.cast("long")
     return taken.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
+def _stepped(weight: Column) -> Column:
+    exponent = F.round(F.log2(weight.cast("double")) * STEPS) / STEPS
+    return F.coalesce(F.when((weight > 0) & (weight < float("inf")), F.pow(F.lit(2.0), exponent)), F.lit(1.0))
+
+
+def _numbered_ties(ends: DataFrame) -> DataFrame:
+    """``place`` counts the equal rows at the end of each source's sample from 0, task by task."""
+    task = F.shiftright("slot", 33)
+    runs = ends.groupBy(F.col("source").alias("_s"), task.alias("_t")).agg(
+        F.min("slot").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    placed = ends.join(runs, F.col("source").eqNullSafe(F.col("_s")) & (task == F.col("_t")))
+    return placed.withColumn("place", F.col("_before") + F.col("slot") - F.col("_first"))
+
+
 def _rates(slim: DataFrame, weights, share, max_copies) -> DataFrame:
-    totals = slim.groupBy("source").agg(
-        F.sum("size").alias("source_size"),
-        F.sum(F.col("size") * F.col("preference")).alias("preferred"),
-    )
-    targets = source_targets(totals, weights, share, max_copies)
-    preferred = totals.select(F.col("source").alias("_s"), "preferred")
-    joined = targets.join(preferred, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rate = F.when(F.col("preferred") > 0, F.col("target") / F.col("preferred")).otherwise(0.0)
-    return joined.withColumn("rate", rate)
+    """Targets, and copies per weight: documents at ``max_copies`` leave their excess to the others.
+
+    With weights from the highest down, the rate is the largest of those
+    reached after the first k are at their limit, as for the targets.
+    """
+    levels = slim.groupBy("source", "preference").agg(F.sum("size").alias("words"))
+    targets = source_targets(
+        levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_copies)
+    named = levels.withColumnRenamed("source", "_s")
+    joined = targets.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    falling = Window.partitionBy("source").orderBy(F.desc("preference"))
+    capped = F.sum(F.col("words") * float(max_copies)).over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    preferred = F.sum(F.col("words") * F.col("preference")).over(
+        falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rate = F.when(preferred > 0, (F.col("target") - F.coalesce(capped, F.lit(0.0))) / preferred)
+    return joined.withColumn("rate", rate).groupBy("source", "source_size", "target").agg(
+        F.coalesce(F.max("rate"), F.lit(0.0)).alias("rate"))
 
 
 def _per_source(facts: DataFrame) -> DataFrame:
@@ -148,7 +197,7 @@ def _ranked(slim: DataFrame, rates: DataFrame, max_copies: int) -> DataFrame:
 
 
 def _bounds(ranked: DataFrame) -> DataFrame:
-    """Per source: its rate, the bin in which its words are filled, the last rank taken."""
+    """Per source: its rate, the bin in which its words are filled, the last rank taken and how many of its rows."""
     per_bin = ranked.groupBy("source", "source_size", "target", "rate", "bin").agg(
         F.sum("size").alias("words"), F.sum(F.col("size") * F.col("certain")).alias("surely"))
     source = Window.partitionBy("source")
@@ -166,17 +215,18 @@ def _bounds(ranked: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(short, F.col("filled"))), F.lit(0)).alias("before"),
     ).withColumn("last_bin", F.coalesce("cut_bin", "next_bin"))
     edge = bounds.select(F.col("source").alias("_e"), F.col("last_bin").alias("_b"), "rest", "before")
-    close = ranked.select("source", "bin", "pareto", "key", "size").join(
+    close = ranked.select("source", "bin", *_RANK).join(
         edge, F.col("source").eqNullSafe(F.col("_e")) & (F.col("bin") == F.col("_b")))
-    so_far = F.sum("size").over(Window.partitionBy("source").orderBy("pareto", "key", "size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    # Half of the last document decides whether taking it comes nearer.
-    near = close.withColumn("so_far", so_far).filter(
-        F.col("before") + F.col("so_far") - F.col("size") / 2 < F.col("rest"))
-    last = near.groupBy(F.col("source").alias("_e")).agg(
-        F.max(F.struct("pareto", "key", "size")).alias("last"))
+    equal = close.groupBy("source", "rest", "before", *_RANK).agg(F.count("*").alias("tied"))
+    sooner = Window.partitionBy("source").orderBy(*_RANK).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("tied")).over(sooner), F.lit(0))
+    # A row is taken if at least half of it fits.
+    fitting = F.when(F.col("size") > 0, F.ceil(F.col("left") / F.col("size") + 0.5) - 1).otherwise(F.col("tied"))
+    near = equal.withColumn("left", left).filter(F.col("size") / 2 < F.col("left"))
+    last = near.groupBy(F.col("source").alias("_e")).agg(F.max(F.struct(
+        F.struct(*_RANK).alias("last"), F.least(fitting, F.col("tied")).alias("room"), "tied")).alias("end"))
     return bounds.join(last, F.col("source").eqNullSafe(F.col("_e")), "left").select(
-        "source", "source_size", "target", "rate", "last_bin", "last")
+        "source", "source_size", "target", "rate", "last_bin", "end.last", "end.room", "end.tied")
 
 
 def expand_copies(mixed: DataFrame) -> DataFrame:

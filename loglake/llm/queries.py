@@ -74,7 +74,8 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, folder, "documents"))
+    documents = _table(spark, folder, "documents")
+    mixed = mixing.mix(documents, weight=mixing.length_preference(mixing.word_count(F.col("text"))))
     return mixed.select(
         "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -85,13 +85,16 @@ LINE_DEDUP = """
 """
 
 PARETO_MIX = """
-    WITH docs AS (
+    WITH read AS (
         SELECT doc_id, source,
                coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
-               (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
+               (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')), 1, 13) AS BIGINT)
                 + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
         FROM documents
     ),
+    docs AS (
+        SELECT *, CASE WHEN size < 64 THEN 0.5::DOUBLE WHEN size < 512 THEN 1::DOUBLE ELSE 2::DOUBLE END AS w FROM read
+    ),
     weighed AS (
         SELECT source, source_size, CAST(2 * source_size AS DOUBLE) AS cap,
                [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][
@@ -109,10 +112,21 @@ PARETO_MIX = """
     targets AS (
         SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels
     ),
+    classes AS (SELECT source, w, CAST(sum(size) AS DOUBLE) AS words FROM docs GROUP BY source, w),
+    reached AS (
+        SELECT t.*, (t.target - coalesce(sum(2 * words) OVER (PARTITION BY t.source ORDER BY w DESC
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / nullif(sum(words * w) OVER (PARTITION BY t.source ORDER BY w DESC
+                                                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate
+        FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+    ),
+    rates AS (
+        SELECT source, source_size, target, coalesce(max(rate), 0) AS rate FROM reached
+        GROUP BY source, source_size, target
+    ),
     ranked AS (
-        SELECT d.doc_id, d.size, d.u, t.*,
-               least(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END, 2) AS e
-        FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+        SELECT d.doc_id, d.size, d.u, t.*, least(t.rate * d.w, 2) AS e
+        FROM docs d JOIN rates t ON d.source IS NOT DISTINCT FROM t.source
     ),
     odds AS (
         SELECT *, CAST(floor(e) AS BIGINT) AS certain,

@@ -89,6 +89,42 @@ def test_weight_prefers_documents(documents):
     assert early > 1.8 * sum(r["copies"] for r in got if r["doc_id"] >= 200) > 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equal_rows_fill_a_target_to_the_row(documents, key, parts):
+    rows = [(key, "a b c d e f g h i j", "en", ("s", None)[n % 3 == 0]) for n in range(900)]
+    for r in mixed(documents(rows, parts)):
+        assert r["copies"] in (1, 2)
+    taken = defaultdict(int)
+    facts = {}
+    for r in mixed(documents(rows, parts), share=0.75):
+        taken[r["source"]] += r["size"] * r["copies"]
+        facts[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target) <= 5 for s, target in facts.items()) and len(facts) == 2
+
+
+def test_texts_of_one_key_have_draws_of_their_own(documents, words):
+    rows = [(5, " ".join(words(10)) + f" {n}", "en", "s") for n in range(400)]
+    got = mixed(documents(rows), share=0.5)
+    assert abs(sum(r["size"] * r["copies"] for r in got) - got[0]["target"]) <= 6
+
+
+@pytest.mark.parametrize("share", [0.3, 0.9, 1.5, 1.9, 2.0])
+def test_targets_are_met_whatever_the_weights(documents, share):
+    rows = [(n, "a " * (1 + n % 50), "en", "s") for n in range(700)]
+    odd = F.when(F.col("doc_id") % 4 == 0, 40.0).when(F.col("doc_id") % 4 == 1, -3.0).when(F.col("doc_id") % 4 == 2, 0.1)
+    got = mixed(documents(rows), share=share, weight=odd)
+    assert abs(sum(r["size"] * r["copies"] for r in got) - got[0]["target"]) <= 25
+    assert all(0 <= r["copies"] <= 2 for r in got)
+    heavy = [r["copies"] for r in got if r["doc_id"] % 4 == 0]
+    assert sum(heavy) / len(heavy) >= min(2, 3 * share) * 0.85
+
+
+def test_length_preference(spark):
+    sizes = spark.createDataFrame([(0,), (63,), (64,), (511,), (512,)], "n long")
+    assert [r[0] for r in sizes.select(mixing.length_preference(F.col("n"))).collect()] == [0.5, 0.5, 1.0, 1.0, 2.0]
+
+
 def test_expanded_copies_are_whole_rows(documents):
     docs = documents([(n, "one two", "en", "s") for n in range(20)])
     assert mixing.expand_copies(mixing.mix(docs)).columns == docs.columns
