@@ -219,3 +219,18 @@ def test_token_table_against_brute_force(spark, documents, words):
     assert tokens.quantile(table, 0.5) == sorted(lengths)[len(lengths) // 2 - 1]
     empty = tokens.context_table(tokens.length_histogram(documents([])))
     assert empty.count() == 0 and tokens.quantile(empty, 0.5) is None
+
+
+def test_leaks_of_rows_without_keys_in_many_blocks(spark):
+    items = [(n if n % 3 else None, " ".join(f"w{n}x{k * k}" for k in range(12 + n))) for n in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    docs = spark.createDataFrame(
+        [(None, f"before {items[n][1]} behind", {"a": n}, n) for n in range(9)]
+        + [(None, None, None, -1), (7, "", {}, -2), (None, "clean text of no item at all", {"b": 1}, -3)],
+        "doc_id long, text string, _found map<string, int>, item_id int")
+    got = decontaminate.contaminated(docs, benchmark, block_chars=150, keyless=True).collect()
+    assert sorted(repr(r["item_id"]) for r in got) == sorted(repr(item) for item, _ in items)
+    assert all(r["doc_id"] is None and r["edits"] == 0 for r in got)
+    for size in (150, 10 ** 6):
+        kept = decontaminate.drop_contaminated(docs, benchmark, block_chars=size, keyless=True)
+        assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [-3, -2, -1]
