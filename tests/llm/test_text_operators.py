@@ -47,7 +47,7 @@ def damaged(text, edits, rng):
 
 def test_leaks_against_brute_force(spark, documents, words):
     rng = random.Random(9)
-    items = [(n, " ".join(words(rng.randrange(8, 26)))) for n in range(25)] + [(40, "too short"), (41, None), (42, "")]
+    items = [(n, " ".join(words(rng.randrange(8, 26)))) for n in range(25)] + [(40, "tooshort"), (41, None), (42, "")]
     rows = []
     for n in range(120):
         body = " ".join(words(rng.randrange(60)))
@@ -234,3 +234,24 @@ def test_leaks_of_rows_without_keys_in_many_blocks(spark):
     for size in (150, 10 ** 6):
         kept = decontaminate.drop_contaminated(docs, benchmark, block_chars=size, keyless=True)
         assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [-3, -2, -1]
+
+
+def test_short_items_occur_as_whole_words(spark, documents):
+    items = [(1, "Too short!"), (2, "too  short"), (3, None), (4, "?!"), (5, "a b"), (None, "way too"), (6, "\u00e9t\u00e9"),
+             (7, "an item that is long enough to be aligned")]
+    rows = [(1, "Way TOO -- short; too short"), (2, "too shorter"), (3, "a b a b a"), (4, "ab"), (5, None), (6, ""),
+            (7, "un \u00c9T\u00c9 chaud"), (8, "x " * 200_000 + "too short"), (9, "too"), (9, "too short"), (9, "too short")]
+    docs, benchmark = documents(rows), spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for n, body in rows:
+        plain = f" {decontaminate.normalised(body)} "
+        for key, item in items[:-1]:
+            short = decontaminate.normalised(item)
+            if short and key is not None and f" {short} " in plain:
+                expected.append((n, key, plain.index(f" {short} "), len(short), 0))
+    got = decontaminate.contaminated(docs, benchmark, block_chars=20).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) == 10
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 9]
+    keyless = decontaminate.contaminated(docs, benchmark, keyless=True).filter("item_id IS NULL").collect()
+    assert [(r["doc_id"], r["start"]) for r in keyless] == [(1, 0)]
