@@ -47,7 +47,7 @@ def op3_token_histogram(spark: SparkSession, folder: str) -> DataFrame:
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     facts = documents.select(
-        "doc_id", shards.curve_of_documents().alias("at"), shards.text_size(F.col("text")).alias("size"),
+        "doc_id", shards.curve_of_documents(documents).alias("at"), shards.text_size(F.col("text")).alias("size"),
         F.crc32("text").alias("text_crc32"))
     placed = shards.assign_shards(facts, 24, F.col("at"))
     return placed.select(

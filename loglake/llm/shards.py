@@ -12,13 +12,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_rows
+from ..operators.numbering import SLOT, number_rows, slotted
+from ..session import delete_path, materialize
 from .steps import row_hash
 
 LEVEL_BITS = 5
+#: Characters of a category by which it is ordered; values equal so far share a level.
+PREFIX = 64
 LAW = "rows"
 
 
@@ -71,10 +74,45 @@ def hilbert_index(levels: Sequence[Column], bits: int = LEVEL_BITS) -> Column:
     return F.aggregate(order, start, descend, lambda at: at["index"])
 
 
-def category_level(value: Column, bits: int = LEVEL_BITS) -> Column:
-    """Equal values share a level; null has level 0 to itself."""
-    spread = F.pmod(F.crc32(value.cast("string")), F.lit((1 << bits) - 1)) + 1
-    return F.coalesce(spread, F.lit(0)).cast("int")
+def _category(value: Column) -> Column:
+    return F.substring(value.cast("string"), 1, PREFIX)
+
+
+def category_starts(docs: DataFrame, value: Column, bits: int = LEVEL_BITS) -> list[str]:
+    """The first value of each level of a category, in code point order.
+
+    Few values have a level each; otherwise a level takes on values until it
+    has its even share of all rows, so levels are ranges and a hot value has
+    one to itself.  Values are counted first, and the counts added up within
+    tasks of a range sort and then over tasks.
+    """
+    levels = (1 << bits) - 1
+    counted = docs.select(_category(value).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(
+        F.count("*").alias("rows"))
+    stored, path = materialize(slotted(counted, [F.col("value")]), "categories")
+    values, total = stored.agg(F.count("*"), F.sum("rows")).first()
+    if values <= levels:
+        starts = stored.select("value")
+    else:
+        stored = stored.withColumn("task", F.shiftright(SLOT, 33))
+        earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = stored.groupBy("task").agg(F.sum("rows").alias("held")).select(
+            "task", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+        within = Window.partitionBy("task").orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("rows").over(within), F.lit(0)).alias("before")
+        level = F.floor((F.col("before") + F.col("offset")) * levels / total)
+        starts = stored.select("task", "value", before).join(offsets, "task").groupBy(level).agg(
+            F.min("value").alias("value"))
+    found = sorted(row["value"] for row in starts.collect())
+    delete_path(docs.sparkSession, path)
+    return found
+
+
+def category_level(value: Column, starts: Sequence[str]) -> Column:
+    """Number of the last level that starts at the value or before it; null has level 0 to itself."""
+    if not starts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, starts)), lambda start: start <= _category(value)))
 
 
 def size_steps(bits: int = LEVEL_BITS) -> list[int]:
@@ -92,9 +130,10 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def curve_of_documents(text: str = "text", lang: str = "lang", source: str = "source") -> Column:
-    return hilbert_index([category_level(F.col(source)), category_level(F.col(lang)),
-                          size_level(text_size(F.col(text)))])
+def curve_of_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> Column:
+    """Curve index of a row of ``docs`` by source, language and size."""
+    categories = [category_level(F.col(name), category_starts(docs, F.col(name))) for name in (source, lang)]
+    return hilbert_index([*categories, size_level(text_size(F.col(text)))])
 
 
 def assign_shards(
@@ -112,7 +151,7 @@ def assign_shards(
     The range sort splits a hot cell by key and value, so no task grows with a
     group of equal metadata.
     """
-    curve = curve_of_documents() if curve is None else curve
+    curve = curve_of_documents(docs) if curve is None else curve
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), curve.alias("curve"))
     numbered = number_rows(packed, "rank", [F.asc("curve"), F.asc(f"row.{key}"), row_hash(docs).asc()], base=-1)

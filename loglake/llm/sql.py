@@ -1,6 +1,6 @@
 """DuckDB SQL that the registered queries must agree with."""
 
-from .shards import LEVEL_BITS, _transitions, size_steps
+from .shards import LEVEL_BITS, PREFIX, _transitions, size_steps
 
 
 def _crc_table() -> list[int]:
@@ -22,9 +22,27 @@ def _crc32(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN 0 WHEN {text} IS NOT NULL THEN xor({folded}, 4294967295::BIGINT) END"
 
 
+def _category_starts(column: str) -> str:
+    """One row with the first value of each level of a category, in order."""
+    levels = (1 << LEVEL_BITS) - 1
+    return f"""(
+        SELECT list(v ORDER BY v) AS {column}_starts FROM (
+            SELECT min(v) AS v FROM (
+                SELECT v, CASE WHEN count(*) OVER () <= {levels} THEN row_number() OVER (ORDER BY v)
+                               ELSE (sum(n) OVER (ORDER BY v) - n) * {levels} // sum(n) OVER () END AS level
+                FROM (SELECT left({column}, {PREFIX}) AS v, count(*) AS n FROM documents
+                      WHERE {column} IS NOT NULL GROUP BY 1)
+            ) GROUP BY level
+        )
+    )"""
+
+
+def _category_level(column: str) -> str:
+    return f"coalesce(len(list_filter({column}_starts, lambda start: start <= left({column}, {PREFIX}))), 0)"
+
+
 def _hilbert_shards(shards: int = 24) -> str:
     digits, following = _transitions(3)
-    spread = (1 << LEVEL_BITS) - 1
     walk = "levels"
     for bit in reversed(range(LEVEL_BITS)):
         octant = f"(((a >> {bit}) & 1) + 2 * ((b >> {bit}) & 1) + 4 * ((c >> {bit}) & 1))"
@@ -38,10 +56,9 @@ def _hilbert_shards(shards: int = 24) -> str:
     ),
     levels AS (
         SELECT doc_id, size, text_crc32, 0::BIGINT AS curve, 0 AS state,
-               coalesce(({_crc32('source')}) % {spread} + 1, 0) AS a,
-               coalesce(({_crc32('lang')}) % {spread} + 1, 0) AS b,
+               {_category_level('source')} AS a, {_category_level('lang')} AS b,
                len(list_filter({size_steps()}, lambda step: step <= size)) AS c
-        FROM facts
+        FROM facts, {_category_starts('source')}, {_category_starts('lang')}
     ),
     ranked AS (
         SELECT *, row_number() OVER (ORDER BY curve, doc_id) - 1 AS r, count(*) OVER () AS n FROM {walk}

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +48,39 @@ def test_written_shards_come_back(documents, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().count() == 3
 
 
+def starts_by_hand(values, levels):
+    counts = sorted(Counter(value[:shards.PREFIX] for value in values if value is not None).items())
+    if len(counts) <= levels:
+        return [value for value, _ in counts]
+    first, before, total = {}, 0, sum(n for _, n in counts)
+    for value, n in counts:
+        first.setdefault(before * levels // total, value)
+        before += n
+    return sorted(first.values())
+
+
+@pytest.mark.parametrize("values", [
+    [], [None, None], ["b", "a", None, "b", ""], [f"s{n}" for n in range(7)], [f"s{n * n % 97}" for n in range(400)],
+    ["hot"] * 200 + [f"\u00e9{n}" for n in range(100)] + [None], ["x" * 70 + str(n) for n in range(50)]])
+def test_categories_fill_levels_in_order(spark, values):
+    docs = spark.createDataFrame([(v,) for v in values], "source string").repartition(5)
+    starts = shards.category_starts(docs, F.col("source"), bits=3)
+    assert starts == starts_by_hand(values, 7) and len(starts) <= 7
+    for r in docs.select("source", shards.category_level(F.col("source"), starts).alias("level")).collect():
+        assert r["level"] == (0 if r["source"] is None else sum(s <= r["source"][:shards.PREFIX] for s in starts))
+
+
+def test_readers_skip_files_by_statistics(documents, spark, tmp_path):
+    rows = [(n, "t" * (n * 37 % 4000), ("de", "en", "en", "fr")[n % 4], f"src{n * 7 % 20}") for n in range(4000)]
+    shards.write_shards(shards.assign_shards(documents(rows), 24), str(tmp_path / "shards"))
+    ranges = spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").agg(
+        F.min("source").alias("low"), F.max("source").alias("high"), F.collect_set("source").alias("held")).collect()
+    names = {row[3] for row in rows}
+    opened = sum(r["low"] <= name <= r["high"] for r in ranges for name in names) / len(names)
+    holding = sum(name in r["held"] for r in ranges for name in names) / len(names)
+    assert opened <= 1.5 * holding and opened < 8
+
+
 def test_sizes_and_checksums(documents):
     text = F.col("text")
     rows = documents([(1, "é"), (2, None), (3, "")]).select(
