@@ -35,7 +35,7 @@ from ..operators.numbering import number_rows
 from ..session import materialize
 from .components import components
 from .steps import row_hash
-from .texts import by_piece, mixed, window_hashes, windows, words_of
+from .texts import by_piece, give_back, mixed, window_hashes, windows, words_of
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -163,6 +163,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
                 for x, y in zip(ia, ib)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+    give_back()
 
 
 def near_duplicate_classes(
