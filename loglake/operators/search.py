@@ -21,27 +21,28 @@ from pyspark.sql import types as T
 from ..functions.patterns import search_pattern
 from ..plans.specs import LogFilter
 
-#: Bits per file: 2^20 for letters, 2^23 for attributes, in rows of 2^15 that Spark's bitmap aggregate fills.
-TEXT_ROWS, ATTRIBUTE_ROWS = 32, 256
-_ROW_BITS = 1 << 15
-#: A row without bits that every file has.
+#: Bits per file: 2^20 for letters, 2^23 for attributes, in words of 64.
+TEXT_WORDS, ATTRIBUTE_WORDS = 1 << 14, 1 << 17
+_WORD_BITS = 64
+#: A word that every file has.
 _MARK = -1
 #: Bits that one lookup asks for, at most; fewer only skip fewer files.
 _ASKED = 64
 
 BITS = T.StructType([
     T.StructField("file", T.StringType()),
-    T.StructField("bits_row", T.IntegerType()),
-    T.StructField("bits", T.BinaryType()),
+    T.StructField("word", T.IntegerType()),
+    T.StructField("held", T.LongType()),
     T.StructField("log_date", T.DateType()),
 ])
 
 Spot = tuple[int, int]
 
 
-def _spot(hashed: Column, first: int, rows: int) -> Column:
-    row = (F.lit(first) + F.pmod(hashed, F.lit(rows))).cast("int")
-    return F.struct(row.alias("bits_row"), F.pmod(F.shiftright(hashed, 32), F.lit(_ROW_BITS)).alias("place"))
+def _spot(hashed: Column, first: int, words: int) -> Column:
+    word = (F.lit(first) + F.pmod(hashed, F.lit(words))).cast("int")
+    return F.struct(
+        word.alias("word"), F.pmod(F.shiftright(hashed, 32), F.lit(_WORD_BITS)).cast("int").alias("place"))
 
 
 def _text_spots(text: Column) -> Column:
@@ -58,27 +59,28 @@ def _text_spots(text: Column) -> Column:
 
     letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
     return F.transform(
-        F.flatten(F.transform(F.array(letters), of_letters)), lambda hashed: _spot(hashed, 0, TEXT_ROWS))
+        F.flatten(F.transform(F.array(letters), of_letters)), lambda hashed: _spot(hashed, 0, TEXT_WORDS))
 
 
 def _attribute_spot(key: Column, value: Column) -> Column:
-    return _spot(F.xxhash64(key, value), TEXT_ROWS, ATTRIBUTE_ROWS)
+    return _spot(F.xxhash64(key, value), TEXT_WORDS, ATTRIBUTE_WORDS)
 
 
 def file_bits(records: DataFrame) -> DataFrame:
-    """(file, bits_row, bits, log_date) of the files behind stored ``records``.
+    """(file, word, held, log_date) of the files behind stored ``records``.
 
-    One pass over messages and attributes; bits are joined inside each task
-    before the few rows of a file are shuffled.
+    One pass over messages and attributes.  Words are longs, so each task joins
+    its bits in a hash table, whose size the words of a file bound, however
+    many records it has; bitmaps in binary would be sorted record by record.
     """
     held = records.select(F.col("_metadata.file_path").alias("file"), "log_date", "message", "attributes")
     entries = F.coalesce(F.map_entries("attributes"), F.array().cast("array<struct<key:string,value:string>>"))
-    mark = F.array(F.struct(F.lit(_MARK).alias("bits_row"), F.lit(0).cast("long").alias("place")))
+    mark = F.array(F.struct(F.lit(_MARK).alias("word"), F.lit(0).alias("place")))
     spots = F.concat(
         mark, _text_spots(F.col("message")), F.transform(entries, lambda e: _attribute_spot(e["key"], e["value"])))
     each = held.select("file", "log_date", F.inline(spots))
-    return each.groupBy("file", "bits_row", "log_date").agg(
-        F.bitmap_construct_agg("place").alias("bits")).select("file", "bits_row", "bits", "log_date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
+    return each.groupBy("file", "word", "log_date").agg(F.bit_or(bit).alias("held")).select(*BITS.fieldNames())
 
 
 def literal_parts(pattern: str) -> list[str]:
@@ -105,13 +107,10 @@ def needed_spots(spark: SparkSession, query: LogFilter) -> list[Spot]:
 
 def files_without(bits: DataFrame, spots: Sequence[Spot]) -> list[str]:
     """The files in which one of the bits is missing: names only, at most as many as a scan lists anyway."""
-    rows = sorted({row for row, _ in spots})
-    found = [
-        F.max(F.when(F.col("bits_row") == row, F.conv(F.hex(F.substring("bits", place // 8 + 1, 1)), 16, 10).cast(
-            "int").bitwiseAND(F.lit(1 << place % 8)) != 0))
-        for row, place in spots]
+    words = sorted({word for word, _ in spots})
+    found = [F.max(F.when(F.col("word") == word, F.getbit("held", F.lit(place)) == 1)) for word, place in spots]
     every = F.lit(True)
     for bit in found:
         every &= F.coalesce(bit, F.lit(False))
-    asked = bits.filter(F.col("bits_row").isin(_MARK, *rows)).groupBy("file").agg(every.alias("possible"))
+    asked = bits.filter(F.col("word").isin(_MARK, *words)).groupBy("file").agg(every.alias("possible"))
     return [row["file"] for row in asked.filter(~F.col("possible")).select("file").collect()]

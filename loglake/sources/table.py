@@ -173,7 +173,7 @@ class LogTable:
         if until is not None and whole[1] < until:
             whole[1] += _DAY_MICROS
         (
-            file_bits(self.scan(*whole)).repartition("log_date", "file").sortWithinPartitions("log_date", "bits_row")
+            file_bits(self.scan(*whole)).repartition("log_date", "file").sortWithinPartitions("log_date", "word")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("log_date").parquet(self.search_path)
         )

@@ -5,7 +5,7 @@ import pytest
 
 import loglake as L
 from loglake.operators.aggregate import aggregate_logs
-from loglake.operators.search import literal_parts, needed_spots
+from loglake.operators.search import BITS, file_bits, files_without, literal_parts, needed_spots
 from loglake.plans.specs import LogFilter
 
 WIDE = {"since": "2020-01-01T00:00:00Z", "until": "2030-01-01T00:00:00Z", "bucket": "1d"}
@@ -89,3 +89,22 @@ def test_retention_and_truncation_take_bits_along(spark, make_logs, table):
     assert table._days(table.search_path) == table._days(table.logs_path)
     query = L.AggregateQuery(**{**WIDE, "q": "message 7"})
     assert [row["count"] for row in table.aggregate(query).collect()] == [1]
+
+
+def test_bits_are_joined_by_hash_and_bounded_by_their_number(spark, make_logs, table):
+    table.append(make_logs([(n, "2024-03-01T00:00:00Z", {
+        "message": "the same words in every record", "attributes": {"k": "v"}}) for n in range(500)], 1))
+    bits = file_bits(table.scan())
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    # One row for each word of 64 bits, and one that marks the file.
+    spots = set(needed_spots(spark, LogFilter(q="the same words in every record", attributes=(("k", "v"),))))
+    rows = {row["word"]: row["held"] % 2 ** 64 for row in bits.collect()}
+    wanted = {word: sum(1 << place for at, place in spots if at == word) for word, _ in spots}
+    assert rows == {**wanted, -1: 1}
+
+
+def test_the_highest_bit_of_a_word_is_found(spark):
+    bits = spark.createDataFrame([("f", -1, 1, None), ("f", 5, -2 ** 63, None), ("g", -1, 1, None), ("g", 5, 2 ** 62, None)], BITS)
+    assert files_without(bits, [(5, 63)]) == ["g"] and files_without(bits, [(5, 62)]) == ["f"]
+    assert sorted(files_without(bits, [(6, 0)])) == ["f", "g"]
