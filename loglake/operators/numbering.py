@@ -33,12 +33,15 @@ def slotted(df: DataFrame, order_by: Sequence[Column] = ()) -> DataFrame:
     return df.withColumn(SLOT, F.monotonically_increasing_id())
 
 
+def slot_task() -> Column:
+    """The task that gave a row its slot."""
+    return F.shiftright(SLOT, _POSITION_BITS).alias("_task")
+
+
 def slot_offsets(stored: DataFrame) -> DataFrame:
     """(task, offset, rows) for slotted rows that have been materialised."""
     position = F.col(SLOT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    counts = stored.groupBy(F.shiftright(SLOT, _POSITION_BITS).alias("_task")).agg(
-        F.max(position).alias("_last"), F.count("*").alias("_rows")
-    )
+    counts = stored.groupBy(slot_task()).agg(F.max(position).alias("_last"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     width = F.col("_last") + 1
     return counts.select(
@@ -57,7 +60,7 @@ def number_slots(stored: DataFrame, name: str, base: int = 0, tasks: int | None
     if tasks <= _MAX_BROADCAST_TASKS:
         offsets = F.broadcast(offsets)
     position = F.col(SLOT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    joined = stored.withColumn("_task", F.shiftright(SLOT, _POSITION_BITS)).join(offsets, "_task")
+    joined = stored.withColumn("_task", slot_task()).join(offsets, "_task")
     number = F.col("_offset") + position + 1 + F.lit(base)
     kept = [c for c in stored.columns if c != SLOT]
     return joined.select(number.alias(name), *kept)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.isotime import day_number, day_text, micros_literal, utc_date
 from ..operators.aggregate import aggregate_logs
-from ..operators.numbering import SLOT, number_slots, slot_offsets, slotted
+from ..operators.numbering import SLOT, number_slots, slot_task, slotted
 from ..operators.page import LogsPage, fetch_recent_page
 from ..operators.retention import Position, cutoff_micros, nth_oldest
 from ..operators.rollup import MINUTE, aggregate_rollup, build_rollup, rollup_answers
@@ -43,6 +43,8 @@ from ..session import delete_path, hadoop_path, materialize, require_utc, stored
 _DAY_MICROS = 86_400_000_000
 _ROWS_PER_FILE = 5_000_000
 _BYTES_PER_FILE = 128 * 1024 * 1024
+# A file's rows are sorted by one task, so their size in its memory counts too, not only that on disk.
+_SORTED_BYTES_PER_FILE = 512 * 1024 * 1024
 # Distinct services a file's bloom filter is sized for.
 _SERVICES = 10_000
 # Ids of one batch; 8 million batches fit in a long.
@@ -51,6 +53,13 @@ _MAX_LONG = 2 ** 63 - 1
 _PARTITIONS = ["log_date", "batch_id", "source"]
 
 
+def _sorted_bytes() -> Column:
+    """About the bytes that all records take in a sort: fixed parts, texts, attributes as a map and as JSON."""
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name in ("service", "message", "attributes_json")]
+    entries = F.coalesce(F.size("attributes"), F.lit(0))
+    return F.sum(sum(texts, F.lit(256)).cast("long") + texts[-1] + entries * 32)
+
+
 class LogTable:
     """Append, scan, query, retain and truncate one stored table."""
 
@@ -90,8 +99,8 @@ class LogTable:
         before_chunk: Callable[[int], None] = lambda chunk: None,
     ) -> int:
         """As ``append``, for rows already materialised with their slots at ``path``."""
-        size = slot_offsets(staged).agg(
-            F.sum("_rows").alias("rows"), F.sum("_width").alias("width"), F.count("*").alias("tasks")).first()
+        size = staged.groupBy(slot_task()).agg(F.count("*").alias("rows"), _sorted_bytes().alias("sorted")).agg(
+            F.sum("rows").alias("rows"), F.sum("sorted").alias("sorted"), F.count("*").alias("tasks")).first()
         rows = size["rows"] or 0
         if not rows:
             return 0
@@ -101,12 +110,14 @@ class LogTable:
         if chunk_rows is None:
             numbered = number_slots(staged, "number", tasks=size["tasks"])
             before_chunk(0)
-            self._write_batch(numbered, stored.get(source, free), source, rows, stored_bytes(self.spark, path))
+            self._write_batch(
+                numbered, stored.get(source, free), source, rows, stored_bytes(self.spark, path), size["sorted"])
             return rows
         dense, dense_path = materialize(slotted(staged, (F.asc(SLOT),)), "chunks")
         try:
             numbered = number_slots(dense, "number")
-            bytes_per_chunk = stored_bytes(self.spark, dense_path) * chunk_rows // rows
+            bytes_per_chunk, sorted_per_chunk = (
+                held * chunk_rows // rows for held in (stored_bytes(self.spark, dense_path), size["sorted"]))
             for chunk in range(-(-rows // chunk_rows)):
                 before_chunk(chunk)
                 part = numbered.filter(F.col("number").between(chunk * chunk_rows + 1, (chunk + 1) * chunk_rows))
@@ -115,7 +126,7 @@ class LogTable:
                 free += number == free
                 self._write_batch(
                     part.withColumn("number", F.col("number") - chunk * chunk_rows), number, name,
-                    min(chunk_rows, rows - chunk * chunk_rows), bytes_per_chunk)
+                    min(chunk_rows, rows - chunk * chunk_rows), bytes_per_chunk, sorted_per_chunk)
             return rows
         finally:
             delete_path(self.spark, dense_path)
@@ -186,9 +197,12 @@ class LogTable:
             return
         kept, path = materialize(rows.filter(~position.covers()), "survivors")
         try:
-            left = kept.groupBy("batch_id", "source").count().collect()
+            left = kept.groupBy("batch_id", "source").agg(
+                F.count("*").alias("rows"), _sorted_bytes().alias("sorted")).collect()
             if left:
-                self._write_logs(kept, sum(row["count"] for row in left), stored_bytes(self.spark, path))
+                self._write_logs(
+                    kept, sum(row["rows"] for row in left), stored_bytes(self.spark, path),
+                    sum(row["sorted"] for row in left))
                 self._write_rollup(kept)
             living = {(row["batch_id"], row["source"]) for row in left}
             for top in (self.rollup_path, self.logs_path):
@@ -281,7 +295,9 @@ class LogTable:
 
     # Files
 
-    def _write_batch(self, numbered: DataFrame, batch: int, source: str, rows: int, size: int) -> None:
+    def _write_batch(
+        self, numbered: DataFrame, batch: int, source: str, rows: int, size: int, sorted_size: int
+    ) -> None:
         """The rollup first: a batch counts as stored when its records are there."""
         placed = numbered.select(
             (F.col("number") + F.lit(batch * _IDS_PER_BATCH)).alias("id"), *LOG_COLUMNS,
@@ -289,7 +305,7 @@ class LogTable:
             F.lit(source).alias("source"))
         again = self._partitions_of(batch, source)
         self._write_rollup(placed)
-        self._write_logs(placed, rows, size)
+        self._write_logs(placed, rows, size, sorted_size)
         if again:
             self._drop_stale(placed, again)
 
@@ -307,14 +323,17 @@ class LogTable:
             if path.split("/")[-3] not in days:
                 delete_path(self.spark, path)
 
-    def _write_logs(self, placed: DataFrame, rows: int, size: int) -> None:
+    def _write_logs(self, placed: DataFrame, rows: int, size: int, sorted_size: int) -> None:
         """Files of even size, sorted by time inside each date.
 
         Splitting by (date, timestamp, id) spreads a hot day, or a hot instant,
-        over as many tasks as it has rows for.
+        over as many tasks as it has rows for.  Rows of few bytes on disk may
+        take many in the memory of the task that sorts them: ``sorted_size``.
         """
         order = [*_PARTITIONS, "timestamp", "id"]
-        files = max(1, math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE))
+        files = max(
+            1, math.ceil(rows / _ROWS_PER_FILE), math.ceil(size / _BYTES_PER_FILE),
+            math.ceil(sorted_size / _SORTED_BYTES_PER_FILE))
         (
             placed.select(*STORED.fieldNames())
             .repartitionByRange(files, *order).sortWithinPartitions(*order)

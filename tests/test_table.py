@@ -188,6 +188,17 @@ def test_hot_instant_is_written_by_several_tasks(spark, table, make_logs, monkey
     assert len(stored(table)) == 400
 
 
+def test_rows_small_on_disk_but_large_in_memory_are_sorted_by_several_tasks(table, make_logs, monkeypatch):
+    monkeypatch.setattr("loglake.sources.table._SORTED_BYTES_PER_FILE", 1 << 20)
+    # 4 MB of messages, which Parquet stores in a few kilobytes.
+    wide = [(n, "2024-03-01T20:00:00Z", {"message": "x" * 10_000}) for n in range(400)]
+    table.append(make_logs([(900, "2024-03-01T00:00:00Z"), *wide], 4))
+    assert len(table.scan().inputFiles()) >= 3 and len(stored(table)) == 401
+    # The day that retention writes anew is split like a new one.
+    assert table.retain(NOW, L.RetentionOptions(days=19), bounded=False) == 1
+    assert len(table.scan().inputFiles()) >= 3 and set(stored(table).values()) == {"x" * 10_000}
+
+
 def test_materialized_rows_live_in_the_shared_folder(spark, make_logs):
     _, path = materialize(make_logs([(1, "2024-03-01T00:00:00Z")]), "probe")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
