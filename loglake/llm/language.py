@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import among_lowest, cut, fold
-from .texts import mixed
+from .texts import give_back, mixed, pieces
 
 COLUMNS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -124,8 +124,8 @@ class LanguageModel:
 def _partial_frequencies(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
     """One row per column a task has seen, and its documents under -1."""
     seen, texts = np.zeros(columns, np.int64), 0
-    for batch in batches:
-        for _, counts in gram_counts(batch.column("text").to_pylist(), columns):
+    for piece in pieces(batches, "text"):
+        for _, counts in gram_counts(piece.column("text").to_pylist(), columns):
             seen += (counts > 0).sum(axis=0)
             texts += len(counts)
     at = np.flatnonzero(seen)
@@ -196,7 +196,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _trainer(languages: tuple[str, ...], idf: np.ndarray, limit: int):
     """Train on all rows of one task; they are few by construction."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes | None:
         rows, labels, folds, times = [], [], [], []
         code = {language: at for at, language in enumerate(languages)}
         for batch in batches:
@@ -208,7 +208,7 @@ def _trainer(languages: tuple[str, ...], idf: np.ndarray, limit: int):
             folds += batch.column("fold").to_pylist()
             times += batch.column("times").to_pylist()
         if not rows:
-            return
+            return None
         drawn = cut(labels, folds, times, limit)
         rows, labels, folds = ([held[at] for at in drawn] for held in (rows, labels, folds))
         order = np.lexsort((np.array(folds), np.array(labels)))
@@ -217,7 +217,13 @@ def _trainer(languages: tuple[str, ...], idf: np.ndarray, limit: int):
         weights = _fit([rows[at] for at in learned], target[learned], len(languages), len(idf))
         logits = [_dense([rows[at]], len(idf)) @ weights for at in aside]
         heat = _temperature(np.concatenate(logits), target[aside]) if logits else 1.0
-        yield pa.RecordBatch.from_arrays([pa.array([np.append(weights, heat).tobytes()], pa.binary())], ["model"])
+        return np.append(weights, heat).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = learn(batches)
+        give_back()
+        if learned is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([learned], pa.binary())], ["model"])
 
     return run
 
@@ -253,9 +259,7 @@ def predicted(text: Column, model: LanguageModel | None) -> Column:
     texts if there is no model.
     """
 
-    @F.arrow_udf("lang string, score double")
-    def predict(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
+    def told(values: list[str | None]) -> pa.Array:
         names, scores = [UNDETERMINED] * len(values), [0.0] * len(values)
         if model is not None:
             for start, counts in gram_counts(values, len(model.idf)):
@@ -266,6 +270,12 @@ def predicted(text: Column, model: LanguageModel | None) -> Column:
         return pa.StructArray.from_arrays(
             [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")
+            yield pa.concat_arrays([told([]), *(told(part.column("text").to_pylist()) for part in parts)])
+
     return predict(text)
 
 

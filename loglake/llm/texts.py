@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Bytes whose words are hashed together, at eight bytes a byte; a longer word is hashed by itself.
+_HASHED_BYTES = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,13 +38,13 @@ _known_powers: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, count: int) -> np.ndarray:
-    """base ** 0, 1, 2 ... modulo 2 ** 64; those of a usual piece are kept."""
+    """base ** 0, 1, 2 ... modulo 2 ** 64; those of usual words are kept."""
     known = _known_powers.get(base)
     if known is None or len(known) < count:
-        steps = np.full(max(count, PIECE_BYTES), base, np.uint64)
+        steps = np.full(max(count, _HASHED_BYTES), base, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if len(known) <= 2 * PIECE_BYTES:
+        if len(known) <= 2 * _HASHED_BYTES:
             _known_powers[base] = known
     return known[:count]
 
@@ -108,12 +110,20 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits per word, told by its bytes alone."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        weighed = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(self.data))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighed, dtype=np.uint64)])
-        inverse = _powers(_ODD_INVERSE, len(self.data))
-        return mixed((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        found = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(found):
+            low = self.starts[at]
+            stop = max(at + 1, int(np.searchsorted(self.ends, low + _HASHED_BYTES, "right")))
+            starts, ends = self.starts[at:stop] - low, self.ends[at:stop] - low
+            weighed = self.data[low:low + ends[-1]].astype(np.uint64)
+            weighed += np.uint64(1)
+            weighed *= _powers(_ODD, len(weighed))
+            sums = np.zeros(len(weighed) + 1, np.uint64)
+            np.cumsum(weighed, out=sums[1:])
+            found[at:stop] = (sums[ends] - sums[starts]) * _powers(_ODD_INVERSE, len(weighed))[starts]
+            at = stop
+        return mixed(found)
 
 
 def words_of(column) -> Words:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,38 @@ def test_words_are_split_as_bytes_do():
     assert texts.words_of(pa.array([], pa.string())).counts.tolist() == []
 
 
+def test_words_have_one_hash_whatever_is_hashed_with_them(monkeypatch):
+    rng = random.Random(3)
+    held = [" ".join("abcé"[:rng.randrange(1, 5)] * rng.randrange(1, 30) for _ in range(40)) for _ in range(20)]
+    words = texts.words_of(pa.array(held))
+    whole = words.hashes()
+    monkeypatch.setattr(texts, "_HASHED_BYTES", 50)
+    texts._known_powers.clear()
+    assert (words.hashes() == whole).all()
+    one = texts.words_of(pa.array(["  " + held[3].split()[-1] + " "]))
+    assert one.hashes()[0] == whole[words.bounds[4] - 1]
+
+
+def test_hashing_takes_little_more_memory_than_its_result():
+    words = texts.words_of(pa.array(["some words of a text "] * 100_000))
+    tracemalloc.start()
+    try:
+        words.hashes()
+        # 2.1 MB in 500,000 words: 4 MB of hashes, mixed in a few steps.
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_return_memory_after_language_tasks(monkeypatch):
+    calls = []
+    monkeypatch.setattr(texts, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(language, "give_back", lambda: calls.append(1), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(["ein Text", None])], ["text"])
+    assert list(language._partial_frequencies(iter([batch, batch]), 64))[0].to_pylist()[-1] == {"gram": -1, "n": 4}
+    assert calls and not list(language._trainer(("de",), np.ones(64), 5)(iter([]))) and len(calls) == 2
+
+
 def test_pieces_hold_every_row(monkeypatch):
     monkeypatch.setattr(texts, "PIECE_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 50, "", "abcdefgh", "ij"])], ["text"])
