@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .sampling import among_lowest, cut, fold
-from .texts import give_back, mixed, pieces
+from .texts import give_back, mixed, pieces, slices
 
 COLUMNS = 1 << 13
 ORDERS = (1, 2, 3)
@@ -135,6 +136,7 @@ def _partial_frequencies(batches: Iterator[pa.RecordBatch], columns: int) -> Ite
 
 def inverse_frequencies(docs: DataFrame, text: str, columns: int = COLUMNS) -> np.ndarray:
     """log(1 + documents / documents with the n-gram), over all rows; ``columns`` numbers."""
+    bound_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInArrow(
         lambda batches: _partial_frequencies(batches, columns), "gram long, n long"
     ).groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -237,6 +239,7 @@ def train(
     Frequencies come from all of them, weights from a sample that a hash of
     key and text picks, at most ``rows_per_language`` rows of each language.
     """
+    bound_batches(docs.sparkSession)
     labelled = docs.select(
         F.col(text).alias("text"), F.col(lang).alias("lang"), fold(key, text).alias("fold")
     ).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -273,14 +276,16 @@ def predicted(text: Column, model: LanguageModel | None) -> Column:
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")
+            parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
             yield pa.concat_arrays([told([]), *(told(part.column("text").to_pylist()) for part in parts)])
+        give_back()
 
     return predict(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``row`` with lang_pred and score; extra columns cannot clash."""
+    bound_batches(docs.sparkSession)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
     told = packed.withColumn("told", predicted(F.col("text"), model))
     return told.select("row", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
-from ..session import materialize
+from ..session import bound_batches, materialize
 from .components import components
 from .steps import row_hash
 from .texts import by_piece, give_back, mixed, window_hashes, windows, words_of
@@ -199,6 +199,7 @@ def _classes(
     Nodes are in order of their first rows, so a component's number is the
     node whose row comes first.
     """
+    bound_batches(docs.sparkSession)
     value = F.col(text)
     rows_in = docs.select(F.col(key).alias("id"), value.alias("text"), F.xxhash64(value).alias("print"))
     signable = rows_in.withColumn("text", F.when(F.col("id").isNotNull(), F.col("text")))

@@ -51,19 +51,24 @@ def _powers(base: int, count: int) -> np.ndarray:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` (or else ``PIECE_BYTES``) bytes of text."""
-    most = most or PIECE_BYTES
     for batch in batches:
-        sizes = np.diff(_offsets(_strings(batch.column(column))))
-        filled = np.cumsum(sizes)
-        start = 0
-        while start < batch.num_rows:
-            done = filled[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(filled, done + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        yield from slices(batch, column, most)
     give_back()
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """One batch as ``pieces`` cuts it."""
+    most = most or PIECE_BYTES
+    sizes = np.diff(_offsets(_strings(batch.column(column))))
+    filled = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        done = filled[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(filled, done + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def give_back() -> None:
     """Return freed memory to the machine; a worker waits for later tasks beside the executor's heap."""
     pa.default_memory_pool().release_unused()

@@ -10,6 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at a time, where the session names no limit of its own.
+BATCH_BYTES = 2 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _local_base: str | None = None
 
 
@@ -21,6 +25,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let rows reach Python in batches of ``BATCH_BYTES``; the row that passes it is a batch's last.
+
+    By default a batch has 10,000 rows, most of a file's texts: they stand whole
+    beside the executor's heap and again in the worker.  It is the session's
+    setting because a result is computed only when its reader asks for it.
+    """
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("loglake")

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.llm import decontaminate, language, sampling, texts, tokens, toxicity
+from loglake.llm import decontaminate, language, minhash, sampling, texts, tokens, toxicity
 
 
 def test_words_are_split_as_bytes_do():
@@ -52,6 +52,70 @@ def test_workers_return_memory_after_language_tasks(monkeypatch):
     assert calls and not list(language._trainer(("de",), np.ones(64), 5)(iter([]))) and len(calls) == 2
 
 
+def test_texts_reach_workers_a_few_megabytes_at_a_time(spark, monkeypatch):
+    def small_only(batches, column, most=None):
+        for batch in batches:
+            longest = max(len(text or "") for text in batch.column(column).to_pylist())
+            assert batch.nbytes - longest < 4 << 20, f"{batch.num_rows} rows of {batch.nbytes} bytes"
+            yield batch
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for module in (texts, decontaminate, language):
+        monkeypatch.setattr(module, "pieces", small_only)
+    monkeypatch.setattr(language, "slices", lambda batch, column: small_only([batch], column))
+    # 18 MB in one task, and a text of 6 MB among them.
+    body = F.when(F.col("id") == 40, F.repeat(F.lit("long text "), 600_000)).otherwise(
+        F.repeat(F.concat(F.lit("a text of number "), F.col("id") % 30, F.lit(" ")), 5_000))
+    docs = spark.range(0, 200, 1, 1).select(
+        F.col("id").alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    benchmark = spark.createDataFrame([(1, "a benchmark item that no text has")], "item_id long, text string")
+    model = language.LanguageModel(("en",), np.ones(64), np.zeros((64, 1), np.float32), np.zeros(1), 1.0)
+    works = [
+        lambda: decontaminate.drop_contaminated(docs, benchmark),
+        lambda: decontaminate.contaminated(docs, benchmark),
+        lambda: language.inverse_frequencies(docs, "text", 64),
+        lambda: language.identify(docs, model),
+        lambda: minhash.near_duplicate_classes(docs),
+    ]
+    counts = []
+    for work in works:
+        spark.conf.unset(limit)
+        made = work()
+        counts.append(len(made) if isinstance(made, np.ndarray) else made.count())
+    assert counts == [200, 0, 64, 200, 200]
+    # A session that names a limit keeps it.
+    spark.conf.set(limit, "1m")
+    language.identify(docs, model)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
+
+
+def test_language_tasks_return_memory_once_all_texts_are_judged(monkeypatch):
+    calls = []
+    monkeypatch.setattr(texts, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(language, "give_back", lambda: calls.append(1))
+    made = []
+    monkeypatch.setattr(language.F, "arrow_udf", lambda kind: lambda run: lambda column: made.append(run))
+    language.predicted(None, None)
+    told = list(made[0](iter([pa.array(["a text"] * 3), pa.array([None, "b"])])))
+    assert [len(part) for part in told] == [3, 2] and calls == [1]
+
+
+def test_search_of_a_batch_takes_little_memory():
+    rng = random.Random(5)
+    held = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(1000)]
+    item = decontaminate.normalised(held[-1][500:700])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(held)], ["doc_id", "text"])
+    clean = decontaminate._cleaner([(1, item)], None, "text", 8, 0.08, 32)
+    tracemalloc.start()
+    try:
+        assert [row for part in clean(iter([batch])) for row in part.column("doc_id").to_pylist()] == list(range(999))
+        # 2 MB of text; its q-grams all at once took 55 MB.
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_pieces_hold_every_row(monkeypatch):
     monkeypatch.setattr(texts, "PIECE_BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 50, "", "abcdefgh", "ij"])], ["text"])
