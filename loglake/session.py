@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of rows that go to a Python worker at a time, where the session names no limit of its own.
 BATCH_BYTES = 2 << 20
+#: Bytes of a row group in scratch files: what a task holds of a file that it writes or reads.
+ROW_GROUP_BYTES = 16 << 20
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local_base: str | None = None
@@ -113,5 +115,5 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     and never repeat the work above this point.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

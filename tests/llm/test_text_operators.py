@@ -1,12 +1,15 @@
 import random
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from loglake.llm import decontaminate, language, minhash, sampling, texts, tokens, toxicity
+from loglake.session import delete_path, materialize
 
 
 def test_words_are_split_as_bytes_do():
@@ -90,6 +93,20 @@ def test_texts_reach_workers_a_few_megabytes_at_a_time(spark, monkeypatch):
     spark.conf.unset(limit)
 
 
+def test_scratch_files_are_cut_into_small_row_groups(spark):
+    # Pages count as they are compressed, so the text must be one that does not shrink.
+    digests = [F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {n}")), 256) for n in range(30)]
+    docs = spark.range(0, 30_000, 1, 1).select("id", F.concat(*digests).alias("text"))
+    stored, path = materialize(docs, "groups")
+    (file,) = Path(path).glob("*.parquet")
+    held = pq.ParquetFile(file).metadata
+    # 58 MB, which a task had to hold as one group.
+    assert max(held.row_group(at).total_byte_size for at in range(held.num_row_groups)) < 24 << 20
+    assert stored.select(F.sum(F.xxhash64("id", "text").cast("decimal(38)"))).first() == docs.select(
+        F.sum(F.xxhash64("id", "text").cast("decimal(38)"))).first()
+    delete_path(spark, path)
+
+
 def test_language_tasks_return_memory_once_all_texts_are_judged(monkeypatch):
     calls = []
     monkeypatch.setattr(texts, "give_back", lambda: calls.append(1))
